@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import encoding, media, packing
+from . import encoding, media, packing, quality, secrets, urls
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -16,6 +16,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every text."""
+    return secrets.digest(secrets.find(table(spark, sf_dir, "documents")), secrets.KINDS, secrets.BASE)
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict on every url."""
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score of every text."""
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_iso_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text as an ISO container, with digests of what is stored and read back."""
     told = media.inspect(media.store(table(spark, sf_dir, "documents")), payload_digests=True)
@@ -36,5 +51,5 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op5_iso_media, op7_packing, op8_bpe)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op3_url_filter, op4_quality, op5_iso_media, op7_packing, op8_bpe)}
 ORACLES: dict[str, str] = {}
