@@ -9,17 +9,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
-def map_columns(df: DataFrame, function: Callable[..., dict], schema: str) -> DataFrame:
-    """Apply ``function(*columns)`` to each Arrow batch of ``df``.
+def map_columns(df: DataFrame, function: Callable[..., dict], schema: str, at_once: int = 4 << 20) -> DataFrame:
+    """Apply ``function(*columns)`` to parts of the Arrow batches of ``df``, of about ``at_once`` bytes.
 
     The function gets one Arrow array per column of ``df`` and returns a dict of equally long
-    columns, in the order of ``schema``. Empty partitions give no rows.
+    columns, in the order of ``schema``. Empty partitions give no rows. Small parts bound the
+    memory of vectorised work, which needs many times the bytes of its texts.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                out = function(*batch.columns)
+            parts = max(1, -(-batch.nbytes // at_once))
+            rows = -(-batch.num_rows // parts)
+            for at in range(0, batch.num_rows, max(1, rows)):
+                out = function(*batch.slice(at, rows).columns)
                 yield pa.RecordBatch.from_arrays([to_arrow(x) for x in out.values()], names=list(out))
 
     return df.mapInArrow(run, schema)

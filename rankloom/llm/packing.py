@@ -127,5 +127,5 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
         return {"id": ids.take(pa.array(row, pa.int64())), "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()), "ids": pa.array(body, pa.binary()), "doc_tokens": pa.array(total, pa.int64())}
 
     kind = docs.schema[id_col].dataType.simpleString()
-    pieces = map_columns(docs.select(id_col, text_col), cut, f"id {kind}, start long, length long, ids binary, doc_tokens long")
+    pieces = map_columns(docs.select(id_col, text_col), cut, f"id {kind}, start long, length long, ids binary, doc_tokens long", at_once=16 << 20)
     return pieces.select(F.col("id").alias(id_col), "start", "length", "ids", "doc_tokens", F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"))

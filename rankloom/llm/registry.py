@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import encoding, media, neighbours, packing, quality, secrets, urls
+from . import encoding, media, neighbours, packing, quality, secrets, toxicity, urls
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -51,10 +51,15 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score of every text."""
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest vectors of each twentieth id."""
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op3_url_filter, op4_quality, op5_iso_media, op7_packing, op8_bpe, op10_nearest)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op3_url_filter, op4_quality, op5_iso_media, op7_packing, op8_bpe, op9_toxicity, op10_nearest)}
 ORACLES: dict[str, str] = {}
