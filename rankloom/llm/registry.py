@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import encoding, media, neighbours, packing, quality, secrets, toxicity, urls
+from . import encoding, media, neighbours, packing, pii, quality, secrets, toxicity, urls
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -21,6 +21,11 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find(table(spark, sf_dir, "documents")), secrets.KINDS, secrets.BASE)
 
 
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every text."""
+    return secrets.digest(pii.find(table(spark, sf_dir, "documents")), pii.KINDS, pii.BASE)
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A verdict on every url."""
     return urls.judge(table(spark, sf_dir, "pages"))
@@ -61,5 +66,5 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op3_url_filter, op4_quality, op5_iso_media, op7_packing, op8_bpe, op9_toxicity, op10_nearest)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_personal_data, op3_url_filter, op4_quality, op5_iso_media, op7_packing, op8_bpe, op9_toxicity, op10_nearest)}
 ORACLES: dict[str, str] = {}
