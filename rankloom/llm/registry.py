@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import encoding, media, neighbours, packing, pii, quality, secrets, toxicity, urls
+from . import encoding, jaccard, media, neighbours, packing, pii, quality, secrets, toxicity, urls
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -44,6 +44,11 @@ def op5_iso_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of texts whose sets of three-word shingles have a similarity of 0.9 or more."""
+    return jaccard.link(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Power-of-two pieces of every document, each a sequence of its own."""
     pieces = packing.pack(table(spark, sf_dir, "documents"), WORD_VOCABULARY)
@@ -66,5 +71,5 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_personal_data, op3_url_filter, op4_quality, op5_iso_media, op7_packing, op8_bpe, op9_toxicity, op10_nearest)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_personal_data, op3_url_filter, op4_quality, op5_iso_media, op6_jaccard_join, op7_packing, op8_bpe, op9_toxicity, op10_nearest)}
 ORACLES: dict[str, str] = {}
