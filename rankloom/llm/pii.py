@@ -6,10 +6,10 @@ import re
 import tempfile
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrow import map_columns
+from .arrow import add_columns, map_columns
 
 KINDS = ("email", "ip", "card", "phone", "context")
 BASE = 4
@@ -91,11 +91,18 @@ def instances(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, i
     return out
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder, which all executors share; a folder of our own only where none is set."""
-    spark: SparkSession = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's setting, and one of our own only where none is set."""
+    now = spark.sparkContext.getCheckpointDir()
+    if now is None:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        now = spark.sparkContext.getCheckpointDir()
+    return spark.conf.get("spark.checkpoint.dir", None) or now
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder, with its lineage cut."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -118,6 +125,16 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return map_columns(numbered, run, f"row long, id {kind}, base array<struct<start: bigint, kind: int, end: bigint>>, found array<struct<start: bigint, end: bigint, pattern: string, instance: string, seed: boolean>>")
 
 
+def patterns_of(docs: DataFrame, text_col: str, rounds: int, seeds: int, confidence: float) -> DataFrame:
+    """Trusted patterns of a corpus, from one pass over its texts that keeps instances only."""
+
+    def run(texts: pa.Array) -> dict:
+        rows = [x for t in texts.to_pylist() if t for x in instances(t, base_spans(t))]
+        return {"pattern": pa.array([x[2] for x in rows], pa.string()), "instance": pa.array([x[3] for x in rows], pa.string()), "seed": pa.array([x[4] for x in rows], pa.bool_())}
+
+    return trusted_patterns(map_columns(docs.select(text_col), run, "pattern string, instance string, seed boolean"), rounds, seeds, confidence)
+
+
 def trusted_patterns(found: DataFrame, rounds: int = 3, seeds: int = 3, confidence: float = 0.8, doubt: float = 0.5) -> DataFrame:
     """Patterns that a graph of patterns and instances trusts, with their score.
 
@@ -156,14 +173,53 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds
     return joined.select(F.col("id").alias(id_col), F.sort_array(F.when(F.col("more").isNull(), F.col("base")).otherwise(F.concat("base", "more"))).alias("spans"))
 
 
-def mask(text: Column, spans: Column, kinds: tuple[str, ...] = KINDS) -> Column:
-    """The text with each span replaced by its kind in brackets; of overlapping spans the first counts whole and the rest what is left of it."""
-    names = F.array(*(F.lit(f"[{k.upper()}]") for k in kinds))
-    start = F.struct(F.lit("").alias("text"), F.lit(0).cast("bigint").alias("at"))
+def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
+    """The text with each span replaced by its kind in brackets; overlapping spans are merged under the first one's kind."""
+    out, at = [], 0
+    for start, kind, end in sorted(spans):
+        if start >= at:
+            out += [text[at:start], f"[{KINDS[kind].upper()}]"]
+        at = max(at, end)
+    return "".join([*out, text[at:]])
+
 
-    def step(done: Column, span: Column) -> Column:
-        fresh = F.greatest(span["start"], done["at"])
-        piece = F.concat(done["text"], F.substring(text, (done["at"] + 1).cast("int"), (fresh - done["at"]).cast("int")), F.when(span["start"] >= done["at"], names[span["kind"]]).otherwise(F.lit("")))
-        return F.struct(piece.alias("text"), F.greatest(done["at"], span["end"]).alias("at"))
+#: Trusted patterns that a broadcast may hold; beyond, contexts are matched by a join of spans.
+BROADCAST_PATTERNS = 200_000
 
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, start, step, lambda done: F.concat(done["text"], F.substring(text, (done["at"] + 1).cast("int"), F.length(text)))))
+
+def redact(docs: DataFrame, text_col: str = "text", rounds: int = 3, seeds: int = 3, confidence: float = 0.8) -> DataFrame:
+    """``docs`` with personal data masked: base spans, and tokens in the contexts of trusted patterns.
+
+    Texts aren't shuffled: trusted patterns, each backed by several different seeds, go to the
+    tasks if they are few; if there are more, rows find their spans by a join on a row number.
+    Null texts stay null. Other columns and repeated rows stay as they are.
+    """
+    trusted = durable(patterns_of(docs, text_col, rounds, seeds, confidence).select("pattern"))
+    if trusted.count() <= BROADCAST_PATTERNS:
+        known = frozenset(r["pattern"] for r in trusted.collect())
+
+        def run(texts: pa.Array) -> dict:
+            out = []
+            for text in texts.to_pylist():
+                if text:
+                    spans = base_spans(text)
+                    if known:
+                        spans = spans + [(a, BASE, b) for a, b, pattern, _, seed in instances(text, spans) if not seed and pattern in known]
+                    text = masked(text, spans) if spans else text
+                out.append(text)
+            return {"_masked": pa.array(out, pa.string())}
+
+        out = add_columns(docs, [text_col], run, "_masked string")
+    else:
+        numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+        found = durable(scan(docs.select(F.monotonically_increasing_id().alias("id"), text_col), "id", text_col))
+        more = found.select("id", F.explode("found").alias("f")).select("id", "f.*").where("not seed").join(trusted, "pattern", "left_semi").select("id", "start", F.lit(BASE).alias("kind"), "end")
+        spans = found.select("id", F.explode("base").alias("s")).select("id", "s.*").unionByName(more).groupBy("id").agg(F.collect_list(F.struct("start", "kind", "end")).alias("_spans"))
+        joined = numbered.join(spans.withColumnRenamed("id", "_row"), "_row", "left").drop("_row")
+
+        def apply(texts: pa.Array, spans: pa.Array) -> dict:
+            pairs = zip(texts.to_pylist(), spans.to_pylist(), strict=True)
+            return {"_masked": pa.array([masked(t, [(s["start"], s["kind"], s["end"]) for s in x]) if t and x else t for t, x in pairs], pa.string())}
+
+        out = add_columns(joined, [text_col, "_spans"], apply, "_masked string").drop("_spans")
+    return out.withColumn(text_col, F.col("_masked")).select(*docs.columns)

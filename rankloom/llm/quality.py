@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import map_columns, utf8_bytes
+from .arrow import add_columns, map_columns, utf8_bytes
 from .words import word_hashes, word_spans
 
 FEATURES = ("log_chars", "log_words", "mean_word", "sd_word", "upper", "symbols", "digits", "marks", "bars", "ends_odd", "repeats", "double_repeats", "distinct", "distinct_per_root", "short_words", "long_words", "sentence_ends", "commas", "lines", "non_ascii", "capital_words")
@@ -220,6 +220,17 @@ def score(docs: DataFrame, model: Additive | None, id_col: str = "doc_id", text_
     return map_columns(docs.select(id_col, text_col), run, f"id {kind}, score double").withColumnRenamed("id", id_col)
 
 
+def flag(docs: DataFrame, model: Additive | None, threshold: float, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``predicted``: 1 where the score reaches the threshold. No join, so rows stay as they are."""
+
+    def run(texts: pa.Array) -> dict:
+        x = features(texts)
+        value = np.full(len(x), 0.5) if model is None else model.score(x)
+        return {"predicted": (value >= threshold).astype(np.int32)}
+
+    return add_columns(docs, [text_col], run, "predicted int")
+
+
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_out: int = 0) -> DataFrame:
     """Train on labels outside the held-out fold, then score every row: id, held_out, score, predicted."""
     fold = remainder(F.col(id_col), folds)

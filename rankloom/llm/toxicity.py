@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import map_columns, utf8_bytes
+from .arrow import add_columns, map_columns, utf8_bytes
 from .quality import labelled_sample, remainder
 from .words import word_hashes, word_spans
 
@@ -323,6 +323,20 @@ def score(docs: DataFrame, model: np.ndarray, words: WordList, id_col: str = "do
     return map_columns(docs.select(id_col, text_col), run, f"id {kind}, score double, restored array<string>").withColumnRenamed("id", id_col)
 
 
+def flag(docs: DataFrame, model: np.ndarray, words: WordList, threshold: float, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``predicted``: 1 where the score reaches the threshold. No join, so rows stay as they are."""
+    key = model.tobytes()[:64]
+
+    def run(texts: pa.Array) -> dict:
+        known = _restored.setdefault(key, {})
+        if len(known) > KEPT:
+            known.clear()
+        at, hashes, words_of, _ = marks(texts, model, known)
+        return {"predicted": (words.score(at, hashes, words_of) >= threshold).astype(np.int32)}
+
+    return add_columns(docs, [text_col], run, "predicted int")
+
+
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", folds: int = 3, held_out: int = 1) -> DataFrame:
     """Model and word list from the tables, then every row's id, held_out, score, predicted and restored.
 
