@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\
 class PieceCache:
     """Ids, as little-endian bytes, of the pieces that a worker has met; begins anew beyond ``most``, which bounds its memory."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 250_000):
         self.most, self.ids = most, {}
 
     def learn(self, pieces: set[str], model: bpe.PairIndexBPE) -> dict[str, bytes]:
@@ -47,7 +48,7 @@ def split_special(text: str, special: dict[str, int]) -> list[str]:
 
 
 #: Characters handled together; bounds the lists of pieces of a batch.
-AT_ONCE = 4_000_000
+AT_ONCE = 1_000_000
 
 
 def encode_texts(texts: list[str], path: str) -> list[bytes]:
@@ -94,15 +95,13 @@ def decode(encoded: DataFrame, vocabulary: str, ids_col: str = "ids", out_col: s
     """``encoded`` with the text of its ids; bytes that aren't UTF-8 become replacement characters. Null ids: an empty text."""
 
     def run(ids: pa.Array, *others: pa.Array) -> dict:
-        table = bpe.model(vocabulary)
-        sizes = np.fromiter(map(len, table.token_bytes), np.int64)
-        flat = np.frombuffer(b"".join(table.token_bytes), np.uint8)
-        counts = np.array([len(x) if x.is_valid else 0 for x in ids]) if ids.null_count else np.diff(ids.offsets.to_numpy())
+        token = bpe.model(vocabulary).token_bytes.__getitem__
         tokens = ids.flatten().to_numpy(zero_copy_only=False)
-        body, lengths = bpe.gather(flat, sizes, tokens)
-        ends = np.r_[0, np.cumsum(lengths)][np.r_[0, np.cumsum(counts)]]
-        raw = body.tobytes()
-        texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)).tolist()
+        texts, at = [], 0
+        for end in ends:  # a text at a time, so only one is held as a list
+            texts.append(b"".join(map(token, tokens[at:end].tolist())).decode("utf-8", "replace"))
+            at = end
         return {out_col: pa.array(texts, pa.string())} | {f"c{k}": x for k, x in enumerate(others)}
 
     rest = [c for c in encoded.columns if c != out_col]
