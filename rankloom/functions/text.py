@@ -10,6 +10,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def text_of(c: Column) -> Column:
@@ -21,7 +22,7 @@ def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(text_of(c), r"(?U)\s+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(texts: pd.Series) -> pd.Series:
     """Canonical composition; only needed for input that may be decomposed."""
     return texts.map(lambda t: None if t is None or unicodedata.is_normalized("NFC", t) else unicodedata.normalize("NFC", t)).where(lambda s: s.notna(), texts)

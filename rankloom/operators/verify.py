@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CONFIDENCES = ("high", "medium", "low")
 
@@ -50,7 +51,7 @@ def parse_selection(reply: str, known: list[str], strict: bool = False) -> tuple
     return keys, said if said in CONFIDENCES else "low"
 
 
-@F.pandas_udf("struct<keys: array<string>, confidence: string>")
+@F.pandas_udf(T.StructType([T.StructField("keys", T.ArrayType(T.StringType())), T.StructField("confidence", T.StringType())]))
 def parsed(replies: pd.Series, known: pd.Series) -> pd.DataFrame:
     rows = [parse_selection(r, list(k)) for r, k in zip(replies, known, strict=True)]
     return pd.DataFrame({"keys": [k for k, _ in rows], "confidence": [c for _, c in rows]})
@@ -66,7 +67,7 @@ def prompts(candidates: DataFrame, size: int = 6, most: int = 1800) -> DataFrame
     """One row per batch: qid, batch, payload (JSON of the question and the compact candidates), keys and articles in order."""
     rows = aliased(candidates, size)
     item = F.struct("position", "key", F.concat_ws(" ", "law_type", "law_name").alias("source"), F.col("article").alias("article"), F.substring("content", 1, most).alias("content"))
-    listed = rows.groupBy("qid", "batch").agg(F.first("question").alias("question"), F.sort_array(F.collect_list(item)).alias("items"))
+    listed = rows.groupBy("qid", "batch").agg(F.max("question").alias("question"), F.sort_array(F.collect_list(item)).alias("items"))
     shape = F.transform("items", lambda x: F.struct(x["key"].alias("key"), x["source"].alias("source"), x["article"].alias("article"), x["content"].alias("content")))
     return listed.select("qid", "batch", F.to_json(F.struct("question", shape.alias("candidate_articles"))).alias("payload"), F.transform("items", lambda x: x["key"]).alias("keys"), F.transform("items", lambda x: x["article"]).alias("articles"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankloom.functions import text as T
@@ -76,11 +76,13 @@ def batches_of_six(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches of candidates go to the stand-in model; replies are parsed and merged, gaps filled."""
-    rows = _candidates(spark, sf_dir).withColumn("law_type", F.lit("Luật"))
+    asked = F.substring(F.first("content").over(Window.partitionBy("qid").orderBy("position")), 1, 60)
+    rows = _candidates(spark, sf_dir).withColumn("law_type", F.lit("Luật")).withColumn("question", asked)
     told = verify.selected(verify.ask(verify.prompts(rows)))
     listed = fusion.collect_ordered(rows, ["qid"], "article", out="candidates")
     chosen = verify.with_fallback(F.col("selected"), F.col("candidates"), F.col("parse_failures") > 0, F.lit(True))
-    return listed.join(told, "qid", "left").select("qid", F.array_join(chosen, ";").alias("selected"), "confidence", F.array_join(verify.collective_fallback(chosen, F.col("candidates")), ";").alias("final"))
+    filled = listed.join(told, "qid", "left").withColumn("filled", chosen)
+    return filled.select("qid", F.array_join("filled", ";").alias("selected"), "confidence", F.array_join(verify.collective_fallback(F.col("filled"), F.col("candidates")), ";").alias("final"))
 
 
 def citation_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
