@@ -82,5 +82,6 @@ def span_text(spans: Column, kinds: tuple[str, ...]) -> Column:
 
 def digest(found: DataFrame, kinds: tuple[str, ...], base: int, id_col: str = "doc_id") -> DataFrame:
     """Counts of the base kinds, the SHA-256 of the base spans, and all spans as text."""
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(kinds[:base])]
+    held = F.transform("spans", lambda s: s["kind"])
+    counts = [(F.size(held) - F.size(F.array_remove(held, k))).cast("long").alias(f"n_{name}") for k, name in enumerate(kinds[:base])]
     return found.select(id_col, *counts, F.sha2(span_text(F.filter("spans", lambda s: s["kind"] < base), kinds), 256).alias("base_sha256"), span_text(F.col("spans"), kinds).alias("spans"))
