@@ -175,6 +175,8 @@ def disguised(data: np.ndarray, text: np.ndarray, starts: np.ndarray, ends: np.n
 STEMS = (4, 5, 6, 7)
 #: A mark is dense in a text that has it twice or more, and at least once in so many words.
 DENSE_TIMES, DENSE_SHARE = 2, 0.01
+#: Marks that each toxic text of the sample should have in the list, where it can.
+COVER = 3
 
 
 def letter_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -253,8 +255,8 @@ def learn(docs: DataFrame, labels: DataFrame, allowed: Column, model: np.ndarray
     Spark counts in how many sampled texts, and toxic ones, each mark occurs, and is dense. Marks
     of at least ``least`` toxic texts and a smoothed share of ``share`` come to the driver with the
     toxic texts that have them, bounded by the sample. From these, the mark that covers most of the
-    texts still uncovered is taken again and again, until none covers ``least``; so words that
-    only stand beside telling ones don't enter.
+    texts that lack marks is taken again and again, until none covers ``least``; a text lacks marks
+    until it has ``COVER``. So words that only stand beside telling ones hardly enter.
     """
     sample = labelled_sample(docs, labels, label, allowed, most, id_col, text_col)
 
@@ -284,15 +286,25 @@ def learn(docs: DataFrame, labels: DataFrame, allowed: Column, model: np.ndarray
     covers = {k: set(g["text"]) for k, g in pairs.groupby(["mark", "dense"])}
     shares = {(m, d): (b + 0.5) / (n + 1) for m, d, n, b in pairs[["mark", "dense", "n", "bad"]].drop_duplicates().itertuples(index=False)}
     chosen: dict[int, list[float]] = {}
-    covered: set[float] = set()
-    while covers:
-        best = max(covers, key=lambda k: (len(covers[k]) * (shares[k] - 0.5), -k[0], k[1]))
-        gained = covers.pop(best)
-        if len(gained) < least:
+    taken: list[set[float]] = []
+    lacks = dict.fromkeys(set(pairs["text"]), COVER)
+    open_texts = {k: set(s) for k, s in covers.items()}
+    while open_texts:
+        best = max(open_texts, key=lambda k: (len(open_texts[k]) * (shares[k] - 0.5), -k[0], k[1]))
+        if len(open_texts.pop(best)) < least:
             break
+        own = covers[best]
+        if any(len(own & t) >= 0.9 * len(own) and len(t) <= 1.5 * len(own) for t in taken):
+            continue  # another spelling of a mark that is in the list
         chosen.setdefault(best[0], [0.0, 0.0])[int(best[1])] = shares[best]
-        covered |= gained
-        covers = {k: t for k, s in covers.items() if len(t := s - gained) >= least}
+        taken.append(own)
+        full = set()
+        for t in own:
+            lacks[t] -= 1
+            if lacks[t] == 0:
+                full.add(t)
+        open_texts = {k: left for k, s in open_texts.items() if len(left := s - full) >= least}
+    covered = set().union(*taken)
     hashes = np.array([*chosen], np.int64).view(np.uint64)
     order = np.argsort(hashes)
     rest = (toxic - len(covered)) / max(1, total - len(covered)) if total else 0.0
