@@ -31,7 +31,7 @@ from .pii import durable
 from .words import mix, word_hashes, word_spans
 
 #: Buckets of the counts that order n-grams; their ranks are broadcast, 2 bytes each.
-BUCKET_BITS = 20
+BUCKET_BITS = 22
 #: Fragments of the global order.
 FRAGMENTS = 8
 
@@ -92,30 +92,30 @@ def sign_and_count(docs: DataFrame, words: int) -> DataFrame:
     size = 1 << BUCKET_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int64)
+        total = np.zeros(size, np.int32)
         for batch in batches:
             step = max(1, batch.num_rows // max(1, batch.nbytes >> 22))
             for at in range(0, batch.num_rows, step):
                 ids, texts = batch.slice(at, step).columns
                 owner, grams = shingle_sets(texts, words)
-                total += np.bincount((grams >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=size)
+                np.add.at(total, (grams >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), 1)
                 sizes, marks = signatures(owner, grams, len(texts))
                 yield pa.record_batch({"id": ids, "n": pa.array(sizes.astype(np.int64)), "node": pa.array(marks), "block": pa.nulls(len(ids), pa.int32()), "counts": pa.nulls(len(ids), pa.binary())})
         blocks = [b for b in range(size // BLOCK) if total[b * BLOCK : (b + 1) * BLOCK].any()]
         nothing = pa.nulls(len(blocks), pa.int64())
-        packed = [zlib.compress(total[b * BLOCK : (b + 1) * BLOCK].astype("<i8").tobytes(), 1) for b in blocks]
+        packed = [zlib.compress(total[b * BLOCK : (b + 1) * BLOCK].astype("<i4").tobytes(), 1) for b in blocks]
         yield pa.record_batch({"id": nothing, "n": nothing, "node": nothing, "block": pa.array(blocks, pa.int32()), "counts": pa.array(packed, pa.binary())})
 
     return docs.mapInArrow(run, "id long, n long, node long, block int, counts binary")
 
 
 def bucket_counts(counted: DataFrame) -> np.ndarray:
-    """The sums of all tasks' counts as 16-bit ranks, 1000 for each doubling; 2 MB at any size of the corpus."""
+    """The sums of all tasks' counts as 16-bit ranks, 1000 for each doubling; 8 MB at any size of the corpus."""
 
     def add(key: tuple, group: pa.Table) -> pa.Table:
         total = np.zeros(BLOCK, np.int64)
         for x in group["counts"]:
-            total += np.frombuffer(zlib.decompress(x.as_py()), "<i8")
+            total += np.frombuffer(zlib.decompress(x.as_py()), "<i4")
         return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([np.minimum(total, 2**31 - 1).astype("<i4").tobytes()], pa.binary())})
 
     out = np.zeros(1 << BUCKET_BITS, np.int32)
@@ -136,12 +136,74 @@ def fragment_of(grams: np.ndarray) -> np.ndarray:
     return (grams % np.uint64(FRAGMENTS)).astype(np.int32)
 
 
-def measure(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b: nodes, n_a, n_b: sizes) that are linked, by partial overlaps of each fragment summed per pair."""
+#: Bits of the filter that names the texts to cut, 2 MB in all, and bytes that travel together.
+FILTER_BITS, PART = 24, 1 << 17
+
+
+def row_filter(ids: DataFrame) -> np.ndarray:
+    """A bit for each hash of ``ids`` (id), as packed bytes of one size whatever their number."""
+    whole = 1 << FILTER_BITS - 3
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(whole * 8, bool)
+        for batch in batches:
+            bits[_bit(batch.column(0).to_numpy())] = True
+        parts = np.packbits(bits).reshape(-1, PART)
+        some = np.flatnonzero(parts.any(1))
+        yield pa.record_batch({"part": pa.array(some.astype(np.int32)), "bits": pa.array([zlib.compress(parts[k].tobytes(), 1) for k in some], pa.binary())})
+
+    def merge(key: tuple, group: pa.Table) -> pa.Table:
+        total = np.zeros(PART, np.uint8)
+        for x in group["bits"]:
+            total |= np.frombuffer(zlib.decompress(x.as_py()), np.uint8)
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([total.tobytes()], pa.binary())})
+
+    out = np.zeros(whole, np.uint8)
+    for row in ids.mapInArrow(run, "part int, bits binary").groupBy("part").applyInArrow(merge, "part int, bits binary").toLocalIterator():
+        out[row["part"] * PART : (row["part"] + 1) * PART] = np.frombuffer(row["bits"], np.uint8)
+    return out
+
+
+def _bit(ids: np.ndarray) -> np.ndarray:
+    return (mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def segments_of(docs: DataFrame, wanted: np.ndarray, words: int) -> DataFrame:
+    """(node, fragment, grams) of the texts of (id, text) whose id the filter holds; others may slip in, none is left out.
+
+    Texts stay where they are: the filter goes to them.
+    """
+
+    def cut(ids: pa.Array, texts: pa.Array) -> dict:
+        at = _bit(ids.to_numpy())
+        held = np.flatnonzero(wanted[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1)
+        texts = texts.take(pa.array(held))
+        owner, grams = shingle_sets(texts, words)
+        _, marks = signatures(owner, grams, len(texts))
+        parts = fragment_of(grams)
+        order = np.lexsort((parts, owner))
+        owner, grams, parts = owner[order], grams[order].view(np.int64), parts[order]
+        first = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (parts[1:] != parts[:-1])]) if len(owner) else np.zeros(0, np.int64)
+        ends = np.r_[first, len(owner)].astype(np.int32)
+        return {"node": marks[owner[first]], "fragment": parts[first], "grams": pa.ListArray.from_arrays(pa.array(ends), pa.array(grams))}
+
+    return map_columns(docs.where("id is not null"), cut, "node long, fragment int, grams array<long>")
+
+
+def measure(pairs: DataFrame, docs: DataFrame, texts_of: DataFrame, words: int, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, b: nodes, n_a, n_b: sizes) that are linked, by partial overlaps of each fragment summed per pair.
+
+    ``texts_of`` has the id of one text of each node; only these are cut into segments.
+    """
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = row_filter(nodes.join(texts_of, "node").select("id"))
+    segments = segments_of(docs, wanted, words)
+    # Both joins have the key (node, fragment), so they read one shuffle of the segments.
     left = segments.select(F.col("node").alias("a"), "fragment", F.col("grams").alias("grams_a"))
     right = segments.select(F.col("node").alias("b"), "fragment", F.col("grams").alias("grams_b"))
-    partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "n_a", "n_b", "fragment", F.size(F.array_intersect("grams_a", "grams_b")).alias("shared"))
-    # A segment that repeated rows have left twice counts once.
+    parts = pairs.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))))
+    partial = parts.join(left, ["a", "fragment"]).join(right, ["b", "fragment"]).select("a", "b", "n_a", "n_b", "fragment", F.size(F.array_intersect("grams_a", "grams_b")).alias("shared"))
+    # A segment that copies have left twice counts once.
     whole = partial.groupBy("a", "b", "n_a", "n_b", "fragment").agg(F.max("shared").alias("shared")).groupBy("a", "b", "n_a", "n_b").agg(F.sum("shared").alias("shared"))
     return whole.where(F.col("shared") * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
@@ -175,31 +237,19 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_
     common = held.groupBy("gram").agg(F.min(F.struct("place", "n", "node")).alias("pivot"), F.max("node").alias("high"), F.min("node").alias("low")).where("high <> low").select("gram", "pivot")
     rows = durable(held.join(common, "gram").select("gram", "node", "n", "place", "pivot").distinct())
 
-    # The sets of these nodes only, in segments; of a node's copies the one of least id is read.
-    wanted = rows.select("node").distinct().join(signed.where("id is not null").groupBy("node").agg(F.min("id").alias("id")), "node")
-
-    def cut(nodes: pa.Array, texts: pa.Array) -> dict:
-        owner, grams = shingle_sets(texts, words)
-        _, marks = signatures(owner, grams, len(texts))
-        own = (marks == nodes.to_numpy())[owner]  # a repeated id may have another text besides
-        owner, grams = owner[own], grams[own]
-        parts = fragment_of(grams)
-        order = np.lexsort((parts, owner))
-        owner, grams, parts = owner[order], grams[order].view(np.int64), parts[order]
-        first = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (parts[1:] != parts[:-1])]) if len(owner) else np.zeros(0, np.int64)
-        ends = np.r_[first, len(owner)].astype(np.int32)
-        return {"node": marks[owner[first]], "fragment": parts[first], "grams": pa.ListArray.from_arrays(pa.array(ends), pa.array(grams))}
-
-    texts = plain.join(wanted, "id").select("node", "text")
-    segments = durable(map_columns(texts, cut, "node long, fragment int, grams array<long>"))
+    texts_of = signed.where("id is not null").groupBy("node").agg(F.min("id").alias("id"))
 
     # The first n-gram that linked sets share has room behind it for all that they must share.
     def room(a: str, b: str, n_a: str, n_b: str) -> Column:
         return (1 + F.least(F.col(n_a) - F.col(a), F.col(n_b) - F.col(b))) * (100 + percent) >= percent * (F.col(n_a) + F.col(n_b))
 
-    stars = rows.where("node <> pivot.node").where(room("pivot.place", "place", "pivot.n", "n"))
-    stars = stars.select(F.col("pivot.node").alias("a"), F.col("node").alias("b"), F.col("pivot.n").alias("n_a"), F.col("n").alias("n_b")).distinct()
-    links = durable(measure(stars, segments, percent))
+    # One pivot for each node, the one that it shares most of its prefix with, if that is much of
+    # it: what isn't measured here stays a candidate of the second step.
+    shared = rows.where("node <> pivot.node").where(room("pivot.place", "place", "pivot.n", "n"))
+    shared = shared.groupBy("node", "n", F.col("pivot.node").alias("a"), F.col("pivot.n").alias("n_a")).agg(F.count("*").alias("grams")).where(F.col("grams") * 250 >= (100 - percent) * F.col("n"))
+    stars = shared.groupBy(F.col("node").alias("b"), F.col("n").alias("n_b")).agg(F.max(F.struct("grams", "a", "n_a")).alias("best")).select("best.a", "b", "best.n_a", "n_b")
+    stars = durable(stars)
+    links = durable(measure(stars, plain, texts_of, words, percent))
     roots = durable(components(links))
 
     # What the stars left open: pairs of different components that share a prefix n-gram. The
@@ -213,8 +263,10 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_
     smaller = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("node_a") < F.col("node_b")))
     fits = (F.col("gram_a") == F.col("gram_b")) & (F.col("root_a") != F.col("root_b")) & smaller & room("place_a", "place_b", "n_a", "n_b")
     open_pairs = left.join(right, fits).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "n_a", "n_b").distinct()
-    more = durable(measure(open_pairs, segments, percent))
-    roots = components(links.union(more))
+    open_pairs = durable(open_pairs)
+    if not open_pairs.isEmpty():
+        more = measure(open_pairs, plain, texts_of, words, percent)
+        roots = components(links.union(more))
 
     # Roots are nodes; a component's name is the least id of any of its texts.
     placed = signed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
