@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import add_columns, map_columns, utf8_bytes
+from .arrow import add_columns, map_columns, ragged, utf8_bytes
 from .quality import labelled_sample, remainder
 from .words import word_hashes, word_spans
 
@@ -140,22 +140,20 @@ def restore(token: str, model: np.ndarray, width: int = 64) -> str:
 
 
 def disguised(data: np.ndarray, text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, str]]:
-    """(text, token) of what may be disguised: words with signs among letters, with a letter three times in a row, with signs between single letters, and rows of single letters."""
+    """(text, token) of what may be disguised: words with letters and signs in any places, with a letter three times in a row, with signs between single letters, and rows of single letters."""
     if not len(starts):
         return []
     n = len(data)
     letter, sign, between = _IS_LETTER[data], _IS_SIGN[data], _IS_BETWEEN[data]
     ahead = lambda x, k: np.r_[x[k:], np.zeros(min(k, n), bool)][:n]
-    first = np.zeros(n, bool)
-    first[starts] = True
-    behind = np.r_[False, letter[:-1]]
-    marks = sign & ahead(letter, 1) & (behind | first)
-    marks |= letter & behind & ahead(sign, 1) & ahead(np.r_[False, sign[:-1]], 1) & ahead(letter, 2)
+    letters = np.r_[0, np.cumsum(letter, dtype=np.int64)]
+    signed = np.unique(np.searchsorted(starts, np.flatnonzero(sign), side="right") - 1)
+    signed = signed[letters[ends[signed]] > letters[starts[signed]]]
     same = np.zeros(n, bool)
     same[:-2] = letter[:-2] & (data[:-2] == data[1:-1]) & (data[:-2] == data[2:])
-    marks |= same & (data < 128)
+    marks = same & (data < 128)
     marks |= letter & ahead(between, 1) & ahead(letter, 2) & ahead(between, 3) & ahead(letter, 4)
-    found = np.unique(np.searchsorted(starts, np.flatnonzero(marks), side="right") - 1)
+    found = np.union1d(signed, np.searchsorted(starts, np.flatnonzero(marks), side="right") - 1)
     raw = data.tobytes()
     out = [(int(text[k]), raw[starts[k] : ends[k]].decode("utf-8", "ignore").lower()) for k in found.tolist()]
     # Rows of three or more single letters, perhaps signs among them.
@@ -169,6 +167,14 @@ def disguised(data: np.ndarray, text: np.ndarray, starts: np.ndarray, ends: np.n
     return out
 
 
+def readings(token: str, model: np.ndarray) -> list[str]:
+    """What may stand behind a token. Signs at its end may be letters or punctuation: it is read with and without them, and what stands there anyway is left out."""
+    core = token.strip("".join(c for c in set(token) if not c.isalnum() and c not in "@$!|+"))
+    short = core.rstrip("".join(c for c in set(core) if not c.isalnum() and c != "@"))
+    read = [restore(x, model) for x in dict.fromkeys((core, short))]
+    return [x for x in dict.fromkeys(read) if x and x not in (core, short)]
+
+
 # --- words and their list ---------------------------------------------------------------------
 
 #: Lengths in bytes of the word beginnings that count beside whole words.
@@ -199,7 +205,29 @@ def marks_of(data: np.ndarray, text: np.ndarray, starts: np.ndarray, ends: np.nd
     return np.concatenate(texts), np.concatenate(hashes)
 
 
-def marks(texts: pa.Array, model: np.ndarray, restored: dict[str, str] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[int, list[str]]]:
+def marks_behind(tokens: list[str], read: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """(place of a token, hash) of the marks that readings have beyond those of the token as it stands; of several readings, the one with most of a mark counts."""
+    strings = [x for t, r in zip(tokens, read, strict=True) for x in (t, *r)]
+    token = np.repeat(np.arange(len(tokens)), [1 + len(r) for r in read])
+    stands = np.r_[True, token[1:] != token[:-1]]
+    data, offsets = utf8_bytes(pa.array(strings))
+    string, hashes = marks_of(data, *letter_runs(data, offsets))
+    if not len(string):
+        return np.zeros(0, np.int64), hashes
+    order = np.lexsort((string, hashes, token[string]))
+    string, hashes = string[order], hashes[order]
+    owner = token[string]
+    new = np.r_[True, (owner[1:] != owner[:-1]) | (hashes[1:] != hashes[:-1])]
+    first = np.flatnonzero(new | np.r_[True, string[1:] != string[:-1]])
+    times = np.diff(np.r_[first, len(string)])
+    group = np.searchsorted(first, np.flatnonzero(new))
+    own = stands[string[first]]
+    more = np.maximum.reduceat(np.where(own, 0, times), group) - np.add.reduceat(np.where(own, times, 0), group)
+    more = np.maximum(more, 0)
+    return np.repeat(owner[new], more), np.repeat(hashes[new], more)
+
+
+def marks(texts: pa.Array, model: np.ndarray, restored: dict[str, list[str]] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[int, list[str]]]:
     """(text, hash) of the words of the texts and of what was restored, words of each text, and the restored words by text."""
     data, offsets = utf8_bytes(texts)
     runs = letter_runs(data, offsets)
@@ -207,20 +235,19 @@ def marks(texts: pa.Array, model: np.ndarray, restored: dict[str, str] | None =
     words_of = np.bincount(runs[0], minlength=len(texts))
     known = {} if restored is None else restored
     more: dict[int, list[str]] = {}
+    owners: dict[str, list[int]] = {}
     for k, token in disguised(data, *word_spans(data, offsets)):
-        core = token.strip("".join(c for c in set(token) if not c.isalnum() and c not in "@$!|+"))
-        core = core.rstrip("!|$+")
-        if core not in known:
-            known[core] = restore(core, model)
-        if known[core]:
-            more.setdefault(k, []).append(known[core])
-    if more:
-        words = [w for ws in more.values() for w in ws]
-        owner = np.repeat(np.fromiter(more, np.int64, len(more)), [len(ws) for ws in more.values()])
-        extra, ends = utf8_bytes(pa.array(words))
-        run, a, b = letter_runs(extra, ends)
-        places, found = marks_of(extra, run, a, b)
-        at, hashes = np.r_[at, owner[places]], np.r_[hashes, found]
+        if token not in known:
+            known[token] = readings(token, model)
+        if known[token]:
+            more.setdefault(k, []).extend(known[token])
+            owners.setdefault(token, []).append(k)
+    if owners:
+        token, extra = marks_behind([*owners], [known[t] for t in owners])
+        sizes = np.array([len(x) for x in owners.values()])
+        places = np.concatenate([*owners.values()])
+        at = np.r_[at, places[ragged((np.cumsum(sizes) - sizes)[token], sizes[token])]]
+        hashes = np.r_[hashes, np.repeat(extra, sizes[token])]
     return at, hashes, words_of, more
 
 
@@ -313,7 +340,7 @@ def learn(docs: DataFrame, labels: DataFrame, allowed: Column, model: np.ndarray
 
 #: Restored tokens that a worker keeps at most; beyond, it begins anew.
 KEPT = 200_000
-_restored: dict[bytes, dict[str, str]] = {}
+_restored: dict[bytes, dict[str, list[str]]] = {}
 
 
 def score(docs: DataFrame, model: np.ndarray, words: WordList, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -129,6 +129,24 @@ def test_disguised_words_are_restored_and_scored(spark):
     assert rows[2000]["predicted"] == 0 and rows[2001]["predicted"] == 0
 
 
+def test_signs_beside_each_other_and_at_the_end_are_restored(spark):
+    docs, labels = corpus(spark, ("asshole", "stoopid", "die", "shit"))
+    hidden = {"a$$hole": "asshole", "st00pid": "stoopid", "di3": "die", "sh1+": "shit", "(SH1+).": "shit", "d1e!!": "die", "4sshole": "asshole"}
+    rows = [(3000 + k, f"the river {w} people and the stone house") for k, w in enumerate(hidden)] + [(4000, "the river!! people$$$ and 100 stone houses at 7am + more|rapid")]
+    docs = docs.where("doc_id < 1000").union(spark.createDataFrame(rows, docs.schema))
+    got = {r["doc_id"]: r for r in toxicity.classify(docs, labels).collect()}
+    for k, want in enumerate(hidden.values()):
+        assert want in got[3000 + k]["restored"] and got[3000 + k]["predicted"] == 1, (want, got[3000 + k])
+    assert got[4000]["predicted"] == 0
+
+
+def test_a_token_counts_each_mark_once():
+    model = toxicity.smooth(toxicity.trigram_counts(pa.array(["stupid stupidi"] * 9)).reshape(28, 28, 28).astype(float))
+    for text in ("stupid!", "stup1d!", "stupid5", "stup1d!!."):
+        _, hashes, _, _ = toxicity.marks(pa.array([text]), model)
+        assert (np.unique(hashes, return_counts=True)[1] == 1).all(), text
+
+
 def test_decoder_finds_the_best_path_of_all():
     rng = np.random.default_rng(2)
     model = toxicity.smooth(rng.integers(0, 50, (28, 28, 28)).astype(float))
