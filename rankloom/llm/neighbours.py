@@ -39,8 +39,10 @@ def unit(q: np.ndarray) -> np.ndarray:
     return np.column_stack([q / np.linalg.norm(q, axis=1, keepdims=True), np.zeros(len(q))])
 
 
-def visits(distance2: np.ndarray, sizes: np.ndarray, success: float, spread: float) -> np.ndarray:
-    """Which buckets each query visits: in order of estimated success, until ``success`` of its sum.
+def visits(distance2: np.ndarray, sizes: np.ndarray, success: float, spread: float, least: np.ndarray | int = 0, own: np.ndarray | None = None) -> np.ndarray:
+    """Which buckets each query visits: in order of estimated success, until ``success`` of its sum and ``least`` vectors have been seen.
+
+    ``own`` has the bucket of each query itself, -1 if it isn't there; it doesn't count as seen.
 
     A bucket at squared distance d of a query, over its projections, succeeds in proportion to
     its size and exp(-d / (2 spread^2)).
@@ -50,7 +52,11 @@ def visits(distance2: np.ndarray, sizes: np.ndarray, success: float, spread: flo
     chance = np.exp(-(distance2 - distance2.min(axis=1, keepdims=True)) / (2 * spread**2)) * sizes
     ordered = np.take_along_axis(chance, order, 1)
     before = np.cumsum(ordered, 1) - ordered
-    keep = before < success * ordered.sum(1, keepdims=True)
+    seen = sizes[order]
+    if own is not None:
+        seen = seen - (order == own[:, None])
+    gathered = np.cumsum(seen, 1) - seen
+    keep = (before < success * ordered.sum(1, keepdims=True)) | (gathered < np.reshape(least, (-1, 1)))
     out = np.zeros(distance2.shape, bool)
     np.put_along_axis(out, order, keep, 1)
     return out
@@ -65,19 +71,23 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarra
         cells = np.floor((lifted @ a[t].T + b[t]) / hashing.width).astype(np.int64)
         found, member, sizes = np.unique(cells, axis=0, return_inverse=True, return_counts=True)
         order = np.argsort(member.ravel(), kind="stable")
-        buckets.append((found * hashing.width, np.split(order, np.cumsum(sizes)[:-1]), sizes.astype(float), units @ a[t].T + b[t]))
+        buckets.append((found * hashing.width, np.split(order, np.cumsum(sizes)[:-1]), sizes.astype(float), units @ a[t].T + b[t], member.ravel()))
+    by_id = np.argsort(ids)
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for low in range(0, len(q), together):
         some = slice(low, low + together)
         qs, own = q[some], q_ids[some]
         scores = np.full((len(qs), len(x)), -np.inf)
-        for floors, members, sizes, at in buckets:
+        # Ids are distinct here; a query that is among the vectors is no candidate of its own.
+        place = by_id[np.minimum(np.searchsorted(ids, own, sorter=by_id), len(ids) - 1)]
+        there = ids[place] == own
+        for floors, members, sizes, at, member in buckets:
             where = at[some]
             distance2 = np.zeros((len(qs), len(floors)))
             for h in range(hashing.hashes):
                 gap = where[:, h, None] - floors[None, :, h]
                 distance2 += np.maximum(np.maximum(-gap, gap - hashing.width), 0) ** 2
-            visited = visits(distance2, sizes, hashing.success, hashing.spread)
+            visited = visits(distance2, sizes, hashing.success, hashing.spread, np.minimum(k, len(ids) - there), np.where(there, member[place], -1))
             for bucket in np.flatnonzero(visited.any(0)):
                 who, what = np.flatnonzero(visited[:, bucket]), members[bucket]
                 scores[who[:, None], what] = qs[who] @ x[what].T
@@ -108,8 +118,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
 
     Vectors are dealt into even blocks by a hash of their id, whatever their bucket, so no bucket
     is hot; queries go to every block of vectors, in blocks of their own. In a block, each table's
-    occupied buckets are visited in the order of their estimated success, the candidates of all
-    tables are merged, and exact inner products in double precision rank them. A block gives k
+    occupied buckets are visited in the order of their estimated success, on until k candidates
+    or all of the block have been seen; the candidates of all tables are merged, and exact inner products in double precision rank them. A block gives k
     rows a query at most, which the last step merges. Pairs are never sent anywhere.
 
     Null, zero and non-finite vectors take no part, nor do rows without id; of repeated ids one

@@ -221,6 +221,28 @@ def test_one_bucket_for_all_and_several_blocks(spark):
         assert out[out["query_id"] == q].sort_values("rank")["vec_id"].tolist() == want.tolist()
 
 
+def test_few_candidates_and_hot_buckets_with_the_usual_hashing(spark):
+    rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [2.0, 0.0]), (3, [-5.0, 0.5]), (4, [0.0, -4.0]), (20, [0.0, 3.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {(r["query_id"], r["vec_id"]) for r in neighbours.nearest(frame, F.col("id") % 20 == 0).collect()}
+    assert got == {(q, i) for q in (0, 20) for i, _ in rows if i != q}
+    # A hot bucket near the query takes all of the estimated success, though it has fewer than k vectors.
+    rng = np.random.default_rng(5)
+    x = np.vstack([np.tile(rng.normal(size=8), (15, 1)), rng.normal(size=(100, 8)) * 3])
+    frame = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    for rows in (64, 16_384):
+        out = neighbours.nearest(frame, F.col("id") % 20 == 0, block_rows=rows).groupBy("query_id").count().collect()
+        assert sorted(map(tuple, out)) == [(q, 20) for q in range(0, 115, 20)]
+
+
+def test_one_bucket_for_all_with_the_usual_hashing(spark):
+    rng = np.random.default_rng(5)
+    x = np.vstack([np.tile(rng.normal(size=8), (300, 1)), rng.normal(size=(100, 8))])
+    frame = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    out = neighbours.nearest(frame, F.col("id") % 20 == 0, k=5, block_rows=64, block_queries=7).groupBy("query_id").count().collect()
+    assert sorted(map(tuple, out)) == [(q, 5) for q in range(0, 400, 20)]
+
+
 # --- the similarity join ----------------------------------------------------------------------
 
 
