@@ -125,49 +125,61 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return map_columns(numbered, run, f"row long, id {kind}, base array<struct<start: bigint, kind: int, end: bigint>>, found array<struct<start: bigint, end: bigint, pattern: string, instance: string, seed: boolean>>")
 
 
-def patterns_of(docs: DataFrame, text_col: str, rounds: int, seeds: int, confidence: float) -> DataFrame:
-    """Trusted patterns of a corpus, from one pass over its texts that keeps instances only."""
+def learned_from(docs: DataFrame, text_col: str, rounds: int, seeds: int, confidence: float) -> tuple[DataFrame, DataFrame]:
+    """Trusted patterns and discovered instances of a corpus, from one pass over its texts that keeps instances only."""
 
     def run(texts: pa.Array) -> dict:
         rows = [x for t in texts.to_pylist() if t for x in instances(t, base_spans(t))]
         return {"pattern": pa.array([x[2] for x in rows], pa.string()), "instance": pa.array([x[3] for x in rows], pa.string()), "seed": pa.array([x[4] for x in rows], pa.bool_())}
 
-    return trusted_patterns(map_columns(docs.select(text_col), run, "pattern string, instance string, seed boolean"), rounds, seeds, confidence)
+    return bootstrap(map_columns(docs.select(text_col), run, "pattern string, instance string, seed boolean"), rounds, seeds, confidence)
 
 
-def trusted_patterns(found: DataFrame, rounds: int = 3, seeds: int = 3, confidence: float = 0.8, doubt: float = 0.5) -> DataFrame:
-    """Patterns that a graph of patterns and instances trusts, with their score.
+def bootstrap(found: DataFrame, rounds: int = 3, seeds: int = 3, confidence: float = 0.8, doubt: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """Patterns that a graph of patterns and instances trusts, and the instances that they discover, of those that stand outside of base spans somewhere.
 
     ``found`` has (pattern, instance, seed). Seeds score 1 and others 0 at first. Each round a
     pattern scores the mean of its distinct instances' scores, with ``doubt`` instances of score 0
     beside them, and an instance that is no seed the chance that one of its patterns is right.
-    Trusted are patterns of at least ``confidence`` that have so many different seeds.
+    Trusted are patterns of at least ``confidence`` that have so many different seeds. Instances of
+    trusted patterns then are seeds themselves, wherever they stand, and the rounds begin anew,
+    until they discover nothing more; seeds only gain, so this ends.
     """
-    edges = durable(found.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")))
-    value = edges.select("pattern", "instance", "seed", F.col("seed").cast("double").alias("value"))
-    patterns = None
-    for k in range(rounds):
-        patterns = value.groupBy("pattern").agg((F.sum("value") / (F.count("*") + doubt)).alias("score"), F.sum(F.col("seed").cast("long")).alias("seeds"))
-        if k + 1 < rounds:
-            odds = edges.join(patterns.where("seeds > 0"), "pattern", "left").groupBy("instance").agg((1 - F.exp(F.sum(F.log1p(-F.least(F.coalesce("score", F.lit(0.0)), F.lit(0.999)))))).alias("chance"))
-            value = edges.join(odds, "instance").select("pattern", "instance", "seed", F.when(F.col("seed"), 1.0).otherwise(F.col("chance")).alias("value"))
-    return patterns.where((F.col("score") >= confidence) & (F.col("seeds") >= seeds)).select("pattern", "score")
+    edges = durable(found.groupBy("pattern", "instance").agg(F.max("seed").alias("base"), F.min("seed").alias("all_base")))
+    # A base instance is a seed in all its patterns.
+    known = durable(edges.where("base").select("instance").distinct())
+    count = known.count()
+    while True:
+        held = edges.join(known.withColumn("seed", F.lit(True)), "instance", "left").select("pattern", "instance", F.coalesce("seed", F.lit(False)).alias("seed"))
+        value = held.withColumn("value", F.col("seed").cast("double"))
+        patterns = None
+        for k in range(rounds):
+            patterns = value.groupBy("pattern").agg((F.sum("value") / (F.count("*") + doubt)).alias("score"), F.sum(F.col("seed").cast("long")).alias("seeds"))
+            if k + 1 < rounds:
+                odds = held.join(patterns.where("seeds > 0"), "pattern", "left").groupBy("instance").agg((1 - F.exp(F.sum(F.log1p(-F.least(F.coalesce("score", F.lit(0.0)), F.lit(0.999)))))).alias("chance"))
+                value = held.join(odds, "instance").select("pattern", "instance", "seed", F.when(F.col("seed"), 1.0).otherwise(F.col("chance")).alias("value"))
+        trusted = durable(patterns.where((F.col("score") >= confidence) & (F.col("seeds") >= seeds)).select("pattern"))
+        known = durable(known.union(edges.join(trusted, "pattern", "left_semi").select("instance")).distinct())
+        before, count = count, known.count()
+        if count == before:
+            return trusted, known.join(edges.where("not all_base"), "instance", "left_semi")
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3, seeds: int = 3, confidence: float = 0.8) -> DataFrame:
     """All personal data of each text: id and ``spans``, an array of (start, kind number, end), in order.
 
     Base spans are always there. They are seeds: their contexts become patterns, a graph of all
-    patterns and identifier-like tokens of the corpus is scored on Spark, and tokens in the
-    contexts of trusted patterns are spans of kind ``context``. Positions are code points, ends
+    patterns and identifier-like tokens of the corpus is scored on Spark, what trusted patterns
+    discover is a seed in turn, and all occurrences of what they discover are spans of kind ``context``. Positions are code points, ends
     exclusive. Texts are read once; contexts and spans only are kept and shuffled. Null and empty
     texts: no spans. Repeated rows and null ids: a row each. Other columns are ignored. An empty
     table gives no rows.
     """
     rows = durable(scan(docs, id_col, text_col))
     found = rows.select("row", F.explode("found").alias("f")).select("row", "f.*")
-    trusted = trusted_patterns(found.select("pattern", "instance", "seed"), rounds, seeds, confidence)
-    more = found.where(~F.col("seed")).join(trusted, "pattern", "left_semi")
+    # All tokens of trusted patterns are discovered instances, so the instance alone decides.
+    _, discovered = bootstrap(found.select("pattern", "instance", "seed"), rounds, seeds, confidence)
+    more = found.where(~F.col("seed")).join(discovered, "instance", "left_semi")
     more = more.groupBy("row").agg(F.collect_list(F.struct("start", F.lit(BASE).alias("kind"), "end")).alias("more"))
     joined = rows.select("row", "id", "base").join(more, "row", "left")
     return joined.select(F.col("id").alias(id_col), F.sort_array(F.when(F.col("more").isNull(), F.col("base")).otherwise(F.concat("base", "more"))).alias("spans"))
@@ -183,20 +195,19 @@ def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-#: Trusted patterns that a broadcast may hold; beyond, contexts are matched by a join of spans.
+#: Discovered instances that a broadcast may hold; beyond, they are matched by a join of spans.
 BROADCAST_PATTERNS = 200_000
 
 
 def redact(docs: DataFrame, text_col: str = "text", rounds: int = 3, seeds: int = 3, confidence: float = 0.8) -> DataFrame:
-    """``docs`` with personal data masked: base spans, and tokens in the contexts of trusted patterns.
+    """``docs`` with personal data masked: base spans, and all occurrences of what trusted patterns discover.
 
-    Texts aren't shuffled: trusted patterns, each backed by several different seeds, go to the
-    tasks if they are few; if there are more, rows find their spans by a join on a row number.
+    Texts aren't shuffled: discovered instances go to the tasks if they are few; if there are more, rows find their spans by a join on a row number.
     Null texts stay null. Other columns and repeated rows stay as they are.
     """
-    trusted = durable(patterns_of(docs, text_col, rounds, seeds, confidence).select("pattern"))
-    if trusted.count() <= BROADCAST_PATTERNS:
-        known = frozenset(r["pattern"] for r in trusted.collect())
+    discovered = durable(learned_from(docs, text_col, rounds, seeds, confidence)[1])
+    if discovered.count() <= BROADCAST_PATTERNS:
+        known = frozenset(r["instance"] for r in discovered.collect())
 
         def run(texts: pa.Array) -> dict:
             out = []
@@ -204,7 +215,7 @@ def redact(docs: DataFrame, text_col: str = "text", rounds: int = 3, seeds: int
                 if text:
                     spans = base_spans(text)
                     if known:
-                        spans = spans + [(a, BASE, b) for a, b, pattern, _, seed in instances(text, spans) if not seed and pattern in known]
+                        spans = spans + [(a, BASE, b) for a, b, _, instance, seed in instances(text, spans) if not seed and instance in known]
                     text = masked(text, spans) if spans else text
                 out.append(text)
             return {"_masked": pa.array(out, pa.string())}
@@ -213,7 +224,7 @@ def redact(docs: DataFrame, text_col: str = "text", rounds: int = 3, seeds: int
     else:
         numbered = docs.withColumn("_row", F.monotonically_increasing_id())
         found = durable(scan(docs.select(F.monotonically_increasing_id().alias("id"), text_col), "id", text_col))
-        more = found.select("id", F.explode("found").alias("f")).select("id", "f.*").where("not seed").join(trusted, "pattern", "left_semi").select("id", "start", F.lit(BASE).alias("kind"), "end")
+        more = found.select("id", F.explode("found").alias("f")).select("id", "f.*").where("not seed").join(discovered, "instance", "left_semi").select("id", "start", F.lit(BASE).alias("kind"), "end")
         spans = found.select("id", F.explode("base").alias("s")).select("id", "s.*").unionByName(more).groupBy("id").agg(F.collect_list(F.struct("start", "kind", "end")).alias("_spans"))
         joined = numbered.join(spans.withColumnRenamed("id", "_row"), "_row", "left").drop("_row")
 

@@ -251,3 +251,17 @@ def test_columns_may_have_other_names(spark):
     assert secrets.find(docs, "key", "body").first()["key"] == "k1" and pii.find(docs, "key", "body").first()["key"] == "k1"
     assert packing.pack(docs, WORDS, "key", "body").select(F.max("doc_tokens")).first()[0] > 1
     assert encoding.encode(docs, BYTES, "key", "body").first()["key"] == "k1" and media.store(docs, "key", "body").first()["key"] == "k1"
+
+
+def test_discovered_identifiers_are_seeds_and_marked_everywhere(spark, monkeypatch):
+    mails = [f"please reach colleague user{k}@x.example.com tomorrow" for k in range(6)]
+    first = [f"please reach colleague staff-{k}a tomorrow" for k in range(3)]
+    second = [f"ticket opened by staff-{k}a today" for k in range(3)] + ["ticket opened by staff-9z today"]
+    texts = mails + first + second + ["somewhere else stands staff-9z alone", "and staff-1a here", "but room-17 stays"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: [texts[r["doc_id"]][s["start"] : s["end"]] for s in r["spans"] if s["kind"] == pii.BASE] for r in pii.find(docs).collect()}
+    assert [found[k] for k in range(9, 16)] == [["staff-0a"], ["staff-1a"], ["staff-2a"], ["staff-9z"], ["staff-9z"], ["staff-1a"], []]
+    for most in (200_000, -1):
+        monkeypatch.setattr(pii, "BROADCAST_PATTERNS", most)
+        masked = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
+        assert (masked[13], masked[14], masked[15]) == ("somewhere else stands [CONTEXT] alone", "and [CONTEXT] here", texts[15])
