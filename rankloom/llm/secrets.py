@@ -33,8 +33,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope:
 
     Positions are code points, ends exclusive. Base kinds are always reported. Parts of the weak kinds
     are joined by intervals with parts that lie within ``scope`` code points: a weak identifier
-    needs a secret there, a weak secret an identifier, and an endpoint both; those that overlap a
-    base span aren't reported again. The interval join is a sweep over a text's parts in order of
+    needs a secret there, a weak secret an identifier, and an endpoint both. Complementary parts
+    are different texts: a weak secret that overlaps an identifier isn't one. Those that overlap a base span aren't reported again. The interval join is a sweep over a text's parts in order of
     position, which sees the nearest part of each sort on either side and forms no pairs.
 
     Only spans are shuffled, never texts; the key is a number of the input row, so equal ids don't
@@ -62,12 +62,18 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope:
 
     before = Window.partitionBy("_row").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, -1)
     after = Window.partitionBy("_row").orderBy(F.desc("start"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, -1)
-    sorts = {"id": F.col("kind").isin(1, 3), "secret": F.col("kind").isin(0, 2, 4), "base": F.col("kind") < BASE}
-    near = {}
-    for name, of in sorts.items():
+
+    def close(name: str, of: Column, gap: int) -> Column:
+        """Whether a part other than the row's own, of those that hold, lies within ``gap`` of it; 0: overlaps it."""
+        nonlocal rows
         rows = rows.withColumn(f"_b{name}", F.max(F.when(F.col("holds") & of, F.col("end"))).over(before)).withColumn(f"_a{name}", F.min(F.when(F.col("holds") & of, F.col("start"))).over(after))
-        gap = 0 if name == "base" else -scope
-        near[name] = F.coalesce(F.col(f"_b{name}") > F.col("start") + gap, F.lit(False)) | F.coalesce(F.col(f"_a{name}") < F.col("end") - gap, F.lit(False))
+        return F.coalesce(F.col(f"_b{name}") > F.col("start") - gap, F.lit(False)) | F.coalesce(F.col(f"_a{name}") < F.col("end") + gap, F.lit(False))
+
+    # No text is both parts: a weak secret that overlaps an identifier is none, and what overlaps a base secret is no identifier.
+    ids, keys = F.col("kind").isin(1, 3), F.col("kind").isin(0, 2)
+    over_id, over_key, over_base = close("over_id", ids, 0), close("over_key", keys, 0), close("over_base", F.col("kind") < BASE, 0)
+    rows = rows.withColumn("_over_base", over_base).withColumn("_id_part", ids & ~over_key).withColumn("holds", F.col("holds") & ~((F.col("kind") == 4) & over_id))
+    near = {"id": close("id", F.col("_id_part"), scope), "secret": close("secret", keys | (F.col("kind") == 4), scope), "base": F.col("_over_base")}
     linked = F.when(F.col("kind") == 3, near["secret"]).when(F.col("kind") == 4, near["id"]).otherwise(near["id"] & near["secret"])
     told = F.col("holds") & ((F.col("kind") < BASE) | (linked & ~near["base"]))
     spans = rows.groupBy("_row").agg(F.first("_id").alias(id_col), F.sort_array(F.collect_list(F.when(told, F.struct("start", "kind", "end")))).alias("spans"))
