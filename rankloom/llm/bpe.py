@@ -124,11 +124,13 @@ class KnownWords:
     """Encodings by 64-bit hash of the words that a worker has met, in arrays.
 
     Begins anew beyond ``most`` words, which bounds its memory; a batch's own words are always known.
+    ``checks`` has an independent hash of each word, by which a chance collision shows.
     """
 
     def __init__(self, most: int = 1_000_000):
         self.most = most
-        self.hashes, self.counts, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.hashes, self.checks = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.counts, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def missing(self, hashes: np.ndarray) -> np.ndarray:
         """Which of the sorted, distinct ``hashes`` aren't known."""
@@ -137,11 +139,11 @@ class KnownWords:
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         return self.hashes[at] != hashes
 
-    def learn(self, hashes: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
-        hashes, counts, ids = np.r_[self.hashes, hashes], np.r_[self.counts, counts], np.r_[self.ids, ids]
+    def learn(self, hashes: np.ndarray, checks: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        hashes, checks, counts, ids = np.r_[self.hashes, hashes], np.r_[self.checks, checks], np.r_[self.counts, counts], np.r_[self.ids, ids]
         order = np.argsort(hashes, kind="stable")
         self.ids, self.counts = gather(ids, counts, order)
-        self.hashes = hashes[order]
+        self.hashes, self.checks = hashes[order], checks[order]
 
     def full(self, more: int) -> bool:
         return len(self.hashes) + more > self.most

@@ -61,28 +61,34 @@ _known: dict[str, bpe.KnownWords] = {}
 def batch_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts in turn, number of ids of each text); each distinct word is encoded once.
 
-    Words are told apart by 64-bit hashes. A-Z fold where the vocabulary lower-cases anyway; runs
-    that hold ``<`` keep their case, as special tokens do.
+    Words are told apart by a 64-bit hash, and a second one checks that each is the word whose ids
+    it gets; should two words ever share the first, every word of the part is encoded by itself.
+    A-Z fold where the vocabulary lower-cases anyway; runs that hold ``<`` keep their case, as
+    special tokens do.
     """
     encoder, known = bpe.model(path), _known.setdefault(path, bpe.KnownWords())
     data, offsets = utf8_bytes(texts)
     text, starts, ends = word_spans(data, offsets)
-    hashes = word_hashes(data, starts, ends)
+    hashes, checks = (word_hashes(data, starts, ends, salt=k) for k in (0, 1))
     if (data == ord("<")).any():
         marks = np.cumsum(np.r_[0, data == ord("<")])
         has = marks[ends] > marks[starts]
-        hashes[has] = word_hashes(data, starts[has], ends[has], lower=False)
+        hashes[has], checks[has] = (word_hashes(data, starts[has], ends[has], lower=False, salt=k) for k in (0, 1))
     found, some, which = distinct(hashes)
     new = known.missing(found)
     if known.full(int(new.sum())):
         known.clear()
         new[:] = True
+    raw = data.tobytes() if new.any() else b""
+    words_at = lambda k: [raw[a:b] for a, b in zip(starts[k].tolist(), ends[k].tolist(), strict=True)]
     if new.any():
+        known.learn(found[new], checks[some[new]], *encode_words(words_at(some[new]), encoder))
+    at = np.searchsorted(known.hashes, found)[which]
+    if (known.checks[at] == checks).all():
+        out, lengths = bpe.gather(known.ids, known.counts, at)
+    else:
         raw = data.tobytes()
-        words = [raw[a:b] for a, b in zip(starts[some[new]].tolist(), ends[some[new]].tolist(), strict=True)]
-        known.learn(found[new], *encode_words(words, encoder))
-    at = np.searchsorted(known.hashes, found)
-    out, lengths = bpe.gather(known.ids, known.counts, at[which])
+        out, lengths = encode_words(words_at(np.arange(len(starts))), encoder)
     return out, np.bincount(text, weights=lengths, minlength=len(texts)).astype(np.int64)
 
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 
-#: An odd base of the rolling polynomial, and the steps of a 64-bit finaliser.
-BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
+#: An odd constant that sets lanes apart, and the bytes of a lane that belong to a word with so many left.
+STEP = 0x9E3779B97F4A7C15
+KEPT_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 IS_SPACE = np.zeros(256, bool)
@@ -22,28 +22,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.empty(n, np.uint64)
-    done = min(n, 1)
-    out[:done] = 1
-    while done < n:
-        step = min(done, n - done)
-        out[done : done + step] = out[:step] * np.uint64(pow(base, done, 1 << 64))
-        done += step
-    return out
-
-
-_cached: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, of at least n entries; a worker keeps the last ones."""
-    if not _cached or len(_cached[0][0]) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        _cached[0] = _powers(BASE, size), _powers(INVERSE, size)
-    return _cached[0]
-
-
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text index, start, end) of each maximal run without space or tab..carriage return bytes."""
     inside = np.zeros(len(data) + 1, bool)
@@ -57,26 +35,27 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.searchsorted(offsets, starts, side="right") - 1, starts, ends
 
 
-#: Bytes hashed at a time; the power tables then stay in a few MB.
-BLOCK = 1 << 20
-
-
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
-    """A 64-bit hash of the bytes of each word; with ``lower``, A-Z count as a-z."""
-    out = np.empty(len(starts), np.uint64)
-    i = 0
-    while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + BLOCK)))
-        low = int(starts[i])
-        part = data[low : int(ends[j - 1])]
-        up, down = powers(len(part) + 1)
-        values = (LOWER[part] if lower else part).astype(np.uint64) + np.uint64(1)
-        sums = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(values * up[: len(part)], out=sums[1:])
-        a, b = starts[i:j] - low, ends[i:j] - low
-        out[i:j] = mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-        i = j
-    return out
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True, salt: int = 0) -> np.ndarray:
+    """A 64-bit hash of the bytes of each word; with ``lower``, A-Z count as a-z. Hashes of another ``salt`` are independent.
+
+    A word's lanes of eight bytes are mixed, each with its place, before they are summed, so no
+    relation between the bytes of two words carries over to their sums.
+    """
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = LOWER[data] if lower else data
+    lanes = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    length = (ends - starts).astype(np.int64)
+    first = lanes[starts] & KEPT_BYTES[np.minimum(length, 8)]
+    out = mix(mix(first + np.uint64((salt * 2 + 1) * STEP & (1 << 64) - 1)) + np.uint64(STEP))
+    long = np.flatnonzero(length > 8)
+    if len(long):
+        more = (length[long] - 1) // 8
+        owner = np.repeat(long, more)
+        place = np.arange(len(owner)) - np.repeat(np.cumsum(more) - more, more) + 1
+        rest = lanes[starts[owner] + 8 * place] & KEPT_BYTES[np.minimum(length[owner] - 8 * place, 8)]
+        mixed = mix(mix(rest + np.uint64((salt * 2 + 1) * STEP & (1 << 64) - 1)) + (place.astype(np.uint64) + np.uint64(1)) * np.uint64(STEP))
+        out[long] += np.add.reduceat(mixed, np.cumsum(more) - more)
+    return mix(out + length.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -274,3 +274,23 @@ def test_an_account_name_is_no_secret_of_its_own(spark):
     rows = secrets.find(spark.createDataFrame(list(enumerate(lone + linked)), "doc_id long, text string")).collect()
     got = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in rows}
     assert [got[i] for i in range(7)] == [[], [], [], [], [1], [3, 4], [3, 4, 5]]
+
+
+def test_packing_tells_thue_morse_words_apart():
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate(str.maketrans("ab", "ba"))
+    texts = [word, word.translate(str.maketrans("ab", "ba")), f"{word[:1024]} {word[1024:]}"]
+    ids, counts = packing.batch_ids(pa.array(texts), WORDS)
+    assert ids.tolist() == [i for t in texts for i in Tokenizer.from_file(WORDS).encode(t, add_special_tokens=False).ids] and len(counts) == 3
+
+
+def test_packing_survives_words_of_equal_hash(monkeypatch):
+    """Should two words share the first hash, the second one shows it and every word is encoded by itself."""
+    real = packing.word_hashes
+    monkeypatch.setattr(packing, "word_hashes", lambda *a, salt=0, **k: real(*a, salt=salt, **k) % (2**64 - 1 if salt else 3))
+    monkeypatch.setattr(packing, "_known", {})
+    texts = ["one two three four five", "six Seven", None]
+    ids, counts = packing.batch_ids(pa.array(texts), WORDS)
+    whole = [Tokenizer.from_file(WORDS).encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert ids.tolist() == sum(whole, []) and counts.tolist() == [len(x) for x in whole]
