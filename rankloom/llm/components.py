@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pii import durable
+from .shared import durable
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -27,13 +27,14 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
 
     ``edges`` has long columns a and b, in any order; loops and repeated edges don't matter. Each
     round's edges are written to the checkpoint folder; rounds end when no edge changes, after
-    about the square of the logarithm of the nodes at most. Only a count and a checksum reach
+    about the square of the logarithm of the nodes at most. Only a count and 64-bit checksums reach
     the driver.
     """
     now = durable(edges.where("a <> b").select("a", "b").distinct())
     before = None
     for _ in range(most_rounds):
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003), F.max(F.xxhash64("a", "b"))).first()
+        mark = F.xxhash64("a", "b")
+        state = now.agg(F.count("*"), F.bit_xor(mark), F.sum(mark.cast("decimal(38,0)")), F.max(mark)).first()
         if state == before:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
         before = state

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import re
-import tempfile
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import add_columns, map_columns
+from .shared import durable
 
 KINDS = ("email", "ip", "card", "phone", "context")
 BASE = 4
@@ -91,21 +91,6 @@ def instances(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, i
     return out
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: the session's setting, and one of our own only where none is set."""
-    now = spark.sparkContext.getCheckpointDir()
-    if now is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-        now = spark.sparkContext.getCheckpointDir()
-    return spark.conf.get("spark.checkpoint.dir", None) or now
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, with its lineage cut."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One pass over whole texts: row number, id, ``base`` spans, and ``found`` instances with their patterns."""
 

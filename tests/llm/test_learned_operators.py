@@ -307,9 +307,67 @@ def test_join_of_nothing(spark):
 
 
 def test_one_of_each_group_stays(spark):
-    text = " ".join(f"w{k}" for k in range(60))
-    docs = spark.createDataFrame([(3, text), (1, text + " end"), (2, "quite another text of some words here"), (2, "quite another text of some words here"), (4, None), (5, ""), (None, text)], "doc_id long, text string")
-    assert sorted((r["doc_id"] or 0) for r in jaccard.keep_one(docs).collect()) == [0, 1, 2, 4, 5]
+    """Ids may repeat with other texts; a row without id is a copy like any other; names of columns don't matter."""
+    text, other = " ".join(f"w{k}" for k in range(60)), "quite another text of some words here"
+    rows = [(3, text), (1, text + " end"), (2, other), (2, other), (4, None), (5, ""), (None, text), (1, "of the same id but with a text of its own"), (None, "no id and no copy of any"), (5, "")]
+    docs = spark.createDataFrame([(i, t, "clash", 1, 2) for i, t in rows], "doc_id long, text string, number string, _rows int, key int")
+    kept = jaccard.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r["doc_id"] or 0), (r["text"] or "")[:8]) for r in kept.collect()) == [(0, "no id an"), (1, "of the s"), (1, text[:8]), (2, "quite an"), (4, ""), (5, ""), (5, "")]
+    assert jaccard.keep_one(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("words", [3, 5])
+def test_partitions_of_short_texts(words):
+    """A part may hold fewer words in all than an n-gram has."""
+    for n in range(words + 2):
+        owner, _ = jaccard.shingle_sets(pa.array([" ".join("abcdefg"[:n])]), words)
+        assert len(owner) == (0 if n == 0 else max(1, n - words + 1))
+    assert len(jaccard.shingle_sets(pa.array([None, "a", "b c"]), words)[0]) == 2
+
+
+def thue_morse(n):
+    out = "a"
+    while len(out) < n:
+        out += out.translate(str.maketrans("ab", "ba"))
+    return out
+
+
+def test_words_that_polynomials_confuse():
+    """Thue-Morse words and their complements have equal polynomials modulo powers of two."""
+    word = thue_morse(2048)
+    other = word.translate(str.maketrans("ab", "ba"))
+    owner, grams = jaccard.shingle_sets(pa.array([word, other, word.upper()]), 3)
+    assert owner.tolist() == [0, 1, 2] and grams[0] != grams[1] and grams[0] == grams[2]
+
+
+def test_a_large_group_of_near_copies_makes_few_pairs(spark, monkeypatch):
+    """Pairs measured stay in proportion to the texts, and components equal those of all pairs."""
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(3000)}" for _ in range(150)]
+    docs = [(0, " ".join(base))]
+    for i in range(1, 700):
+        words = list(base)
+        for _ in range(rng.choice([1, 1, 2, 2, 3, 4, 6])):
+            words[rng.randrange(150)] = f"x{rng.randrange(2000)}"
+        docs.append((i, " ".join(words)))
+    made = []
+    keep = jaccard.durable
+    monkeypatch.setattr(jaccard, "durable", lambda df: made.append(keep(df)) or made[-1])
+    got = sorted(tuple(r) for r in jaccard.link(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), 3, 90).collect())
+    assert got == brute_components(docs, 3, 90)
+    assert sum(x.count() for x in made if x.columns == ["a", "b", "n_a", "n_b"]) < 3 * len(docs)
+
+
+def test_fragments_cut_the_order_evenly():
+    rng = np.random.default_rng(1)
+    ranks = np.round(1000 * np.log2(1 + rng.integers(0, 50, 1 << jaccard.BUCKET_BITS))).astype(np.uint16)
+    grams = rng.integers(0, 1 << 64, 40_000, dtype=np.uint64)
+    parts = jaccard.fragment_of(grams, ranks, jaccard.cuts_of(ranks))
+    where = ranks[jaccard.bucket_of(grams)].astype(np.int64)
+    assert set(parts) == set(range(jaccard.FRAGMENTS)) and all(where[parts == k].max() <= where[parts == k + 1].min() for k in range(jaccard.FRAGMENTS - 1))
+    weight = np.bincount(parts, weights=np.exp2(where / 1000) - 1)
+    assert weight.max() < 1.1 * weight.min()
 
 
 def test_components_of_chains_stars_and_loops(spark):
