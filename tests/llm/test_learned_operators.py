@@ -198,6 +198,50 @@ def test_recall_against_brute_force(spark):
     assert hits / total >= 0.9
 
 
+def test_buckets_are_visited_in_the_order_of_their_success():
+    """Perturbations come by falling estimated success, as a direct sum over their hashes gives it."""
+    hashing = neighbours.Hashing(hashes=4, success=0.5)
+    own, logs = neighbours.chances(np.array([[0.1, 1.2, 2.3, -0.4], [5.0, 0.0, 1.0, 2.0]]), hashing)
+    moves = neighbours.steps(4)
+    order, visits = neighbours.visiting_order(logs, moves, hashing.success)
+    assert own.tolist() == [[0, 0, 0, -1], [2, 0, 0, 0]] and len(moves) == 81
+    for i in range(2):
+        total = [sum(logs[i, h, m + 1] for h, m in enumerate(move)) for move in moves]
+        assert np.allclose([total[k] for k in order[i]], sorted(total, reverse=True))
+        seen = np.exp([total[k] for k in order[i]])
+        assert seen[: visits[i]].sum() >= 0.5 * seen.sum() > seen[: visits[i] - 1].sum()
+    # A place at the lower edge of its bucket has the bucket below as its likeliest perturbation.
+    assert moves[order[0, 1]].tolist() == [-1, 0, 0, 0] or moves[order[0, 1]].tolist() == [0, 0, 1, 0]
+
+
+def test_clustered_vectors_need_few_buckets(spark):
+    """Where vectors lie in groups, queries meet little else than their own group."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 32))
+    x = np.repeat(centres, 60, 0) + 0.05 * rng.normal(size=(2400, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    scored = []
+    hashing = neighbours.Hashing(distance=0.15)
+    largest = float(np.linalg.norm(x, axis=1).max())
+    ids = np.arange(2400)
+    q = ids % 20 == 0
+    for t in range(hashing.tables):
+        a, b = hashing.projections(33)
+        own, logs = neighbours.chances(neighbours.unit(x[q]) @ a[t].T + b[t], hashing)
+        order, visits = neighbours.visiting_order(logs, neighbours.steps(8), hashing.success)
+        codes = neighbours.codes(np.floor((neighbours.lift(x, largest) @ a[t].T + b[t]) / hashing.width).astype(np.int64))
+        scored += [np.isin(codes, neighbours.codes(own[i] + neighbours.steps(8)[order[i, : visits[i]]])).mean() for i in range(q.sum())]
+    assert np.mean(scored) < 0.1
+    frame = spark.createDataFrame([(int(i), list(map(float, v))) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    out = neighbours.nearest(frame, F.col("id") % 20 == 0, hashing=hashing).toPandas()
+    hits = 0
+    for i in ids[q]:
+        scores = x @ x[i]
+        scores[i] = -np.inf
+        hits += len(set(np.argsort(-scores)[:20]) & set(out[out["query_id"] == i]["vec_id"]))
+    assert hits >= 0.9 * 20 * q.sum()
+
+
 def test_odd_vectors_ties_and_few_candidates(spark):
     rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [float("nan"), 1.0]), (6, [1.0, None]), (7, [float("inf"), 0.0]), (8, []), (20, [0.0, 3.0]), (20, [0.0, 3.0]), (None, [1.0, 1.0]), (40, [1.0, 2.0, 3.0])]
     frame = spark.createDataFrame([(i, v, 9) for i, v in rows], "vec_id long, embedding array<float>, rank int")
@@ -213,7 +257,7 @@ def test_one_bucket_for_all_and_several_blocks(spark):
     rng = np.random.default_rng(5)
     x = np.vstack([np.tile(rng.normal(size=8), (300, 1)), rng.normal(size=(100, 8))])
     frame = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    out = neighbours.nearest(frame, F.col("id") % 20 == 0, k=5, hashing=neighbours.Hashing(success=1.0), block_rows=64, block_queries=7).toPandas()
+    out = neighbours.nearest(frame, F.col("id") % 20 == 0, k=5, hashing=neighbours.Hashing(success=1.0), part_rows=64, part_queries=7).toPandas()
     for q in range(0, 400, 20):
         scores = np.array([float(np.einsum("i,i->", a, x[q])) for a in x])
         scores[q] = -np.inf
@@ -231,7 +275,7 @@ def test_few_candidates_and_hot_buckets_with_the_usual_hashing(spark):
     x = np.vstack([np.tile(rng.normal(size=8), (15, 1)), rng.normal(size=(100, 8)) * 3])
     frame = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     for rows in (64, 16_384):
-        out = neighbours.nearest(frame, F.col("id") % 20 == 0, block_rows=rows).groupBy("query_id").count().collect()
+        out = neighbours.nearest(frame, F.col("id") % 20 == 0, part_rows=rows).groupBy("query_id").count().collect()
         assert sorted(map(tuple, out)) == [(q, 20) for q in range(0, 115, 20)]
 
 
@@ -239,7 +283,7 @@ def test_one_bucket_for_all_with_the_usual_hashing(spark):
     rng = np.random.default_rng(5)
     x = np.vstack([np.tile(rng.normal(size=8), (300, 1)), rng.normal(size=(100, 8))])
     frame = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    out = neighbours.nearest(frame, F.col("id") % 20 == 0, k=5, block_rows=64, block_queries=7).groupBy("query_id").count().collect()
+    out = neighbours.nearest(frame, F.col("id") % 20 == 0, k=5, part_rows=64, part_queries=7).groupBy("query_id").count().collect()
     assert sorted(map(tuple, out)) == [(q, 5) for q in range(0, 400, 20)]
 
 
