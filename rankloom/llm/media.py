@@ -6,8 +6,10 @@ import struct
 import zlib
 from hashlib import sha256
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .arrow import map_columns
 
@@ -18,6 +20,9 @@ KEY_EVERY, RATE = 64, 25
 #: Boxes that hold boxes.
 NESTED = {b"moov", b"trak", b"mdia", b"minf", b"dinf", b"stbl", b"edts", b"mvex", b"moof", b"traf"}
 
+#: Tables that a track must have, besides the offsets of its chunks.
+TABLES = {b"stsd", b"stts", b"stsc", b"stsz"}
+
 
 def box(kind: bytes, *parts: bytes) -> bytes:
     body = b"".join(parts)
@@ -57,10 +62,17 @@ def write_container(payload: bytes) -> bytes:
     return head + moov(start) + box(b"mdat", payload)
 
 
-def walk(data: bytes, start: int = 0, end: int | None = None):
-    """(path, body start, body end) of each box; a box that leaves its parent ends the walk of that parent."""
-    end = len(data) if end is None else end
-    while start + 8 <= end:
+#: Boxes within boxes that are entered; real files nest seven or eight deep.
+DEEPEST = 32
+
+
+def walk(data: bytes):
+    """(path, body start, body end) of each box, parents first; a box that leaves its parent ends the walk of that parent. Boxes nested deeper than ``DEEPEST`` are told, but not entered."""
+    open_boxes = [((), 0, len(data))]
+    while open_boxes:
+        path, start, end = open_boxes.pop()
+        if start + 8 > end:
+            continue
         size, kind = struct.unpack_from(">I4s", data, start)
         body = start + 8
         if size == 1 and body + 8 <= end:
@@ -68,66 +80,83 @@ def walk(data: bytes, start: int = 0, end: int | None = None):
             body += 8
         size = size or end - start
         if start + size > end or start + size < body:
-            return
-        yield (kind,), body, start + size
-        if kind in NESTED:
-            for path, a, b in walk(data, body, start + size):
-                yield (kind, *path), a, b
-        start += size
+            continue
+        yield (*path, kind), body, start + size
+        open_boxes.append((path, start + size, end))
+        if kind in NESTED and len(path) < DEEPEST:
+            open_boxes.append(((*path, kind), body, start + size))
 
 
-def _table(data: bytes, at: int, form: str) -> list[tuple]:
+def _table(data: bytes, at: int, form: str) -> np.ndarray:
+    """Rows of a sample table of 32-bit (I) or 64-bit (Q) numbers."""
     (n,) = struct.unpack_from(">I", data, at + 4)
     step = struct.calcsize(">" + form)
     if at + 8 + n * step > len(data):
         raise ValueError("a sample table is cut off")
-    return [*struct.iter_unpack(">" + form, data[at + 8 : at + 8 + n * step])]
+    return np.frombuffer(data, ">u4" if form[0] == "I" else ">u8", n * len(form), at + 8).astype(np.int64).reshape(n, len(form))
+
+
+def sample_places(chunks: np.ndarray, runs: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Where each sample begins: a chunk holds as many samples as its run tells, one behind the other."""
+    first = runs[:, 0] - 1
+    if not len(runs) or first[0] != 0 or (np.diff(first) <= 0).any() or first[-1] >= max(len(chunks), 1):
+        raise ValueError("chunk runs are out of order")
+    each = np.repeat(runs[:, 1], np.diff(np.r_[first, len(chunks)]))
+    ends = np.minimum(np.cumsum(np.minimum(each, len(sizes))), len(sizes))
+    counts = np.diff(np.r_[0, ends])
+    before = np.cumsum(sizes) - sizes
+    begin = before[np.minimum(ends - counts, max(len(sizes) - 1, 0))] if len(sizes) else np.zeros(len(chunks), np.int64)
+    return np.repeat(chunks - begin, counts) + before[: int(ends[-1]) if len(ends) else 0]
 
 
 def describe(data: bytes) -> dict | None:
-    """Codec, duration in seconds, frames, and (offset, length) of key frames and of all frames of the first track that has sample tables; None for anything else."""
+    """Codec, duration in seconds, frames, and (offset, length) of key frames and of all frames of the first track that has sample tables; None for anything else.
+
+    Also None: tables that are cut off, more frames than the file has bytes, frames that lie
+    outside of the file or that no chunk holds, and key frames that aren't frames of the track.
+    """
     found: dict[bytes, int] = {}
     try:
         for path, at, _ in walk(data):
             if path[:2] == (b"moov", b"trak"):
-                if path == (b"moov", b"trak") and b"stsz" in found:
-                    break
-                found[path[-1]] = at
-        if not {b"stsd", b"stts", b"stsc", b"stsz"} <= found.keys() or not found.keys() & {b"co64", b"stco"}:
+                if path == (b"moov", b"trak"):
+                    if TABLES <= found.keys():
+                        break
+                    found = {}
+                found.setdefault(path[-1], at)
+        if not TABLES <= found.keys() or not found.keys() & {b"co64", b"stco"}:
             return None
         codec = data[found[b"stsd"] + 12 : found[b"stsd"] + 16].decode("latin-1")
-        (rate,) = struct.unpack_from(">I", data, found[b"mdhd"] + 12)
-        duration = sum(n * step for n, step in _table(data, found[b"stts"], "II")) / rate if rate else 0.0
+        version = data[found[b"mdhd"]]
+        (rate,) = struct.unpack_from(">I", data, found[b"mdhd"] + (20 if version == 1 else 12))
+        times = _table(data, found[b"stts"], "II").astype(float)
+        duration = float((times[:, 0] * times[:, 1]).sum()) / rate if rate else 0.0
         one, frames = struct.unpack_from(">II", data, found[b"stsz"] + 4)
-        sizes = [one] * frames if one else [x for (x,) in _table(data, found[b"stsz"] + 4, "I")]
-        chunks = [x for (x,) in (_table(data, found[b"co64"], "Q") if b"co64" in found else _table(data, found[b"stco"], "I"))]
-        runs = _table(data, found[b"stsc"], "III")
-        places: list[int] = []
-        for k, (first, each, _) in enumerate(runs):
-            last = runs[k + 1][0] - 1 if k + 1 < len(runs) else len(chunks)
-            for at in chunks[first - 1 : last]:
-                for _ in range(each):
-                    if len(places) == frames:
-                        break
-                    places.append(at)
-                    at += sizes[len(places) - 1]
-        keys = [x - 1 for (x,) in _table(data, found[b"stss"], "I")] if b"stss" in found else range(frames)
-        ranges = [(places[k], sizes[k]) for k in keys if k < len(places)]
-        return {"codec": codec, "duration": duration, "frames": frames, "keys": ranges, "places": places, "sizes": sizes}
+        if frames > len(data):
+            return None
+        sizes = np.full(frames, one, np.int64) if one else _table(data, found[b"stsz"] + 4, "I")[:, 0]
+        chunks = (_table(data, found[b"co64"], "Q") if b"co64" in found else _table(data, found[b"stco"], "I"))[:, 0]
+        places = sample_places(chunks, _table(data, found[b"stsc"], "III"), sizes)
+        if len(places) != frames or (places < 0).any() or (places > len(data) - sizes).any():
+            return None
+        keys = _table(data, found[b"stss"], "I")[:, 0] - 1 if b"stss" in found else np.arange(frames)
+        if len(keys) and (keys.min() < 0 or keys.max() >= frames):
+            return None
+        ranges = list(zip(places[keys].tolist(), sizes[keys].tolist(), strict=True))
+        return {"codec": codec, "duration": duration, "frames": frames, "keys": ranges, "places": places.tolist(), "sizes": sizes.tolist()}
     except (struct.error, ValueError, IndexError, KeyError):
         return None
 
 
 def read_payload(data: bytes, told: dict) -> bytes:
     """The stored frames, joined; neighbours are read together."""
-    out, at = [], 0
-    while at < len(told["places"]):
-        start = end = told["places"][at]
-        while at < len(told["places"]) and told["places"][at] == end:
-            end += told["sizes"][at]
-            at += 1
-        out.append(data[start:end])
-    return b"".join(out)
+    places, sizes = (np.array(told[k], np.int64) for k in ("places", "sizes"))
+    if not len(places):
+        return b""
+    ends = places + sizes
+    first = np.flatnonzero(np.r_[True, places[1:] != ends[:-1]])
+    last = np.r_[first[1:], len(places)] - 1
+    return b"".join(data[a:b] for a, b in zip(places[first].tolist(), ends[last].tolist(), strict=True))
 
 
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -148,9 +177,12 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def inspect(media: DataFrame, id_col: str = "doc_id", media_col: str = "media", payload_digests: bool = False) -> DataFrame:
     """Codec, duration, frames and key frames' byte ranges of containers, from their boxes alone.
 
-    Bytes that aren't a container with sample tables, and nulls: null features. With
+    Bytes that aren't a container with sound sample tables, and nulls: null features. With
     ``payload_digests`` also the stored frames' size, SHA-256 and CRC-32 of the last 64 bytes.
+    Repeated rows and null ids: a row each. Of other columns only ``n_bytes`` is taken over, where
+    it is there. An empty table gives no rows.
     """
+    told_size = F.col("n_bytes").cast("long") if "n_bytes" in media.columns else F.lit(None).cast("long")
 
     def run(ids: pa.Array, sizes: pa.Array, datas: pa.Array) -> dict:
         rows = []
@@ -170,4 +202,4 @@ def inspect(media: DataFrame, id_col: str = "doc_id", media_col: str = "media",
 
     kind = media.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, n_bytes long, codec string, duration double, frames long, keyframes array<struct<offset: bigint, length: bigint>>, media_bytes long, media_sha256 string, payload_bytes long, payload_sha256 string, tail_crc32 long"
-    return map_columns(media.select(id_col, "n_bytes", media_col), run, schema).withColumnRenamed("id", id_col)
+    return map_columns(media.select(id_col, told_size, media_col), run, schema).withColumnRenamed("id", id_col)

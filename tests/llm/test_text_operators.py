@@ -6,6 +6,7 @@ import hashlib
 import re
 import zlib
 
+import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
@@ -294,3 +295,38 @@ def test_packing_survives_words_of_equal_hash(monkeypatch):
     ids, counts = packing.batch_ids(pa.array(texts), WORDS)
     whole = [Tokenizer.from_file(WORDS).encode(t or "", add_special_tokens=False).ids for t in texts]
     assert ids.tolist() == sum(whole, []) and counts.tolist() == [len(x) for x in whole]
+
+
+def test_containers_that_lie():
+    """Depth, counts, offsets and key frames are checked against the file before anything is built from them."""
+    data = media.write_container(bytes(range(64)) * 130)
+    whole = media.describe(data)
+    assert whole["frames"] == 130 and [k for k in range(130) if (int(whole["places"][k]), 64) in whole["keys"]] == [0, 64, 128]
+
+    def changed(kind: bytes, at: int, value: bytes) -> bytes:
+        place = data.index(kind) + 4 + at
+        return data[:place] + value + data[place + len(value) :]
+
+    assert media.describe(changed(b"stsz", 8, b"\xff\xff\xff\xff")) is None  # four billion frames
+    assert media.describe(changed(b"stss", 8, b"\0\0\0\0")) is None  # key frame 0
+    assert media.describe(changed(b"stss", 8, b"\0\0\1\0")) is None  # a key frame beyond the last
+    assert media.describe(changed(b"co64", 8, (10**12).to_bytes(8, "big"))) is None
+    assert media.describe(changed(b"co64", 8, b"\xff" * 8)) is None
+    assert media.describe(changed(b"stsc", 12, b"\0\0\0\1")) is None  # frames that no chunk holds
+    assert media.describe(changed(b"stts", 4, b"\xff\xff\xff\xff")) is None
+    deep = b""
+    for _ in range(3000):
+        deep = media.box(b"moov", deep)
+    assert media.describe(deep) is None and max(len(path) for path, _, _ in media.walk(deep)) == media.DEEPEST + 1
+
+
+def test_chunks_of_several_frames():
+    chunks, runs, sizes = np.array([100, 500, 900]), np.array([[1, 2, 1], [3, 3, 1]]), np.array([10, 20, 30, 40, 5, 6, 7])
+    assert media.sample_places(chunks, runs, sizes).tolist() == [100, 110, 500, 530, 900, 905, 911]
+    with pytest.raises(ValueError):
+        media.sample_places(chunks, runs[::-1], sizes)
+
+
+def test_media_of_other_tables(spark):
+    assert media.inspect(spark.createDataFrame([(1, bytearray(media.write_container(bytes(64))))], "doc_id long, media binary")).first()["frames"] == 1
+    assert media.inspect(spark.createDataFrame([], "doc_id long, media binary")).count() == 0
