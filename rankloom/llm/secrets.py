@@ -13,7 +13,7 @@ HEX = r"[0-9a-f]{32,}"
 #: Weak parts: account names beside their keyword, long tokens with a digit, and addresses with a scheme.
 WEAK_ID = r"""(?i:access_?key_?id|client_?id|account|username|user|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,}"""
 WEAK_SECRET = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}"
-ENDPOINT = r"""[A-Za-z][A-Za-z0-9+.-]{0,20}://[^\s"'<>]+"""
+ENDPOINT = r"""(?<![A-Za-z0-9+.-])[0-9+.-]*+[A-Za-z][A-Za-z0-9+.-]*+://[^\s"'<>]+"""
 KINDS = ("assign", "access", "hex", "weak_id", "weak_secret", "endpoint")
 BASE = 3
 
@@ -29,9 +29,10 @@ def _scan(text: Column, kind: int, pattern: str, guard: Column, keep=lambda m: F
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = 200) -> DataFrame:
-    """All secrets of each text: id and ``spans``, an array of (start, kind number, end), in order.
+    """All secrets of each text: id, ``spans``, an array of (start, kind number, end), in order, and ``links``.
 
-    Positions are code points, ends exclusive. Base kinds are always reported. Parts of the weak kinds
+    A link is a secret with the identifier nearest to it and the nearest endpoint, null if there is
+    none, all within ``scope``; links are in the order of their secrets. Positions are code points, ends exclusive. Base kinds are always reported. Parts of the weak kinds
     are joined by intervals with parts that lie within ``scope`` code points: a weak identifier
     needs a secret there, a weak secret an identifier, and an endpoint both. Complementary parts
     are different texts: a weak secret that overlaps an identifier isn't one. Those that overlap a base span aren't reported again. The interval join is a sweep over a text's parts in order of
@@ -52,32 +53,40 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope:
         _scan(text, 5, ENDPOINT, text.contains("://")),
     ]
     none = F.array().cast("array<struct<kind:int,gap:bigint,len:bigint,holds:boolean>>")
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    rows = rows.select("_row", "_id", F.filter(F.concat(*(F.coalesce(p, none) for p in parts)), lambda p: p["len"].isNotNull()).alias("_parts"))
-    rows = rows.select("_row", "_id", F.posexplode_outer("_parts").alias("_n", "_p")).select("_row", "_id", "_n", "_p.*")
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_own"), F.col(text_col).alias("_text"))
+    rows = rows.select("_row", "_own", F.filter(F.concat(*(F.coalesce(p, none) for p in parts)), lambda p: p["len"].isNotNull()).alias("_parts"))
+    rows = rows.select("_row", "_own", F.posexplode_outer("_parts").alias("_n", "_p")).select("_row", "_own", "_n", "_p.*")
 
     end = F.sum(F.col("gap") + F.col("len")).over(Window.partitionBy("_row", "kind").orderBy("_n"))
-    rows = rows.repartition("_row").select("_row", "_id", "kind", "holds", end.alias("end"), (end - F.col("len")).alias("start"))
+    rows = rows.repartition("_row").select("_row", "_own", "kind", "holds", end.alias("end"), (end - F.col("len")).alias("start"))
     rows = rows.withColumn("holds", F.coalesce("holds", F.lit(False)))
 
     before = Window.partitionBy("_row").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, -1)
     after = Window.partitionBy("_row").orderBy(F.desc("start"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, -1)
 
     def close(name: str, of: Column, gap: int) -> Column:
-        """Whether a part other than the row's own, of those that hold, lies within ``gap`` of it; 0: overlaps it."""
+        """(start, end) of the nearest part other than the row's own, of those that hold, within ``gap`` of it; 0: one that overlaps it."""
         nonlocal rows
-        rows = rows.withColumn(f"_b{name}", F.max(F.when(F.col("holds") & of, F.col("end"))).over(before)).withColumn(f"_a{name}", F.min(F.when(F.col("holds") & of, F.col("start"))).over(after))
-        return F.coalesce(F.col(f"_b{name}") > F.col("start") - gap, F.lit(False)) | F.coalesce(F.col(f"_a{name}") < F.col("end") + gap, F.lit(False))
+        rows = rows.withColumn(f"_b{name}", F.max(F.when(F.col("holds") & of, F.struct("end", "start"))).over(before)).withColumn(f"_a{name}", F.min(F.when(F.col("holds") & of, F.struct("start", "end"))).over(after))
+        behind, ahead = F.col(f"_b{name}"), F.col(f"_a{name}")
+        near_b, near_a = behind["end"] > F.col("start") - gap, ahead["start"] < F.col("end") + gap
+        nearer = near_b & (~F.coalesce(near_a, F.lit(False)) | (F.col("start") - behind["end"] <= ahead["start"] - F.col("end")))
+        return F.when(nearer, F.struct(behind["start"].alias("start"), behind["end"].alias("end"))).when(near_a, F.struct(ahead["start"].alias("start"), ahead["end"].alias("end")))
 
     # No text is both parts: a weak secret that overlaps an identifier is none, and what overlaps a base secret is no identifier.
     ids, keys = F.col("kind").isin(1, 3), F.col("kind").isin(0, 2)
     over_id, over_key, over_base = close("over_id", ids, 0), close("over_key", keys, 0), close("over_base", F.col("kind") < BASE, 0)
-    rows = rows.withColumn("_over_base", over_base).withColumn("_id_part", ids & ~over_key).withColumn("holds", F.col("holds") & ~((F.col("kind") == 4) & over_id))
-    near = {"id": close("id", F.col("_id_part"), scope), "secret": close("secret", keys | (F.col("kind") == 4), scope), "base": F.col("_over_base")}
-    linked = F.when(F.col("kind") == 3, near["secret"]).when(F.col("kind") == 4, near["id"]).otherwise(near["id"] & near["secret"])
-    told = F.col("holds") & ((F.col("kind") < BASE) | (linked & ~near["base"]))
-    spans = rows.groupBy("_row").agg(F.first("_id").alias(id_col), F.sort_array(F.collect_list(F.when(told, F.struct("start", "kind", "end")))).alias("spans"))
-    return spans.select(id_col, "spans")
+    rows = rows.withColumn("_over_base", over_base.isNotNull()).withColumn("_id_part", ids & over_key.isNull()).withColumn("holds", F.col("holds") & ~((F.col("kind") == 4) & over_id.isNotNull()))
+    rows = rows.withColumn("_key_part", keys | (F.col("kind") == 4))
+    near = {"_id": close("id", F.col("_id_part"), scope), "_key": close("key", F.col("_key_part"), scope), "_place": close("place", F.col("kind") == 5, scope)}
+    rows = rows.withColumns(near)
+    has_id, has_key = F.col("_id").isNotNull(), F.col("_key").isNotNull()
+    linked = F.when(F.col("kind") == 3, has_key).when(F.col("kind") == 4, has_id).otherwise(has_id & has_key)
+    told = F.col("holds") & ((F.col("kind") < BASE) | (linked & ~F.col("_over_base")))
+    # A link is told at its secret: the nearest identifier, and the nearest endpoint if there is one.
+    link = F.struct(F.col("start").alias("secret_start"), F.col("end").alias("secret_end"), F.col("_id.start").alias("id_start"), F.col("_id.end").alias("id_end"), F.col("_place.start").alias("endpoint_start"), F.col("_place.end").alias("endpoint_end"))
+    spans = rows.groupBy("_row").agg(F.first("_own").alias(id_col), F.sort_array(F.collect_list(F.when(told, F.struct("start", "kind", "end")))).alias("spans"), F.sort_array(F.collect_list(F.when(told & F.col("_key_part") & has_id, link))).alias("links"))
+    return spans.select(id_col, "spans", "links")
 
 
 def span_text(spans: Column, kinds: tuple[str, ...]) -> Column:
@@ -87,7 +96,9 @@ def span_text(spans: Column, kinds: tuple[str, ...]) -> Column:
 
 
 def digest(found: DataFrame, kinds: tuple[str, ...], base: int, id_col: str = "doc_id") -> DataFrame:
-    """Counts of the base kinds, the SHA-256 of the base spans, and all spans as text."""
+    """Counts of the base kinds, the SHA-256 of the base spans, all spans as text, and links, where there are any, as secret>identifier>endpoint."""
     held = F.transform("spans", lambda s: s["kind"])
     counts = [(F.size(held) - F.size(F.array_remove(held, k))).cast("long").alias(f"n_{name}") for k, name in enumerate(kinds[:base])]
-    return found.select(id_col, *counts, F.sha2(span_text(F.filter("spans", lambda s: s["kind"] < base), kinds), 256).alias("base_sha256"), span_text(F.col("spans"), kinds).alias("spans"))
+    place = lambda x, part: F.concat_ws(":", x[f"{part}_start"], x[f"{part}_end"])
+    links = [F.array_join(F.transform("links", lambda x: F.concat_ws(">", place(x, "secret"), place(x, "id"), place(x, "endpoint"))), ",").alias("links")] if "links" in found.columns else []
+    return found.select(id_col, *counts, F.sha2(span_text(F.filter("spans", lambda s: s["kind"] < base), kinds), 256).alias("base_sha256"), span_text(F.col("spans"), kinds).alias("spans"), *links)

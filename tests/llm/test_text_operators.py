@@ -85,7 +85,7 @@ def test_base_spans_equal_brute_force(spark, which):
     docs = frame(spark)
     found = secrets.digest(module.find(docs), module.KINDS, module.BASE)
     kinds = [name for name, _, _ in patterns]
-    assert found.columns == ["doc_id", *(f"n_{k}" for k in kinds), "base_sha256", "spans"]
+    assert found.columns == ["doc_id", *(f"n_{k}" for k in kinds), "base_sha256", "spans", *(["links"] if which == "secrets" else [])]
     key = lambda x: (x[0] is not None, x[0] or 0, x[1])
     got = sorted(((r["doc_id"], base_of(r["spans"], kinds)) for r in found.collect()), key=key)
     want = sorted(((r["doc_id"], brute(patterns, r["text"])) for r in docs.collect()), key=key)
@@ -330,3 +330,14 @@ def test_chunks_of_several_frames():
 def test_media_of_other_tables(spark):
     assert media.inspect(spark.createDataFrame([(1, bytearray(media.write_container(bytes(64))))], "doc_id long, media binary")).first()["frames"] == 1
     assert media.inspect(spark.createDataFrame([], "doc_id long, media binary")).count() == 0
+
+
+def test_links_of_identifier_secret_and_endpoint(spark):
+    key, other = "Zq9" * 8, "Kx7" * 8
+    texts = [f"username=alice42 {key} https://db.example.com/x", f"username=alice42 {key} " + "w " * 200 + f"login: bob7 {other}", f"password=hunter2hunter2 login: carol9", "username=abcdefghijklmnop12345", f"{'verylong' * 5}://host/x login: bob7 {key}"]
+    rows = {r["doc_id"]: r for r in secrets.find(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).collect()}
+    told = {i: [tuple(None if a is None else texts[i][a:b] for a, b in ((x["secret_start"], x["secret_end"]), (x["id_start"], x["id_end"]), (x["endpoint_start"], x["endpoint_end"]))) for x in r["links"]] for i, r in rows.items()}
+    assert told[0] == [(key, "username=alice42", "https://db.example.com/x")]
+    assert told[1] == [(key, "username=alice42", None), (other, "login: bob7", None)]
+    assert told[2] == [("password=hunter2hunter2", "login: carol9", None)] and told[3] == []
+    assert told[4] == [(key, "login: bob7", "verylong" * 5 + "://host/x")]
