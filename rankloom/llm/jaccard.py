@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow import map_columns, ragged, utf8_bytes
@@ -234,12 +234,14 @@ def measure(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, per
     ``nodes`` has the id of one text of each node; only these of ``docs`` are cut into segments.
     No pairs give no links.
     """
-    met = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    segments = segments_of(docs, row_filter(nodes.join(met, "node", "left_semi").select("id")), words, ranks)
-    left = segments.select(F.col("node").alias("a"), "fragment", F.col("grams").alias("grams_a"))
-    right = segments.select(F.col("node").alias("b"), "fragment", F.col("grams").alias("grams_b"))
+
+    def segments(side: str) -> DataFrame:
+        """Segments of the nodes on one side; of stars, one side has few."""
+        ids = nodes.join(pairs.select(F.col(side).alias("node")).distinct(), "node", "left_semi").select("id")
+        return segments_of(docs, row_filter(ids), words, ranks).toDF(side, "fragment", f"grams_{side}")
+
     # A fragment that one of them has nothing in adds nothing, so it needs no row.
-    partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "n_a", "n_b", "fragment", F.size(F.array_intersect("grams_a", "grams_b")).alias("shared"))
+    partial = pairs.join(segments("a"), "a").join(segments("b"), ["b", "fragment"]).select("a", "b", "n_a", "n_b", "fragment", F.size(F.array_intersect("grams_a", "grams_b")).alias("shared"))
     # A segment that copies have left twice counts once.
     whole = partial.groupBy("a", "b", "n_a", "n_b", "fragment").agg(F.max("shared").alias("shared")).groupBy("a", "b", "n_a", "n_b").agg(F.sum("shared").alias("shared"))
     return whole.where(F.col("shared") * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b")
@@ -273,9 +275,9 @@ def _linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 where, places = where[common], places[common]
                 yield pa.record_batch({"gram": pa.array(grams[where].view(np.int64)), "node": pa.array(marks[owner[where]]), "n": pa.array(sizes[owner[where]].astype(np.int32)), "place": pa.array(places.astype(np.int32))})
 
-    # A prefix n-gram matters only if two nodes have it. Both sides of the join read one shuffle.
+    # A prefix n-gram matters only if two nodes have it. Both sides of the join need all columns, so they read one shuffle.
     held = docs.select("text").mapInArrow(prefixes, "gram long, node long, n int, place int").repartition("gram")
-    shared = held.groupBy("gram").agg(F.max("node").alias("high"), F.min("node").alias("low")).where("high <> low").select("gram")
+    shared = held.groupBy("gram").agg(F.max("node").alias("high"), F.min("node").alias("low"), F.max("n").alias("n"), F.max("place").alias("place")).where("high <> low and n > 0 and place > 0").select("gram")
     rows = durable(held.join(shared, "gram", "left_semi").distinct())
     nodes = signed.where("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.min("n").alias("n"), *(F.min(c).alias(c) for c in SKETCH))
     nodes = durable(nodes.join(rows.select("node").distinct(), "node", "left_semi"))
@@ -288,10 +290,11 @@ def _linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
         return nodes.select(F.col("node").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in ("n", *SKETCH)))
 
     def stars(rows: DataFrame, pivot: Column) -> DataFrame:
-        """One pair a node at most: with the pivot that it shares most prefix n-grams with, of those of another root that may link with it."""
+        """One pair a node at most: with the pivot that it may link with, of the two of other roots that it shares most prefix n-grams with."""
         picked = rows.groupBy("gram").agg(pivot.alias("pivot"))
         offers = rows.join(picked, "gram").where((F.col("root") != F.col("pivot.root")) & room("pivot.place", "place", "pivot.n", "n"))
         offers = offers.groupBy(F.col("node").alias("b"), F.col("pivot.node").alias("a")).agg(F.count("*").alias("grams"))
+        offers = offers.withColumn("nth", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("grams"), "a"))).where("nth <= 2").drop("nth")
         able = offers.join(side("b"), "b").join(side("a"), "a").where(may_link("_a", "_b", percent))
         return durable(able.groupBy("b", "n_b").agg(F.max(F.struct("grams", "a", "n_a")).alias("best")).select("best.a", "b", F.col("best.n_a").alias("n_a"), "n_b"))
 
@@ -307,13 +310,13 @@ def _linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
     foremost = F.min(F.struct("place", "n", "node", "root"))
     roots = components(tied(roots).union(measure(stars(rooted(roots), foremost), docs, nodes, words, percent, ranks)))
 
-    # What the stars left open. The smaller set needs only its indexing prefix here.
-    named = rooted(roots).drop("n").join(nodes.select("node", "n", *SKETCH), "node")
-    named = durable(named)
-    small = named.where((F.col("n") - F.col("place") + 1) * (100 + percent) >= 2 * percent * F.col("n"))
-    left, right = (d.toDF(*(f"{c}_{x}" for c in d.columns)) for d, x in ((small, "a"), (named, "b")))
+    # What the stars left open. The smaller set needs only its indexing prefix here; that is asked
+    # of the pair, not of the side, so both sides read one shuffle.
+    named = rooted(roots).drop("n").join(nodes.select("node", "n", *SKETCH), "node").repartition("gram")
+    left, right = (named.toDF(*(f"{c}_{x}" for c in named.columns)) for x in "ab")
     smaller = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("node_a") < F.col("node_b")))
-    fits = (F.col("gram_a") == F.col("gram_b")) & (F.col("root_a") != F.col("root_b")) & smaller & room("place_a", "place_b", "n_a", "n_b") & may_link("_a", "_b", percent)
+    indexed = (F.col("n_a") - F.col("place_a") + 1) * (100 + percent) >= percent * (F.col("n_a") + F.least("n_a", "n_b"))
+    fits = (F.col("gram_a") == F.col("gram_b")) & (F.col("root_a") != F.col("root_b")) & smaller & indexed & room("place_a", "place_b", "n_a", "n_b") & may_link("_a", "_b", percent)
     open_pairs = durable(left.join(right, fits).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "n_a", "n_b").distinct())
     if not open_pairs.isEmpty():
         roots = components(tied(roots).union(measure(open_pairs, docs, nodes, words, percent, ranks)))
