@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .shared import fresh
+
 
 def map_columns(df: DataFrame, function: Callable[..., dict], schema: str, at_once: int = 4 << 20) -> DataFrame:
     """Apply ``function(*columns)`` to parts of the Arrow batches of ``df``, of about ``at_once`` bytes.
@@ -53,11 +55,14 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 def add_columns(df: DataFrame, inputs: list[str], function: Callable[..., dict], added: str, at_once: int = 4 << 20) -> DataFrame:
     """``df`` with further columns that ``function`` computes from the ``inputs`` columns, in one pass and without a join.
 
-    ``added`` is the schema of the further columns, whose names must be new.
+    ``added`` is the schema of the further columns. Where a name is taken, the further column gets
+    underscores before it; the columns of ``df`` keep their names.
     """
     places = [df.columns.index(c) for c in inputs]
     numbered = df.toDF(*(f"c{k}" for k in range(len(df.columns))))
     kinds = ", ".join(f"c{k} {f.dataType.simpleString()}" for k, f in enumerate(df.schema.fields))
-    run = lambda *columns: {f"c{k}": c for k, c in enumerate(columns)} | function(*(columns[k] for k in places))
-    out = map_columns(numbered, run, f"{kinds}, {added}", at_once)
-    return out.toDF(*df.columns, *out.columns[len(df.columns) :])
+    names, types = zip(*(x.strip().split(" ", 1) for x in added.split(",")), strict=True)
+    more = ", ".join(f"a{k} {t}" for k, t in enumerate(types))
+    run = lambda *columns: {f"c{k}": c for k, c in enumerate(columns)} | {f"a{k}": c for k, c in enumerate(function(*(columns[k] for k in places)).values())}
+    out = map_columns(numbered, run, f"{kinds}, {more}", at_once)
+    return out.toDF(*df.columns, *fresh(df.columns, *names))

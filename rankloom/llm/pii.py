@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import add_columns, map_columns
-from .shared import durable
+from .shared import durable, fresh
 
 KINDS = ("email", "ip", "card", "phone", "context")
 BASE = 4
@@ -22,7 +22,7 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: What may be an identifier: a token with a digit, with the two words before it and the one behind it.
-TOKEN = re.compile(r"(?<![^\s(\[\"'<])(?=[^\s0-9]{0,40}[0-9])[^\s()\[\]\"'<>,;]{4,}")
+TOKEN = re.compile(r"(?<![^\s(\[\"'<])(?=[^\s()\[\]\"'<>,;0-9]*[0-9])[^\s()\[\]\"'<>,;]{4,}")
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -67,27 +67,56 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-#: Code points on either side of an instance in which its context is read.
-REACH = 80
+class Contexts:
+    """Lexical patterns around the spans of one text, asked in order of their starts: two words before and one behind, lower-cased.
+
+    Words are looked for in growing windows, and never again beyond what an earlier span has seen,
+    so all contexts of a text take time in proportion to its length.
+    """
+
+    def __init__(self, text: str):
+        self.text, self.start, self.words, self.ahead = text, 0, [], (0, -1, "")
+
+    def before(self, start: int) -> list[str]:
+        # From the last span on, if no word crosses its start; then its words are those before it.
+        floor = 0 if self.text[self.start - 1 : self.start].isalpha() else self.start
+        reach = 64
+        while True:
+            low = max(floor, start - reach)
+            found = WORD.findall(self.text, low, start)
+            if low == floor or len(found) > 2:
+                break
+            reach *= 4
+        known = self.words if floor and low == floor else []
+        self.start, self.words = start, [*known, *found][-2:]
+        return self.words
+
+    def behind(self, end: int) -> list[str]:
+        if not self.ahead[0] <= end <= self.ahead[1]:
+            m = WORD.search(self.text, end)
+            self.ahead = (end, m.start(), m[0]) if m else (end, len(self.text), "")
+        return [self.ahead[2]] if self.ahead[2] else []
+
+    def around(self, start: int, end: int) -> str:
+        return " ".join([*self.before(start), "_", *self.behind(end)]).lower()
 
 
-def context(text: str, start: int, end: int) -> str:
-    """The lexical pattern around a span: two words before it and one behind it, lower-cased."""
-    before = WORD.findall(text[max(0, start - REACH) : start])[-2:]
-    after = WORD.findall(text[end : end + REACH])[:1]
-    return " ".join([*before, "_", *after]).lower()
+#: The pattern of a span without a word on either side, which is no context.
+BARE = "_"
 
 
 def instances(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, str, str, bool]]:
     """(start, end, pattern, instance, whether it is a seed) of base spans and of tokens that may be identifiers outside of them."""
-    out = [(a, b, context(text, a, b), text[a:b], True) for a, _, b in spans]
-    taken, at = [(a, b) for a, _, b in spans], 0
+    at_seeds, at_tokens = Contexts(text), Contexts(text)
+    out = [(a, b, at_seeds.around(a, b), text[a:b], True) for a, _, b in spans]
+    taken, at, far = [(a, b) for a, _, b in spans], 0, 0
     for m in TOKEN.finditer(text):
         end = m.start() + len(m[0].rstrip(".:!?"))
-        while at < len(taken) and taken[at][1] <= m.start():
+        while at < len(taken) and taken[at][0] < end:
+            far = max(far, taken[at][1])
             at += 1
-        if not (at < len(taken) and taken[at][0] < end) and end - m.start() >= 4:
-            out.append((m.start(), end, context(text, m.start(), end), text[m.start() : end], False))
+        if far <= m.start() and end - m.start() >= 4:
+            out.append((m.start(), end, at_tokens.around(m.start(), end), text[m.start() : end], False))
     return out
 
 
@@ -130,9 +159,11 @@ def bootstrap(found: DataFrame, rounds: int = 3, seeds: int = 3, confidence: flo
     trusted patterns then are seeds themselves, wherever they stand, and the rounds begin anew,
     until they discover nothing more; seeds only gain, so this ends.
     """
-    edges = durable(found.groupBy("pattern", "instance").agg(F.max("seed").alias("base"), F.min("seed").alias("all_base")))
+    met = durable(found.groupBy("pattern", "instance").agg(F.max("seed").alias("base"), F.min("seed").alias("all_base")))
+    # What stands bare has no context: it is marked where it is known, but tells nothing.
+    edges = met.where(F.col("pattern") != BARE)
     # A base instance is a seed in all its patterns.
-    known = durable(edges.where("base").select("instance").distinct())
+    known = durable(met.where("base").select("instance").distinct())
     count = known.count()
     while True:
         held = edges.join(known.withColumn("seed", F.lit(True)), "instance", "left").select("pattern", "instance", F.coalesce("seed", F.lit(False)).alias("seed"))
@@ -147,7 +178,7 @@ def bootstrap(found: DataFrame, rounds: int = 3, seeds: int = 3, confidence: flo
         known = durable(known.union(edges.join(trusted, "pattern", "left_semi").select("instance")).distinct())
         before, count = count, known.count()
         if count == before:
-            return trusted, known.join(edges.where("not all_base"), "instance", "left_semi")
+            return trusted, known.join(met.where("not all_base"), "instance", "left_semi")
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3, seeds: int = 3, confidence: float = 0.8) -> DataFrame:
@@ -180,42 +211,63 @@ def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-#: Discovered instances that a broadcast may hold; beyond, they are matched by a join of spans.
-BROADCAST_PATTERNS = 200_000
+#: Discovered instances, and their characters, that go to the tasks; beyond either, they are matched by a join.
+SENT, SENT_CHARACTERS = 200_000, 8_000_000
 
 
 def redact(docs: DataFrame, text_col: str = "text", rounds: int = 3, seeds: int = 3, confidence: float = 0.8) -> DataFrame:
     """``docs`` with personal data masked: base spans, and all occurrences of what trusted patterns discover.
 
-    Texts aren't shuffled: discovered instances go to the tasks if they are few; if there are more, rows find their spans by a join on a row number.
-    Null texts stay null. Other columns and repeated rows stay as they are.
+    Discovered instances go to the tasks if they are few, which is checked; else texts find their
+    spans by a join on two hashes of the text. Either way gives the same rows. Null and empty texts
+    stay as they are. Other columns, whatever their names, and repeated rows stay as they are. An
+    empty table gives no rows.
     """
     discovered = durable(learned_from(docs, text_col, rounds, seeds, confidence)[1])
-    if discovered.count() <= BROADCAST_PATTERNS:
-        known = frozenset(r["instance"] for r in discovered.collect())
-
-        def run(texts: pa.Array) -> dict:
-            out = []
-            for text in texts.to_pylist():
-                if text:
-                    spans = base_spans(text)
-                    if known:
-                        spans = spans + [(a, BASE, b) for a, b, _, instance, seed in instances(text, spans) if not seed and instance in known]
-                    text = masked(text, spans) if spans else text
-                out.append(text)
-            return {"_masked": pa.array(out, pa.string())}
-
-        out = add_columns(docs, [text_col], run, "_masked string")
-    else:
-        numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-        found = durable(scan(docs.select(F.monotonically_increasing_id().alias("id"), text_col), "id", text_col))
-        more = found.select("id", F.explode("found").alias("f")).select("id", "f.*").where("not seed").join(discovered, "instance", "left_semi").select("id", "start", F.lit(BASE).alias("kind"), "end")
-        spans = found.select("id", F.explode("base").alias("s")).select("id", "s.*").unionByName(more).groupBy("id").agg(F.collect_list(F.struct("start", "kind", "end")).alias("_spans"))
-        joined = numbered.join(spans.withColumnRenamed("id", "_row"), "_row", "left").drop("_row")
-
-        def apply(texts: pa.Array, spans: pa.Array) -> dict:
-            pairs = zip(texts.to_pylist(), spans.to_pylist(), strict=True)
-            return {"_masked": pa.array([masked(t, [(s["start"], s["kind"], s["end"]) for s in x]) if t and x else t for t, x in pairs], pa.string())}
-
-        out = add_columns(joined, [text_col, "_spans"], apply, "_masked string").drop("_spans")
-    return out.withColumn(text_col, F.col("_masked")).select(*docs.columns)
+    number, characters = discovered.agg(F.count("*"), F.coalesce(F.sum(F.length("instance")), F.lit(0))).first()
+    few = number <= SENT and characters <= SENT_CHARACTERS
+    return masked_by_list(docs, discovered, text_col) if few else masked_by_join(docs, discovered, text_col)
+
+
+def masked_by_list(docs: DataFrame, discovered: DataFrame, text_col: str) -> DataFrame:
+    """Texts with base spans and listed instances masked; the list must be small."""
+    known = frozenset(r["instance"] for r in discovered.collect())
+
+    def run(texts: pa.Array) -> dict:
+        out = []
+        for text in texts.to_pylist():
+            if text:
+                spans = base_spans(text)
+                if known:
+                    spans = spans + [(a, BASE, b) for a, b, _, instance, seed in instances(text, spans) if not seed and instance in known]
+                text = masked(text, spans) if spans else text
+            out.append(text)
+        return {"masked": pa.array(out, pa.string())}
+
+    return _replaced(docs, [text_col], run, text_col, docs.columns)
+
+
+def masked_by_join(docs: DataFrame, discovered: DataFrame, text_col: str) -> DataFrame:
+    """The same for any number of instances: spans are found once for each text, known by two hashes of it, and joined to its rows."""
+    one, two, spans = fresh(docs.columns, "one", "two", "spans")
+    marks = lambda text: (F.xxhash64(text), F.xxhash64(text, F.length(text)))
+    texts = docs.where(F.col(text_col) != "").select(F.struct(*(m.alias(k) for m, k in zip(marks(F.col(text_col)), ("one", "two"), strict=True))).alias("mark"), F.col(text_col).alias("text"))
+    found = scan(texts, "mark", "text").select("id", F.explode("found").alias("f")).where("not f.seed").select("id.*", "f.start", "f.end", "f.instance").distinct()
+    more = found.join(discovered, "instance", "left_semi").groupBy(F.col("one").alias(one), F.col("two").alias(two)).agg(F.sort_array(F.collect_list(F.struct("start", F.lit(BASE).alias("kind"), "end"))).alias(spans))
+    first, second = marks(F.col(text_col))
+    joined = docs.withColumn(one, first).withColumn(two, second).join(more, [one, two], "left")
+
+    def run(texts: pa.Array, spans: pa.Array) -> dict:
+        rows = []
+        for text, found in zip(texts.to_pylist(), spans.to_pylist(), strict=True):
+            all_spans = [*base_spans(text), *((s["start"], s["kind"], s["end"]) for s in found or ())] if text else []
+            rows.append(masked(text, all_spans) if all_spans else text)
+        return {"masked": pa.array(rows, pa.string())}
+
+    return _replaced(joined, [text_col, spans], run, text_col, docs.columns)
+
+
+def _replaced(rows: DataFrame, inputs: list[str], function, text_col: str, columns: list[str]) -> DataFrame:
+    """``columns`` of ``rows`` with what the function makes of the inputs in place of the text."""
+    out = add_columns(rows, inputs, function, "masked string")
+    return out.withColumn(text_col, F.col(out.columns[-1])).select(*columns)

@@ -221,7 +221,12 @@ def score(docs: DataFrame, model: Additive | None, id_col: str = "doc_id", text_
 
 
 def flag(docs: DataFrame, model: Additive | None, threshold: float, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``predicted``: 1 where the score reaches the threshold. No join, so rows stay as they are."""
+    """``docs`` with ``predicted`` as last column: 1 where the score reaches the threshold.
+
+    No join, so rows stay as they are: repeated rows, null ids and all columns; where ``docs`` has
+    a column of that name, the last one is ``_predicted``. Null and empty texts are scored like
+    others. An empty table gives no rows.
+    """
 
     def run(texts: pa.Array) -> dict:
         x = features(texts)

@@ -129,7 +129,7 @@ def test_redaction_by_joins_gives_the_same(spark, monkeypatch):
     rows = [(i, f"please write to person{i}.x@mail{i}.example.com today") for i in range(5)] + [(9, "please write to ZX-4711-99 today"), (10, None), (11, "clean")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = sorted(map(str, pii.redact(docs).collect()))
-    monkeypatch.setattr(pii, "BROADCAST_PATTERNS", -1)
+    monkeypatch.setattr(pii, "SENT", -1)
     assert sorted(map(str, pii.redact(docs).collect())) == want
 
 
@@ -341,3 +341,38 @@ def test_links_of_identifier_secret_and_endpoint(spark):
     assert told[1] == [(key, "username=alice42", None), (other, "login: bob7", None)]
     assert told[2] == [("password=hunter2hunter2", "login: carol9", None)] and told[3] == []
     assert told[4] == [(key, "login: bob7", "verylong" * 5 + "://host/x")]
+
+
+def plain_context(text, start, end):
+    before, after = pii.WORD.findall(text[:start])[-2:], pii.WORD.findall(text[end:])[:1]
+    return " ".join([*before, "_", *after]).lower()
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="ab1 .@-(+é\n", max_size=200))
+def test_contexts_equal_those_of_whole_texts(text):
+    for start, end, pattern, instance, _ in pii.instances(text, pii.base_spans(text)):
+        assert (pattern, instance) == (plain_context(text, start, end), text[start:end])
+
+
+def test_contexts_at_any_distance():
+    text = f"account number{' ' * 5000}AB12CD34{'.' * 900} please " + "x" * 45 + "9 and 1234 " * 3
+    told = {i: p for _, _, p, i, _ in pii.instances(text, [])}
+    assert told["AB12CD34"] == "account number _ please" and told["x" * 45 + "9"].startswith("number please") is False and "x" * 45 + "9" in told
+    digits = "12345 " * 40_000  # no words at all: time stays in proportion to the length
+    assert {p for _, _, p, _, _ in pii.instances(digits, [])} == {pii.BARE}
+
+
+def test_both_ways_of_masking_agree(spark):
+    docs = spark.createDataFrame([(i, f"member code A{i % 7}B{i}9 is valid", "clash", 1, 2) for i in range(30)] + [(3, "member code A3B39 is valid", "clash", 1, 2), (None, "see A3B39 or bob@x.org", "clash", 1, 2), (50, None, "clash", 1, 2), (51, "", "clash", 1, 2)], "doc_id long, text string, masked string, one int, spans int")
+    known = spark.createDataFrame([("A3B39",), ("A4B49",)], "instance string")
+    a, b = (sorted(map(str, f(docs, known, "text").collect())) for f in (pii.masked_by_list, pii.masked_by_join))
+    assert a == b and sum("[CONTEXT]" in x for x in a) == 4 and any("[EMAIL]" in x and "clash" in x for x in a)
+    assert pii.redact(docs).columns == docs.columns and pii.redact(docs).count() == docs.count() and pii.redact(docs.limit(0)).count() == 0
+
+
+def test_flags_of_clashing_names(spark):
+    from rankloom.llm import quality
+    docs = spark.createDataFrame([(1, "text", 7), (None, None, 8), (1, "text", 7)], "doc_id long, text string, predicted int")
+    out = quality.flag(docs, None, 0.3)
+    assert out.columns == ["doc_id", "text", "predicted", "_predicted"] and sorted(r["predicted"] for r in out.collect()) == [7, 7, 8]
