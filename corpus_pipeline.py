@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 
 from rankloom.llm import jaccard, packing, pii, quality, toxicity
 from rankloom.llm.registry import WORD_VOCABULARY
+from rankloom.llm.shared import shared_folder
 
 
 def _keep(docs: DataFrame, scored: DataFrame, wanted: int) -> DataFrame:
-    return scored.where(F.col("predicted") == wanted).select(*docs.columns)
+    return scored.where(F.col(scored.columns[-1]) == wanted).select(*docs.columns)
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +60,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn over documents; what lies between them is written to the shared checkpoint folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{pii.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
