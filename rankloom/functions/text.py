@@ -23,14 +23,22 @@ def collapse(c: Column) -> Column:
 
 
 @F.pandas_udf(StringType())
-def nfc(texts: pd.Series) -> pd.Series:
-    """Canonical composition; only needed for input that may be decomposed."""
-    return texts.map(lambda t: None if t is None or unicodedata.is_normalized("NFC", t) else unicodedata.normalize("NFC", t)).where(lambda s: s.notna(), texts)
+def _compose(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+
+
+#: Characters that canonical composition leaves alone wherever they stand: Latin letters with their accents, punctuation and ideographs.
+COMPOSED = r"\x00-\u02FF\u1E00-\u1EFF\u2010-\u2027\u4E00-\u9FFF"
+
+
+def nfc(c: Column) -> Column:
+    """Canonical composition. Only texts that may need it leave the JVM; null stays null."""
+    return F.coalesce(_compose(F.when(c.rlike(f"[^{COMPOSED}]"), c)), c)
 
 
 def tokens(c: Column) -> Column:
-    """Lower-cased words of two or more letters, digits or underscores."""
-    return F.filter(F.split(F.lower(text_of(c)), r"[^\p{L}\p{N}_]+"), lambda t: F.length(t) > 1)
+    """Lower-cased words of two or more letters, digits or underscores, of the composed text."""
+    return F.filter(F.split(F.lower(nfc(text_of(c))), r"[^\p{L}\p{N}_]+"), lambda t: F.length(t) > 1)
 
 
 # --- references: law|type and name|article ----------------------------------------------------
@@ -83,7 +91,8 @@ def embedding_text(law_type: Column, law_name: Column, number: Column, title: Co
 
 
 def fingerprint(text: Column) -> Column:
-    return F.sha2(text, 256)
+    """SHA-256 of the composed text, so that composed and decomposed spellings have one."""
+    return F.sha2(nfc(text), 256)
 
 
 def query_text(question: Column, instruction: str) -> Column:

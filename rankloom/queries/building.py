@@ -50,13 +50,13 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 
 def monotonic_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = corpus.markers(_numbered(table(spark, sf_dir, "documents")))
+    found = corpus.marked(_numbered(table(spark, sf_dir, "documents")))
     return corpus.boundaries(found).select(F.col("id").alias("doc_id"), "pos", "number")
 
 
 def article_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles between boundaries, by digests of their bodies and titles and the number of clauses."""
-    rows = corpus.articles(corpus.markers(_numbered(table(spark, sf_dir, "documents"))))
+    rows = corpus.articles(corpus.marked(_numbered(table(spark, sf_dir, "documents"))))
     return rows.select(F.col("id").alias("doc_id"), "number", F.md5("title").alias("title_md5"), F.md5("content").alias("content_md5"), F.size("clauses").alias("n_clauses"))
 
 
@@ -144,7 +144,7 @@ ORACLES = {
 SELECT doc_id, number, md5({_TITLE.format("content")}) AS title_md5, md5(content) AS content_md5, len(list_filter(regexp_split_to_array(content, '(?:^|\\s+)\\d{{1,2}}\\.\\s+')[2:], lambda x: trim(x) <> '')) AS n_clauses FROM s WHERE content <> ''""",
     "title_split": f"SELECT doc_id, {_TITLE.format('t')} AS title FROM (SELECT doc_id, {COLLAPSE.format('text')} AS t FROM documents)",
     "content_hash": r"SELECT doc_id, h AS chunk_id, regexp_replace(h, '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\1-\2-\3-\4-\5') AS point_id FROM (SELECT doc_id, md5(source || '|' || lang || '|' || substr(text, 1, 120)) AS h FROM documents)",
-    "embedding_fingerprint": "SELECT doc_id, sha256(lang || ' ' || substr(source, 1, 220) || chr(10) || doc_id || '. ' || substr(text, 1, 180) || chr(10) || substr(text, 1, 1000)) AS fingerprint FROM documents",
+    "embedding_fingerprint": "SELECT doc_id, sha256(nfc_normalize(lang || ' ' || substr(source, 1, 220) || chr(10) || doc_id || '. ' || substr(text, 1, 180) || chr(10) || substr(text, 1, 1000))) AS fingerprint FROM documents",
     "dedup_tier_priority": "WITH r AS (SELECT 1 AS tier, doc_id AS id, lower(trim(split_part(text, chr(10), 1))) AS key FROM documents UNION ALL SELECT 0, item_id, lower(trim(split_part(text, chr(10), 1))) FROM benchmark) SELECT tier, id, md5(key) AS key_md5 FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY tier, id) AS n FROM r) WHERE n = 1",
     "latest_per_key": "SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1",
     "first_per_key": "SELECT l_orderkey, l_linenumber, l_partkey FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS n FROM lineitem) WHERE n = 1",

@@ -5,18 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.operators import bm25
 from rankloom.functions.text import collapse
+from rankloom.operators import bm25, dense, fusion
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def index_of(spark: SparkSession, sf_dir: str) -> bm25.Index:
-    return bm25.build(table(spark, sf_dir, "documents"))
-
-
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
 
@@ -37,16 +33,51 @@ def intent_rows(rows: DataFrame) -> DataFrame:
     return intents_of(rows).select("qid", F.posexplode("intents").alias("intent_index", "query"))
 
 
+def index_of(spark: SparkSession, sf_dir: str) -> bm25.Index:
+    """An index of the words of all questions, whose postings are kept for the searches of one query."""
+    index = bm25.build(table(spark, sf_dir, "documents"), only=bm25.words_of(questions(spark, sf_dir)))
+    return bm25.Index(index.postings.persist(), index.terms, index.stats)
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+
+
+def dense_hits(spark: SparkSession, sf_dir: str, asked: DataFrame, k: int) -> DataFrame:
+    """(qid, doc_id, score, rank) of ``asked`` (qid, vec_id): a stored vector stands in for the model's embedding of a text; texts without one find nothing."""
+    rows = vectors(spark, sf_dir)
+    q = asked.join(rows.withColumnRenamed("id", "vec_id"), "vec_id").select("qid", "v")
+    return dense.top_k(q, rows, k).select("qid", F.col("id").alias("doc_id"), "score", "rank")
+
+
+def hybrid_by_intent(index: bm25.Index, dense_rows: DataFrame, asked: DataFrame, depth: int, k: int) -> DataFrame:
+    """BM25 and dense hits of each intent (qid, intent_index, query), fused by reciprocal rank: qid, intent_index, doc_id, score, rank."""
+    keys = ("qid", "intent_index")
+    return fusion.rrf([bm25.search(index, asked, depth, keys), dense_rows], k, keys)
+
+
+#: Intent i of question q has the stored vector q + i in place of an embedding; its topic has that of number q + 1.
 def intent_hits(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
-    """The best k documents of each intent: qid, intent_index, doc_id, score, rank."""
-    return bm25.search(index_of(spark, sf_dir), intent_rows(questions(spark, sf_dir)), k, ("qid", "intent_index"))
+    """The best k documents of each intent, by BM25 and vectors: qid, intent_index, doc_id, score, rank. Kept, as queries use it several times."""
+    asked = intent_rows(questions(spark, sf_dir))
+    found = dense_hits(spark, sf_dir, asked.select((F.col("qid") * 10 + F.col("intent_index")).alias("qid"), (F.col("qid") + F.col("intent_index")).alias("vec_id")), 50)
+    by_intent = found.select(F.floor(F.col("qid") / 10).cast("long").alias("qid"), (F.col("qid") % 10).cast("int").alias("intent_index"), "doc_id", "score", "rank")
+    return hybrid_by_intent(index_of(spark, sf_dir), by_intent, asked, 50, k).persist()
+
+
+def question_hits(spark: SparkSession, sf_dir: str, k: int = 60) -> DataFrame:
+    """The best k documents of each question, by its words, its vector, and its topic's vector where the topic (the first sentence) differs. Kept."""
+    asked = intents_of(questions(spark, sf_dir))
+    topics = asked.where(F.element_at("intents", 1) != collapse(F.col("query"))).select("qid", (F.col("qid") + 1).alias("vec_id"))
+    lists = [bm25.search(index_of(spark, sf_dir), asked, 50), dense_hits(spark, sf_dir, asked.select("qid", F.col("qid").alias("vec_id")), 50), dense_hits(spark, sf_dir, topics, 50)]
+    return fusion.rrf(lists, k).persist()
 
 
 def counted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intents_of(questions(spark, sf_dir)).select("qid", "query", F.size("intents").alias("num_intents"))
 
 
-TOKENS = r"list_filter(regexp_split_to_array(lower(coalesce({0}, '')), '[^\p{{L}}\p{{N}}_]+'), lambda x: length(x) > 1)"
+TOKENS = r"list_filter(regexp_split_to_array(lower(nfc_normalize(coalesce({0}, ''))), '[^\p{{L}}\p{{N}}_]+'), lambda x: length(x) > 1)"
 COLLAPSE = r"trim(regexp_replace(coalesce({0}, ''), '\s+', ' ', 'g'))"
 
 INDEX_SQL = f"""
@@ -75,4 +106,25 @@ def questions_sql(name: str, k: int) -> str:
     return search_sql(name, "(SELECT item_id AS qid, text AS query FROM benchmark)", "qid", k)
 
 
-HITS_SQL = f"{INTENTS_SQL}, {search_sql('hits', 'intent_rows', 'qid, intent_index', 10)}"
+VECTORS_SQL = "v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)"
+
+
+def dense_sql(name: str, source: str, keys: str, k: int) -> str:
+    """CTEs that end in ``name``: the k nearest vectors of each row of ``source`` (keys, vec_id)."""
+    of = ", ".join(f"q.{c.strip()}" for c in keys.split(","))
+    return f"""
+{name}_s AS (SELECT {of}, x.vec_id AS doc_id, round(list_cosine_similarity(o.e, x.e), 6) + 0.0 AS score FROM {source} q JOIN v o USING (vec_id) CROSS JOIN v x),
+{name} AS (SELECT {keys}, doc_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY score DESC, doc_id) AS rank FROM {name}_s) WHERE rank <= {k})"""
+
+
+def fuse_sql(name: str, lists: list[str], keys: str, k: int) -> str:
+    """CTEs that end in ``name``: reciprocal rank fusion of the lists."""
+    rows = " UNION ALL ".join(f"SELECT {keys}, doc_id, rank, {n} AS list FROM {x}" for n, x in enumerate(lists))
+    return f"""
+{name}_s AS (SELECT {keys}, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score, min(list * 1000 + rank) AS first FROM ({rows}) GROUP BY {keys}, doc_id),
+{name} AS (SELECT {keys}, doc_id, score, rank FROM (SELECT {keys}, doc_id, score, row_number() OVER (PARTITION BY {keys} ORDER BY score DESC, first, doc_id) AS rank FROM {name}_s) WHERE rank <= {k})"""
+
+
+#: ``hits``: of each intent; ``wide``: of each question. Both need INDEX_SQL before them.
+HITS_SQL = f"{INTENTS_SQL}, {VECTORS_SQL}, {search_sql('hits_l', 'intent_rows', 'qid, intent_index', 50)}, {dense_sql('hits_d', '(SELECT qid, intent_index, qid + intent_index AS vec_id FROM intent_rows)', 'qid, intent_index', 50)}, {fuse_sql('hits', ['hits_l', 'hits_d'], 'qid, intent_index', 10)}"
+GLOBAL_SQL = f"{questions_sql('wide_l', 50)}, {dense_sql('wide_d', '(SELECT item_id AS qid, item_id AS vec_id FROM benchmark)', 'qid', 50)}, {dense_sql('wide_t', '(SELECT qid, qid + 1 AS vec_id FROM intents WHERE intents[1] <> ' + COLLAPSE.format('query') + ')', 'qid', 50)}, {fuse_sql('wide', ['wide_l', 'wide_d', 'wide_t'], 'qid', 60)}"

@@ -9,7 +9,7 @@ from rankloom.functions import text as T
 from rankloom.operators import bm25, dense, fusion
 from rankloom.operators.features import rank_by_score
 
-from .common import COLLAPSE, HITS_SQL, INDEX_SQL, INTENTS_SQL, TOKENS, index_of, intent_hits, intents_of, questions, questions_sql, search_sql, table
+from .common import GLOBAL_SQL, HITS_SQL, INDEX_SQL, INTENTS_SQL, TOKENS, VECTORS_SQL, dense_hits, dense_sql, fuse_sql, index_of, intent_hits, intents_of, question_hits, questions, questions_sql, table, vectors
 
 
 def tokenize_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,7 +18,7 @@ def tokenize_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_index_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index_of(spark, sf_dir).terms.select("term", "df", F.round("idf", 9).alias("idf"))
+    return bm25.build(table(spark, sf_dir, "documents")).terms.select("term", "df", F.round("idf", 9).alias("idf"))
 
 
 def bm25_corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,13 +29,9 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25.search(index_of(spark, sf_dir), questions(spark, sf_dir), 10)
 
 
-def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-
-
 def _dense(distance: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = _vectors(spark, sf_dir)
+        rows = vectors(spark, sf_dir)
         return dense.top_k(rows.where("id % 100 = 0").select(F.col("id").alias("qid"), "v"), rows, 10, distance)
 
     return query
@@ -49,27 +45,16 @@ r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS
 
 def l2_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = dense.l2_normalize(F.col("v"))
-    return _vectors(spark, sf_dir).select("id", F.round(dense.norm(F.col("v")), 6).alias("norm"), F.round(F.element_at(v, 1), 6).alias("first"), F.round(F.element_at(v, -1), 6).alias("last"))
+    return vectors(spark, sf_dir).select("id", F.round(dense.norm(F.col("v")), 6).alias("norm"), F.round(F.element_at(v, 1), 6).alias("first"), F.round(F.element_at(v, -1), 6).alias("last"))
 
 
 def vector_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _vectors(spark, sf_dir).select("id", dense.is_valid(F.col("v"), 64).alias("valid"))
+    return vectors(spark, sf_dir).select("id", dense.is_valid(F.col("v"), 64).alias("valid"))
 
 
 def _dense_of_questions(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     """A question's vector is the stored one of the same number; documents without vector aren't found."""
-    rows = _vectors(spark, sf_dir)
-    asked = rows.join(questions(spark, sf_dir).select(F.col("qid").alias("id")), "id", "left_semi").select(F.col("id").alias("qid"), "v")
-    return dense.top_k(asked, rows, k).select("qid", F.col("id").alias("doc_id"), "score", "rank")
-
-
-DENSE_SQL = """
-v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
-dense_s AS (SELECT q.vec_id AS qid, x.vec_id AS doc_id, round(list_cosine_similarity(q.e, x.e), 6) + 0.0 AS score FROM v q JOIN benchmark b ON b.item_id = q.vec_id CROSS JOIN v x),
-dense AS (SELECT qid, doc_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM dense_s) WHERE rank <= 50)"""
-FUSE_SQL = """
-fused_s AS (SELECT qid, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score, min(list * 1000 + rank) AS first FROM lists GROUP BY qid, doc_id),
-fused AS (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, first, doc_id) AS rank FROM fused_s)"""
+    return dense_hits(spark, sf_dir, questions(spark, sf_dir).select("qid", F.col("qid").alias("vec_id")), k)
 
 
 def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,10 +63,8 @@ def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of the question, its vector, and words of its topic (its first sentence) if that differs."""
-    index, asked = index_of(spark, sf_dir), intents_of(questions(spark, sf_dir))
-    topic = asked.withColumn("topic", F.element_at("intents", 1)).where(F.col("topic") != T.collapse(F.col("query"))).select("qid", F.col("topic").alias("query"))
-    return fusion.rrf([bm25.search(index, asked, 50), _dense_of_questions(spark, sf_dir, 50), bm25.search(index, topic, 50)], 60)
+    """Words of the question, its vector, and the vector of its topic (its first sentence) if that differs."""
+    return question_hits(spark, sf_dir)
 
 
 def hybrid_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,6 +87,7 @@ def intents_sanitized(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def intent_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per intent: BM25 and vectors, 50 each, fused by reciprocal rank, the ten best."""
     return intent_hits(spark, sf_dir)
 
 
@@ -158,8 +142,8 @@ def retrieval_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (tokenize_stats, bm25_index_terms, bm25_corpus_stats, bm25_topk, l2_normalize, vector_validate, rrf_fuse, hybrid_topk, hybrid_fallback, payload_resolve, intents_sanitized, intent_topk, intent_union_article, intent_union_chunk, prefix_topk_exports, coverage_probe, lowest_n, percentile_linear, retrieval_recall)}
 QUERIES |= {f"dense_topk_{d}": _dense(d) for d in ("cosine", "dot", "euclid")}
 
-_LISTS = "lists AS (SELECT qid, doc_id, rank, 0 AS list FROM lex UNION ALL SELECT qid, doc_id, rank, 1 FROM dense{0})"
-_FUSED = f"WITH {INDEX_SQL}, {questions_sql('lex', 50)}, {DENSE_SQL}, {_LISTS.format('')}, {FUSE_SQL}"
+_DENSE = dense_sql("dense", "(SELECT item_id AS qid, item_id AS vec_id FROM benchmark)", "qid", 50)
+_FUSED = f"WITH {INDEX_SQL}, {VECTORS_SQL}, {questions_sql('lex', 50)}, {_DENSE}, {fuse_sql('fused', ['lex', 'dense'], 'qid', 100)}"
 _PROBE = f"WITH {INDEX_SQL}, {questions_sql('lex', 5)}, probe AS (SELECT item_id AS qid, coalesce(max(score), 0.0) AS top1, coalesce(round(avg(score), 9), 0.0) AS mean5 FROM benchmark LEFT JOIN lex ON item_id = qid GROUP BY item_id)"
 ORACLES = {
     "tokenize_stats": f"SELECT doc_id, len(w) AS n_tokens, len(list_distinct(w)) AS n_distinct FROM (SELECT doc_id, {TOKENS.format('text')} AS w FROM documents)",
@@ -172,8 +156,8 @@ ORACLES = {
     "l2_normalize": "SELECT vec_id AS id, round(n, 6) AS norm, round(e[1] / n, 6) AS first, round(e[-1] / n, 6) AS last FROM (SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS n FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings))",
     "vector_validate": "SELECT vec_id AS id, coalesce(len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0, false) AS valid FROM embeddings",
     "rrf_fuse": f"{_FUSED} SELECT * FROM fused",
-    "hybrid_topk": f"WITH {INDEX_SQL}, {INTENTS_SQL}, {questions_sql('lex', 50)}, topics AS (SELECT qid, intents[1] AS query FROM intents WHERE intents[1] <> {COLLAPSE.format('query')}), " + search_sql("topic", "topics", "qid", 50) + f", {DENSE_SQL}, {_LISTS.format(' UNION ALL SELECT qid, doc_id, rank, 2 FROM topic')}, {FUSE_SQL} SELECT * FROM fused WHERE rank <= 60",
-    "hybrid_fallback": f"WITH {INDEX_SQL}, {questions_sql('lex', 10)}, {DENSE_SQL} SELECT qid, doc_id, rank, 'dense' AS method FROM dense WHERE rank <= 10 UNION ALL SELECT qid, doc_id, rank, 'global_fallback' FROM lex WHERE qid NOT IN (SELECT qid FROM dense)",
+    "hybrid_topk": f"WITH {INDEX_SQL}, {INTENTS_SQL}, {VECTORS_SQL}, {GLOBAL_SQL} SELECT * FROM wide",
+    "hybrid_fallback": f"WITH {INDEX_SQL}, {VECTORS_SQL}, {questions_sql('lex', 10)}, {_DENSE} SELECT qid, doc_id, rank, 'dense' AS method FROM dense WHERE rank <= 10 UNION ALL SELECT qid, doc_id, rank, 'global_fallback' FROM lex WHERE qid NOT IN (SELECT qid FROM dense)",
     "payload_resolve": f"{_FUSED} SELECT f.qid, f.doc_id, f.rank, coalesce(d.source, 'label ' || e.label, 'stub') AS payload FROM fused f LEFT JOIN documents d USING (doc_id) LEFT JOIN embeddings e ON e.vec_id = f.doc_id WHERE f.rank <= 20",
     "intents_sanitized": f"WITH {INTENTS_SQL} SELECT qid, len(intents) AS num_intents, array_to_string(intents, ' | ') AS intents FROM intents",
     "intent_topk": f"WITH {INDEX_SQL}, {HITS_SQL} SELECT * FROM hits",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import math
 import random
@@ -51,9 +52,23 @@ def test_bm25_index_survives_a_round_trip(spark, tmp_path):
 
 def test_composed_and_decomposed_texts_have_equal_tokens(spark):
     text = "Điều kiện thành lập công ty"
-    both = [one(spark, unicodedata.normalize(form, text), lambda c: T.tokens(T.nfc(c))) for form in ("NFC", "NFD")]
+    both = [one(spark, unicodedata.normalize(form, text), T.tokens) for form in ("NFC", "NFD")]
+    prints = {one(spark, unicodedata.normalize(form, text), T.fingerprint) for form in ("NFC", "NFD")}
+    assert len(prints) == 1
     assert both[0] == both[1] == ["điều", "kiện", "thành", "lập", "công", "ty"]
-    assert one(spark, None, lambda c: T.tokens(T.nfc(c))) == []
+    assert one(spark, None, T.tokens) == [] and one(spark, "\u212b \u1100\u1161", T.nfc) == "\u00c5 \uac00"
+
+
+def test_search_finds_decomposed_texts_and_queries(spark):
+    """Rankings don't depend on the form of texts or of queries."""
+    texts = ["Điều kiện thành lập công ty cổ phần", "Xử phạt vi phạm hành chính"]
+    rankings = set()
+    for of_text, of_query in itertools.product(("NFC", "NFD"), repeat=2):
+        docs = spark.createDataFrame([(i, unicodedata.normalize(of_text, t)) for i, t in enumerate(texts)], "doc_id long, text string")
+        asked = spark.createDataFrame([(1, unicodedata.normalize(of_query, "thành lập công ty"))], "qid long, query string")
+        for index in (bm25.build(docs), bm25.build(docs, only=bm25.words_of(asked))):
+            rankings.add(str([(r["doc_id"], r["score"], r["rank"]) for r in bm25.search(index, asked, 5).collect()]))
+    assert len(rankings) == 1 and rankings.pop().startswith("[(0,")
 
 
 def test_rrf_by_formula_and_first_seen(spark):
@@ -126,9 +141,9 @@ TEXT = "Điều 1. Phạm vi 1. Một. 2. Hai. Điều 2. của Luật này Đi
 
 def test_markers_boundaries_and_articles(spark):
     docs = spark.createDataFrame([(1, TEXT), (2, None), (3, "không có"), (4, "")], "doc_id long, text string")
-    kept = [r["number"] for r in corpus.boundaries(corpus.markers(docs)).orderBy("id", "pos").collect()]
+    kept = [r["number"] for r in corpus.boundaries(corpus.marked(docs)).orderBy("id", "pos").collect()]
     assert kept == ["1", "3", "3a", "10"]
-    rows = corpus.articles(corpus.markers(docs)).collect()
+    rows = corpus.articles(corpus.marked(docs)).collect()
     first = next(r for r in rows if r["number"] == "Điều 1")
     assert first["title"] == "Phạm vi" and [(c["id"], c["text"][:3]) for c in first["clauses"][:2]] == [("1", "Một"), ("2", "Hai")]
     assert {r["number"] for r in rows} == {"Điều 1", "Điều 3", "Điều 3a", "Điều 10"}
@@ -145,7 +160,8 @@ def test_boundaries_equal_a_loop_on_random_numbers(spark):
             if now[0] > last[0] or (now[0] == last[0] and now[1] and now[1] > last[1]):
                 want.append((doc, pos))
                 last = now
-    found = spark.createDataFrame(rows, "id long, text string, pos long, number string, num long, letter string, body_at long")
+    marks = {doc: [r[2:] for r in rows if r[0] == doc] for doc in range(200)}
+    found = spark.createDataFrame([(doc, "", m) for doc, m in marks.items()], f"id long, text string, marks array<{corpus.MARK}>")
     assert sorted((r["id"], r["pos"]) for r in corpus.boundaries(found).collect()) == sorted(want)
 
 
