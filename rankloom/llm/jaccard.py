@@ -275,10 +275,11 @@ def _linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 where, places = where[common], places[common]
                 yield pa.record_batch({"gram": pa.array(grams[where].view(np.int64)), "node": pa.array(marks[owner[where]]), "n": pa.array(sizes[owner[where]].astype(np.int32)), "place": pa.array(places.astype(np.int32))})
 
-    # A prefix n-gram matters only if two nodes have it. Both sides of the join need all columns, so they read one shuffle.
+    # A prefix n-gram matters only if two nodes have it. Both sides of the join need all columns, so
+    # they read one shuffle; a semi-join would be pushed below it.
     held = docs.select("text").mapInArrow(prefixes, "gram long, node long, n int, place int").repartition("gram")
     shared = held.groupBy("gram").agg(F.max("node").alias("high"), F.min("node").alias("low"), F.max("n").alias("n"), F.max("place").alias("place")).where("high <> low and n > 0 and place > 0").select("gram")
-    rows = durable(held.join(shared, "gram", "left_semi").distinct())
+    rows = durable(held.join(shared, "gram").select("gram", "node", "n", "place").distinct())
     nodes = signed.where("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.min("n").alias("n"), *(F.min(c).alias(c) for c in SKETCH))
     nodes = durable(nodes.join(rows.select("node").distinct(), "node", "left_semi"))
 
@@ -300,9 +301,9 @@ def _linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
     def rooted(roots: DataFrame) -> DataFrame:
         """Rows whose n-gram different components share, with their roots."""
-        named = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = named.groupBy("gram").agg(F.max("root").alias("high"), F.min("root").alias("low")).where("high <> low").select("gram")
-        return named.join(mixed, "gram", "left_semi")
+        named = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).repartition("gram")
+        mixed = named.groupBy("gram").agg(F.max("root").alias("high"), F.min("root").alias("low"), *(F.max(c).alias(f"most_{c}") for c in ("node", "n", "place")))
+        return durable(named.join(mixed.where("high <> low and most_node is not null and most_n > 0 and most_place > 0").select("gram"), "gram"))
 
     longest = F.max(F.struct((F.col("n") - F.col("place")).alias("behind"), "node", "n", "place", "root"))
     roots = components(measure(stars(rows.withColumn("root", F.col("node")), longest), docs, nodes, words, percent, ranks))
