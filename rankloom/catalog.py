@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from rankloom.queries import building, checking, retrieval, selection
+from rankloom.queries import building, checking, modelling, retrieval, selection
 
-_MODULES = (retrieval, selection, building, checking)
+_MODULES = (retrieval, selection, building, checking, modelling)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}

@@ -35,6 +35,11 @@ def read_questions(spark: SparkSession, path: str, expected: int | None = None)
     return rows
 
 
+def read_question(spark: SparkSession, path: str) -> DataFrame:
+    """(id, question) of a JSON object, or of a list of exactly one; raises for anything else and for an empty question."""
+    return read_questions(spark, path, 1)
+
+
 def read_status(spark: SparkSession, path: str) -> DataFrame:
     return status_of(spark.read.csv(path, header=True))
 

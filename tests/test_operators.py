@@ -309,3 +309,130 @@ def test_result_row_problems(spark):
     rows = [good, ("2", None, "Điều 5", ["l|n"], ["l|n|Điều 5"]), ("x", "q", "không", ["l"], ["l|n|5"]), ("3", "q", "Điều 1", [], []), ("3", "q", "Điều 1", [], [])]
     found = sorted((r["id"], r["problem"]) for r in answers.problems(spark.createDataFrame(rows, "id string, question string, answer string, relevant_docs array<string>, relevant_articles array<string>")).collect())
     assert found == [("2", "missing field"), ("3", "id is repeated"), ("3", "id is repeated"), ("x", "answer cites no article"), ("x", "bad article reference"), ("x", "bad document reference"), ("x", "id is not an integer")]
+
+
+# --- models: clients, analysis, generation, collective selection ------------------------------
+
+
+def test_retries_transient_errors_only():
+    from rankloom.sources import clients
+
+    waits, calls = [], []
+
+    def flaky(x):
+        calls.append(x)
+        if len(calls) < 3:
+            raise ConnectionError("connection reset by peer")
+        return x + 1
+
+    assert clients.Retrying(flaky, sleep=waits.append, base=1.0, longest=1.5)(1) == 2 and waits == [1.0, 1.5]
+    logins = []
+    with pytest.raises(ValueError):
+        clients.Retrying(lambda: (_ for _ in ()).throw(ValueError("bad request 400")), sleep=waits.append)()
+    with pytest.raises(RuntimeError):
+        clients.Retrying(lambda: (_ for _ in ()).throw(RuntimeError("401 UNAUTHENTICATED")), attempts=2, sleep=waits.append, refresh=lambda: logins.append(1))()
+    assert logins == [1] and clients.may_retry(RuntimeError("429 rate")) and not clients.may_retry(RuntimeError("401"))
+
+
+def test_embeddings_and_pair_scores(spark):
+    from rankloom.sources import clients
+
+    rows = spark.createDataFrame([(1, "Điều kiện", "chủ đề", ["một ý", "hai"])], "qid long, query string, topic string, intents array<string>")
+    told = clients.embed_analysis(rows, clients.HashEmbedder(8)).orderBy("kind", "position").collect()
+    assert [(r["kind"], r["position"]) for r in told] == [("intent", 0), ("intent", 1), ("query", 0), ("topic", 0)]
+    assert all(math.isclose(sum(x * x for x in r["embedding"]), 1) for r in told)
+    both = [clients.embed(spark.createDataFrame([(unicodedata.normalize(f, "thành lập"),)], "t string"), F.col("t"), clients.HashEmbedder(8)).first()["embedding"] for f in ("NFC", "NFD")]
+    assert both[0] == both[1]
+    pairs = spark.createDataFrame([(k, "a b", "a c" if k % 2 else None) for k in range(70)], "in0 int, q string, t string").coalesce(1)
+    scored = clients.pair_scores(pairs, F.col("q"), F.col("t"), size=32)
+    assert scored.columns == ["in0", "q", "t", "score"] and {r["in0"]: r["score"] for r in scored.collect()} == {k: 0.5 * (k % 2) for k in range(70)}
+    assert [clients.as_score(x) for x in (1, "2.5", {"score": 3}, [[4.0]], {"relevance_score": [5]})] == [1, 2.5, 3, 4, 5]
+    with pytest.raises(Exception, match="1 answers to 2 inputs"):
+        clients.pair_scores(pairs.limit(2), F.col("q"), F.col("t"), lambda p: [1.0]).collect()
+
+
+def test_analysis_salvages_repairs_and_refuses(spark):
+    from rankloom.operators import analysis
+
+    assert analysis.read_intents('```json\n{"intents": ["x", "Y", "X ", "", "z"]}\n```') == ["x", "Y", "z"] and analysis.read_intents("no") == []
+    assert analysis.read_rewrite('says {"rewritten_query": "a\\"b", "topic_description": "t", oops') == ('a"b', "t") and analysis.read_rewrite('{"rewritten_query": "a"}') is None
+
+    def client(kind, query):
+        if query == "down":
+            raise OSError("gone")
+        if query == "broken" and kind == "rewrite":
+            return "nothing"
+        return json.dumps({"rewritten_query": f"{kind} {query}", "topic_description": "t", "intents": [query, query.upper(), "more"]})
+
+    asked = spark.createDataFrame([(1, "fine"), (2, "broken"), (3, "down")], "qid long, query string")
+    lenient = {r["qid"]: r for r in analysis.analyse(asked, client).collect()}
+    assert (lenient[1]["rewritten"], lenient[1]["intents"], lenient[1]["error"]) == ("rewrite fine", ["fine", "more"], None)
+    assert (lenient[2]["rewritten"], lenient[2]["topic"]) == ("broken", "") and lenient[3]["intents"] == ["down"] and "gone" in lenient[3]["error"]
+    strict = {r["qid"]: r["rewritten"] for r in analysis.analyse(asked, client, strict=True).collect()}
+    assert strict == {1: "rewrite fine", 2: "repair broken"}
+
+
+EVIDENCE = [{"law_id": "1/2020/QH14", "law_type": "Luật", "law_name": "Doanh nghiệp", "number": "Điều 5", "title": "T", "content": "Nội dung."}]
+
+
+def test_one_repair_of_unsupported_citations(spark):
+    from rankloom.operators import generate
+
+    good, bad = "Theo Điều 5 Luật 1/2020/QH14.", "Theo Điều 99 Luật 1/2020/QH14."
+    assert generate.needs_repair(good, EVIDENCE)[0] is False and generate.needs_repair(bad, EVIDENCE)[0] is True and generate.needs_repair("Không rõ.", EVIDENCE)[0] is False and generate.needs_repair(" ", EVIDENCE)[0] is True
+
+    def client(prompt):
+        if prompt == "down":
+            raise OSError("gone")
+        if prompt.startswith("{"):
+            data = json.loads(prompt)
+            return "" if data["prompt"] == "empty" else f"Theo {data['allowed_citations'][0]}."
+        return good if prompt == "good" else bad
+
+    rows = [(k, f"s{k}", "q", p, [tuple(EVIDENCE[0].values())], ["Điều 5 (1/2020/QH14)"]) for k, p in enumerate(("good", "bad", "empty", "down"))]
+    jobs = spark.createDataFrame(rows, f"qid long, signature string, question string, prompt string, articles {generate.FIELDS}, labels array<string>")
+    told = {r["qid"]: r for r in generate.answer(jobs, client).collect()}
+    assert (told[0]["answer"], told[0]["repaired"]) == (good, False) and (told[1]["answer"], told[1]["repaired"]) == ("Theo Điều 5 (1/2020/QH14).", True)
+    assert told[2]["answer"] is None and "empty" in told[2]["error"] and "gone" in told[3]["error"]
+    assert {r["qid"] for r in generate.answer(jobs, client, strict=True).collect()} == {0, 1}
+    cache = spark.createDataFrame([(0, "s0", good, False), (1, "old", good, False), (2, "s2", bad, True), (3, "s3", bad, None)], "qid long, signature string, answer string, repaired boolean")
+    assert {r["qid"] for r in generate.cached(jobs, cache).collect()} == {0, 2}
+
+
+def test_parts_cards_and_answers_without_search(spark):
+    from rankloom.operators import generate
+
+    part = one(spark, "**Kết luận**\n- Được phép.\n\n**Căn cứ**\nĐiều 5", generate.parts)
+    assert (part["conclusion"], part["has_conclusion"]) == ("Được phép.", True) and "Được phép" not in part["analysis"] and "Điều 5" in part["analysis"]
+    assert one(spark, None, generate.parts)["has_conclusion"] is False
+    asked = spark.createDataFrame([(1, " chào ", "small_talk"), (2, "thời tiết", "out_of_scope"), (3, "luật", "legal")], "qid long, question string, route string")
+    told = {r["qid"]: r for r in generate.without_search(asked, lambda q: f"{q}!").collect()}
+    assert set(told) == {1, 2} and told[1]["answer"] == "chào!" and told[2]["answer"] == generate.OUTSIDE and told[2]["relevant_articles"] == []
+    answers_ = spark.createDataFrame([(1, "a")], "qid long, answer string")
+    refs = spark.createDataFrame([(1, 2, "x"), (1, 1, "y")], "qid long, position int, article string")
+    known = spark.createDataFrame([("x", "law", "Điều 1", "t", "c" * 400)], "article string, law_name string, number string, title string, content string")
+    shown = generate.cards(answers_, refs, known).first()
+    assert [(c["article"], len(c["preview"])) for c in shown["cards"]] == [("x", 280)] and shown["warnings"] == ["unknown article y"]
+
+
+def test_collective_rounds_repair_and_fallback(spark):
+    from rankloom.operators import collective
+
+    rows = [(q, p, f"q{q}", "Luật", "n", f"{q}-{p}", "keep" if p % 3 == 0 else "drop") for q, n in ((1, 1), (2, 4), (3, 14), (4, 3), (5, 9)) for p in range(n)]
+    candidates = spark.createDataFrame(rows, "qid long, position int, question string, law_type string, law_name string, article string, content string")
+
+    def client(payload):
+        data = json.loads(payload)
+        if data["question"] == "q4":
+            return "not json"
+        if data["question"] == "q5":
+            raise OSError("gone")
+        keys = [c["key"] for c in data["candidate_articles"] if c["content"] == "keep"]
+        return json.dumps({"selected_article_keys": keys if len(data["candidate_articles"]) != 5 else keys[1:], "confidence": "high"})
+
+    plain = {r["qid"]: r for r in collective.select_together(candidates, client).collect()}
+    assert (plain[1]["selected"], plain[1]["path"]) == (["1-0"], "skipped") and (plain[2]["selected"], plain[2]["path"]) == (["2-0", "2-3"], "direct")
+    assert plain[3]["path"] == "rounds" and plain[3]["selected"] == ["3-3", "3-6", "3-9", "3-12"] and not plain[3]["failed"]
+    assert (plain[4]["selected"], plain[4]["failed"]) == (["4-0"], True) and (plain[5]["selected"], plain[5]["failed"]) == (["5-0"], True)
+    repaired = collective.select_together(candidates.where("qid = 4"), client, repair=lambda p: json.dumps({"selected_article_keys": json.loads(p)["allowed_keys"][1:2]})).first()
+    assert (repaired["selected"], repaired["failed"]) == (["4-1"], False)
