@@ -2,41 +2,62 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.operators import bm25, features, fusion
+from rankloom.operators import bm25, dense, features, fusion
 from rankloom.plans.stages import Stage
 from rankloom.queries.common import intents_of
+from rankloom.sources import clients
 from rankloom.sources.results import result_rows
 
 
-def workflow(depth: int = 60, intent_depth: int = 10, sizes: tuple[int, int, int] = (12, 5, 5)) -> list[Stage]:
+def workflow(depth: int = 60, intent_depth: int = 10, sizes: tuple[int, int, int] = (12, 5, 5), embedder: Callable[[list[str]], list] = clients.HashEmbedder(), listed: int = 50) -> list[Stage]:
     """Stages over ``documents`` (doc_id, text, article) and ``questions`` (qid, query).
 
-    The index is written once and read by every later stage; questions run together as one batch.
+    The index and the vectors are written once and read by every later stage; questions run together
+    as one batch. Words and vectors each give ``listed`` hits of a question and of each of its
+    intents, which are fused by reciprocal rank. ``embedder`` is an embedding client; the one by
+    default is deterministic and stands in for a model.
     """
 
     def postings(spark: SparkSession, t: dict[str, DataFrame]) -> DataFrame:
         return bm25.build(t["documents"]).postings
 
     def terms(spark: SparkSession, t: dict[str, DataFrame]) -> DataFrame:
-        return bm25.build(t["documents"]).terms
+        return bm25.from_postings(t["postings"], t["documents"]).terms
 
     def stats(spark: SparkSession, t: dict[str, DataFrame]) -> DataFrame:
-        return bm25.build(t["documents"]).stats
+        return bm25.from_postings(t["postings"], t["documents"]).stats
+
+    def vectors(spark: SparkSession, t: dict[str, DataFrame]) -> DataFrame:
+        return clients.embed(t["documents"].select("doc_id", "text"), F.col("text"), embedder).select(F.col("doc_id").alias("id"), F.col("embedding").alias("v"))
 
     def analysis(spark: SparkSession, t: dict[str, DataFrame]) -> DataFrame:
         return intents_of(t["questions"]).withColumn("num_intents", F.size("intents"))
 
+    def asked_vectors(spark: SparkSession, t: dict[str, DataFrame]) -> DataFrame:
+        """A number for each text that is asked, with its vector: position -1 is the question, others are intents."""
+        texts = t["analysis"].select("qid", F.posexplode(F.concat(F.array("query"), "intents")).alias("at", "text")).withColumn("position", F.col("at") - 1)
+        numbered = texts.select((F.col("qid") * 100 + F.col("at")).alias("number"), "qid", "position", "text")
+        return clients.embed(numbered, F.col("text"), embedder, "v").drop("text")
+
     index = lambda t: bm25.Index(t["postings"], t["terms"], t["stats"])
 
+    def near(t: dict[str, DataFrame], which: Column) -> DataFrame:
+        asked = t["asked_vectors"].where(which)
+        found = dense.top_k(asked.select(F.col("number").alias("qid"), "v"), t["vectors"], listed)
+        return found.select(F.col("qid").alias("number"), F.col("id").alias("doc_id"), "rank").join(asked.drop("v"), "number")
+
     def fused(spark: SparkSession, t: dict[str, DataFrame]) -> DataFrame:
-        return fusion.rrf([bm25.search(index(t), t["analysis"], depth)], depth)
+        return fusion.rrf([bm25.search(index(t), t["analysis"], listed), near(t, F.col("position") < 0)], depth)
 
     def hits(spark: SparkSession, t: dict[str, DataFrame]) -> DataFrame:
         rows = t["analysis"].select("qid", F.posexplode("intents").alias("intent_index", "query"))
-        return bm25.search(index(t), rows, intent_depth, ("qid", "intent_index"))
+        keys = ("qid", "intent_index")
+        return fusion.rrf([bm25.search(index(t), rows, listed, keys), near(t, F.col("position") >= 0).withColumnRenamed("position", "intent_index")], intent_depth, keys)
 
     def reranked(spark: SparkSession, t: dict[str, DataFrame]) -> DataFrame:
         rows = t["analysis"].select("qid", F.posexplode("intents").alias("intent_index", "query"))
@@ -54,4 +75,4 @@ def workflow(depth: int = 60, intent_depth: int = 10, sizes: tuple[int, int, int
         lost = t["questions"].join(df.select(F.col("id").alias("qid")), "qid", "left_anti").count()
         return [f"{lost} questions are missing"] if lost else []
 
-    return [Stage("postings", postings), Stage("terms", terms), Stage("stats", stats), Stage("analysis", analysis), Stage("fused", fused), Stage("hits", hits), Stage("reranked", reranked), Stage("union", union), Stage("results", results, answered)]
+    return [Stage("postings", postings), Stage("terms", terms), Stage("stats", stats), Stage("vectors", vectors), Stage("analysis", analysis), Stage("asked_vectors", asked_vectors), Stage("fused", fused), Stage("hits", hits), Stage("reranked", reranked), Stage("union", union), Stage("results", results, answered)]

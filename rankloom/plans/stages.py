@@ -4,19 +4,22 @@ from __future__ import annotations
 
 import hashlib
 import json
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 @dataclass
 class Stage:
-    """A table's name, what makes it from the tables before it, and a check that lists its problems."""
+    """A table's name, what makes it from the tables before it, a check that lists its problems, and how often it may be made before these block the run."""
 
     name: str
     make: Callable[[SparkSession, dict[str, DataFrame]], DataFrame]
     problems: Callable[[DataFrame, dict[str, DataFrame]], list[str]] = lambda df, tables: []
+    passes: int = 1
 
 
 def fingerprint(value) -> str:
@@ -39,17 +42,58 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def run(spark: SparkSession, stages: list[Stage], folder: str, inputs: dict[str, DataFrame], resume: bool = True, stop_after: str | None = None) -> dict[str, DataFrame]:
-    """All tables of the workflow. A stage whose table is there and has no problem isn't run again; one that has problems after running raises."""
+def content(df: DataFrame) -> str:
+    """A digest of a table's columns and rows, whatever their order; one pass, three numbers to the driver."""
+    mark = F.xxhash64(*df.columns) if df.columns else F.lit(0).cast("long")
+    told = df.agg(F.count("*"), F.bit_xor(mark), F.sum(mark.cast("decimal(38,0)"))).first()
+    return fingerprint([df.schema.simpleString(), *map(str, told)])
+
+
+def _noted(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.text(path).first()["value"]) if exists(spark, path) else {}
+
+
+def _note(spark: SparkSession, path: str, what: dict) -> None:
+    spark.createDataFrame([(json.dumps(what, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def run(spark: SparkSession, stages: list[Stage], folder: str, inputs: dict[str, DataFrame], resume: bool = True, stop_after: str | None = None, settings: dict | None = None, wait: float = 5.0, longest: float = 60.0, sleep: Callable[[float], None] = time.sleep) -> dict[str, DataFrame]:
+    """All tables of the workflow. Beside each lies a manifest of what it was made from.
+
+    A stage isn't run again if its table is there, was made from tables of the same content under
+    the same settings, and has no problem. One that has problems is made again, up to its number
+    of passes, after waits that double; then the run is blocked and raises. ``folder``/_status has
+    each stage's last status: running, complete or blocked.
+    """
     tables = dict(inputs)
+    prints = {name: content(df) for name, df in inputs.items()}
     for stage in stages:
-        path = f"{folder}/{stage.name}"
-        done = resume and exists(spark, path) and not stage.problems(spark.read.parquet(path), tables)
-        if not done:
+        path, manifest, status = (f"{folder}/{part}{stage.name}" for part in ("", "_manifest/", "_status/"))
+        made_from = Manifest({**prints, "settings": fingerprint(settings or {})})
+        told = _noted(spark, manifest)
+        done = resume and exists(spark, path) and told != {} and not Manifest(told.get("keys", {})).refused(made_from.keys) and not stage.problems(spark.read.parquet(path), tables)
+        wrong: list[str] = []
+        for k in range(0 if done else max(1, stage.passes)):
+            if k:
+                sleep(min(longest, wait * 2 ** (k - 1)))
+            _note(spark, status, {"status": "running", "pass": k + 1})
             stage.make(spark, tables).write.mode("overwrite").parquet(path)
-        tables[stage.name] = spark.read.parquet(path)
-        if not done and (wrong := stage.problems(tables[stage.name], tables)):
+            wrong = stage.problems(spark.read.parquet(path), tables)
+            if not wrong:
+                break
+        if wrong:
+            _note(spark, status, {"status": "blocked", "problems": wrong})
             raise RuntimeError(f"stage {stage.name}: {'; '.join(wrong)}")
+        tables[stage.name] = spark.read.parquet(path)
+        prints[stage.name] = content(tables[stage.name])
+        if not done:
+            _note(spark, manifest, {"keys": made_from.keys})
+            _note(spark, status, {"status": "complete"})
         if stage.name == stop_after:
             break
     return tables
+
+
+def statuses(spark: SparkSession, stages: list[Stage], folder: str) -> dict[str, str]:
+    """Each stage's last status; ``pending`` where there is none."""
+    return {s.name: _noted(spark, f"{folder}/_status/{s.name}").get("status", "pending") for s in stages}

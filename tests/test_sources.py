@@ -103,3 +103,57 @@ def test_stream_searches_each_question_once(spark, tmp_path):
         (tmp_path / "in" / f"{name}.json").write_text('{"qid": 1, "query": "vốn"}\n' + ('{"qid": 2, "query": "thuế"}\n' if name == "b" else ""), encoding="utf-8")
         stream.answer_stream(spark, str(tmp_path / "in"), str(tmp_path / "index"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert sorted((r["qid"], r["doc_id"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(1, 1), (2, 2)]
+
+
+def test_stages_follow_their_inputs_and_tell_their_status(spark, tmp_path):
+    """A table is made again when what it was made from has changed, and only then; problems block after all passes."""
+    made, waits, folder = [], [], str(tmp_path / "w")
+    steps = [stages.Stage("one", lambda s, t: made.append("one") or t["in"]), stages.Stage("two", lambda s, t: made.append("two") or t["one"].groupBy().count())]
+    first, second = (spark.createDataFrame([(k,) for k in rows], "a long") for rows in ((1, 2), (1, 3)))
+    stages.run(spark, steps, folder, {"in": first})
+    stages.run(spark, steps, folder, {"in": first.orderBy("a", ascending=False)})
+    assert made == ["one", "two"] and stages.statuses(spark, steps, folder) == {"one": "complete", "two": "complete"}
+    stages.run(spark, steps, folder, {"in": second})
+    assert made == ["one", "two"] * 2
+    stages.run(spark, steps, folder, {"in": second}, settings={"depth": 5})
+    assert made == ["one", "two"] * 3
+    bad = stages.Stage("bad", lambda s, t: made.append("bad") or t["in"], lambda df, t: ["wrong"], passes=3)
+    with pytest.raises(RuntimeError, match="wrong"):
+        stages.run(spark, [bad, *steps], folder, {"in": second}, sleep=waits.append, wait=40)
+    assert made[-3:] == ["bad"] * 3 and waits == [40, 60] and stages.statuses(spark, [bad, *steps], folder)["bad"] == "blocked"
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from rankloom.__main__ import main
+
+    spark.createDataFrame([(1, "vốn điều lệ công ty", "1|L|Điều 1"), (2, "thuế", "2|L|Điều 2")], "doc_id long, text string, article string").write.parquet(str(tmp_path / "d"))
+    spark.createDataFrame([(7, "vốn công ty. thuế nào?")], "qid long, query string").write.parquet(str(tmp_path / "q"))
+    assert main(["list"]) == 0 and "bm25_topk" in capsys.readouterr().out
+    assert main(["workflow", str(tmp_path / "d"), str(tmp_path / "q"), str(tmp_path / "o")]) == 0 and "results: complete" in capsys.readouterr().out
+    assert set(spark.read.parquet(str(tmp_path / "o/results")).first()["relevant_articles"]) == {"1|L|Điều 1", "2|L|Điều 2"}
+
+
+def test_question_of_its_own(spark, tmp_path):
+    (tmp_path / "one.json").write_text('{"id": 1, "question": "gì"}')
+    (tmp_path / "two.json").write_text('[{"id": 1, "question": "gì"}, {"id": 2, "question": "nào"}]')
+    (tmp_path / "none.json").write_text('[{"id": 1, "question": " "}]')
+    assert tables.read_question(spark, str(tmp_path / "one.json")).count() == 1
+    for name in ("two", "none"):
+        with pytest.raises(ValueError):
+            tables.read_question(spark, str(tmp_path / f"{name}.json"))
+
+
+def test_corpus_report_and_vector_store(spark, tmp_path):
+    from rankloom.sources import artifacts
+
+    rows = spark.createDataFrame([("a", 1), ("b", 2)], "tier string, n int")
+    assert "| a | 1 |" in artifacts.report({"Tiers": rows.orderBy("tier")})
+    artifacts.write_corpus(rows, str(tmp_path / "c"))
+    assert spark.read.json(str(tmp_path / "c")).count() == 2
+    good = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "id long, v array<double>")
+    assert artifacts.checked_store(good, 2).count() == 2
+    for bad in (good.union(good.limit(1)), good.union(spark.createDataFrame([(3, [1.0])], good.schema))):
+        with pytest.raises(Exception, match="bad vector"):
+            artifacts.checked_store(bad, 2).collect()
+    ranked = spark.createDataFrame([(1, 0, [("b ", None, 0.5), ("a", 2, 0.1), ("", 1, 1.0), ("c", 2, 0.1)])], "id long, intent_index int, ranked_articles array<struct<article:string,rank:int,rrf_score:double>>")
+    assert [r["article"] for r in artifacts.ranked_hits(ranked).orderBy("position").collect()] == ["a", "c", "b"]
