@@ -8,9 +8,9 @@ into one segment a fragment, overlaps of segments are counted for each fragment
 partial counts are summed per pair.
 
 Groups of near copies would have a square number of pairs, of which components need few. So
-candidates come in steps. In the first two, each prefix n-gram offers one pivot: the node with
-most n-grams behind it, then the one with fewest before it. A node is measured against the pivot
-that it can share most with, so a step has one pair a node, and the links join nodes to
+candidates come in two steps. In the first, each prefix n-gram offers two pivots: the node with
+most n-grams behind it, and the one with fewest before it. A node is measured against the few
+pivots that it can share most with, so there are as few pairs a node, and the links join nodes to
 components. What is then left are pairs of different components. Two bounds on what a pair can
 share discard most of them before a set is fetched: the places of the shared n-gram, and sketches
 of parity bits, in which sets that differ in d n-grams differ in d bits at most. Both bounds are
@@ -290,14 +290,20 @@ def _linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
     def side(name: str) -> DataFrame:
         return nodes.select(F.col("node").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in ("n", *SKETCH)))
 
-    def stars(rows: DataFrame, pivot: Column) -> DataFrame:
-        """One pair a node at most: with the pivot that it may link with, of the two of other roots that it shares most prefix n-grams with."""
-        picked = rows.groupBy("gram").agg(pivot.alias("pivot"))
-        offers = rows.join(picked, "gram").where((F.col("root") != F.col("pivot.root")) & room("pivot.place", "place", "pivot.n", "n"))
+    def stars() -> DataFrame:
+        """Three pairs a node at most: with the pivots that it may link with, of the three that it shares most prefix n-grams with."""
+        most = F.max(F.struct((F.col("n") - F.col("place")).alias("behind"), "node", "n", "place"))
+        least = F.min(F.struct("place", "n", "node"))
+        of = lambda x: F.struct(f"{x}.node", f"{x}.n", f"{x}.place")
+        picked = rows.groupBy("gram").agg(most.alias("most"), least.alias("least")).select("gram", F.array_distinct(F.array(of("most"), of("least"))).alias("pivots"))
+        offers = rows.join(picked, "gram").select("node", "n", "place", F.explode("pivots").alias("pivot"))
+        offers = offers.where((F.col("node") != F.col("pivot.node")) & room("pivot.place", "place", "pivot.n", "n"))
         offers = offers.groupBy(F.col("node").alias("b"), F.col("pivot.node").alias("a")).agg(F.count("*").alias("grams"))
-        offers = offers.withColumn("nth", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("grams"), "a"))).where("nth <= 2").drop("nth")
-        able = offers.join(side("b"), "b").join(side("a"), "a").where(may_link("_a", "_b", percent))
-        return durable(able.groupBy("b", "n_b").agg(F.max(F.struct("grams", "a", "n_a")).alias("best")).select("best.a", "b", F.col("best.n_a").alias("n_a"), "n_b"))
+        nth = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("grams"), "a"))
+        able = offers.withColumn("nth", nth).where("nth <= 3").join(side("b"), "b").join(side("a"), "a").where(may_link("_a", "_b", percent))
+        # Of two nodes that are each other's pivots, one tells.
+        pairs = able.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("n_a")).otherwise(F.col("n_b")).alias("n_a"), F.when(F.col("a") < F.col("b"), F.col("n_b")).otherwise(F.col("n_a")).alias("n_b"))
+        return durable(pairs.select("a", "b", "n_a", "n_b").distinct())
 
     def rooted(roots: DataFrame) -> DataFrame:
         """Rows whose n-gram different components share, with their roots."""
@@ -305,11 +311,8 @@ def _linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
         mixed = named.groupBy("gram").agg(F.max("root").alias("high"), F.min("root").alias("low"), *(F.max(c).alias(f"most_{c}") for c in ("node", "n", "place")))
         return durable(named.join(mixed.where("high <> low and most_node is not null and most_n > 0 and most_place > 0").select("gram"), "gram"))
 
-    longest = F.max(F.struct((F.col("n") - F.col("place")).alias("behind"), "node", "n", "place", "root"))
-    roots = components(measure(stars(rows.withColumn("root", F.col("node")), longest), docs, nodes, words, percent, ranks))
+    roots = components(measure(stars(), docs, nodes, words, percent, ranks))
     tied = lambda roots: roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    foremost = F.min(F.struct("place", "n", "node", "root"))
-    roots = components(tied(roots).union(measure(stars(rooted(roots), foremost), docs, nodes, words, percent, ranks)))
 
     # What the stars left open. The smaller set needs only its indexing prefix here; that is asked
     # of the pair, not of the side, so both sides read one shuffle.

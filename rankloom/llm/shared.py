@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,9 +23,16 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, with its lineage cut."""
+    """``df`` written to the shared checkpoint folder, with its lineage cut.
+
+    What was shuffled for it isn't needed any more, so the driver collects its garbage, upon which
+    Spark removes the files; else they would stay on the executors' disks to the end of the job.
+    """
     shared_folder(df.sparkSession)
-    return df.checkpoint()
+    out = df.checkpoint()
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def fresh(taken: list[str], *wanted: str) -> list[str]:
