@@ -52,19 +52,34 @@ def _lexical(urls: DataFrame) -> DataFrame:
     )
 
 
+#: Parts that labelled urls are dealt into by a hash; a labelled url gets the rates of the other parts.
+FOLDS = 5
+
+
+def _fold() -> Column:
+    return F.pmod(F.xxhash64("url"), F.lit(FOLDS)).cast("int")
+
+
 def _statistics(rows: DataFrame, labelled: Column, key: str, name: str) -> DataFrame:
-    """``rows`` with the smoothed share of blocked urls and the number seen of each key, over all labelled rows."""
-    seen = rows.where(labelled).groupBy(key).agg(F.count("*").alias("_n"), F.sum((F.col("_label") == 1).cast("double")).alias("_blocked"))
-    seen = seen.select(key, ((F.col("_blocked") + 1) / (F.col("_n") + 2)).alias(f"{name}_rate"), F.log1p("_n").alias(f"{name}_seen"))
-    return rows.join(seen, key, "left").fillna({f"{name}_rate": 0.5, f"{name}_seen": 0.0})
+    """``rows`` with the smoothed share of blocked urls and the number seen of each key, over all labelled rows.
+
+    A labelled row, from which trees may learn, doesn't count itself: equal urls fall into one of a
+    few parts, and its rates are those of the other parts. So a domain that was seen once doesn't
+    tell its own label.
+    """
+    blocked = (F.col("_label") == 1).cast("double")
+    part = lambda of: F.array(*(F.sum(F.when(_fold() == k, of).otherwise(0.0)) for k in range(FOLDS)))
+    seen = rows.where(labelled).groupBy(key).agg(part(F.lit(1.0)).alias("_n"), part(blocked).alias("_blocked"))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
+    count = lambda c: F.coalesce(total(F.col(c)) - F.when(labelled, F.get(c, _fold())).otherwise(0.0), F.lit(0.0))
+    return rows.join(seen, key, "left").withColumns({f"{name}_rate": (count("_blocked") + 1) / (count("_n") + 2), f"{name}_seen": F.log1p(count("_n"))}).drop("_n", "_blocked")
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, train_rows: int = 20_000, trees: int = 20, depth: int = 3) -> DataFrame:
     """Host, path, rule and verdict of each url; where no rule fits, boosted trees decide.
 
     Labelled urls are those that a rule fits. Shares and counts of host suffixes come from all of
-    them; trees are fitted on a sample of about ``train_rows`` at most, chosen by a hash of the
-    url, so repeated urls are drawn together. Scoring runs in the executors over every row.
+    them; trees are fitted on about ``train_rows`` different urls at most, chosen by a hash. Scoring runs in the executors over every row.
     Without labelled urls all others are allowed; with one verdict only, they get that one.
     Null urls: empty host and path, judged by the trees. Repeated rows and null ids stay rows of
     their own; other columns are ignored. An empty table gives no rows.
@@ -82,10 +97,11 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
         labelled = F.col("_label").isNotNull()
         for key, name in (("_suffix", "suffix"), ("_domain", "domain")):
             rows = _statistics(rows, labelled, key, name)
-        rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
         share = min(1.0, train_rows / sum(counts.values()))
-        drawn = F.pmod(F.xxhash64("url"), F.lit(1 << 20)) < int(share * (1 << 20))
-        sample = rows.where(labelled & drawn).select("features", F.col("_label").alias("label")).limit(2 * train_rows).coalesce(4).persist()
+        drawn = F.shiftrightunsigned(F.xxhash64("url"), 1) < min(int(share * 2**63), 2**63 - 1)
+        # Rows of one url are alike in all that trees see, so each url is learned from once.
+        once = rows.where(labelled & drawn).dropDuplicates(["url"])
+        sample = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(once).select("features", F.col("_label").alias("label")).coalesce(4).persist()
         try:
             if sample.select("label").distinct().count() < 2:
                 model = None
@@ -97,5 +113,5 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
             more = max(counts, key=counts.get)
             scored = rows.withColumn("score", F.lit(None).cast("double")).withColumn("_told", F.lit("block" if more else "allow"))
         else:
-            scored = model.transform(rows).withColumn("score", vector_to_array("probability")[1]).withColumn("_told", F.when(F.col("score") >= 0.5, "block").otherwise("allow"))
+            scored = model.transform(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)).withColumn("score", vector_to_array("probability")[1]).withColumn("_told", F.when(F.col("score") >= 0.5, "block").otherwise("allow"))
     return scored.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("_verdict", "_told").alias("verdict"), "score")
