@@ -178,13 +178,15 @@ def remainder(id_col: Column, mod: int) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, most: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text, label) of about ``most`` labelled rows that ``allowed`` (on the id) admits, drawn by a hash of the id.
 
-    Of several labels of one id the larger counts. The drawn ids, at most twice ``most``, are few enough to broadcast.
+    Of several labels of one id the larger counts, of several texts the last in their order. The
+    drawn ids, about ``most``, are few enough to broadcast.
     """
     one = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & allowed).groupBy(id_col).agg(F.max(label).alias("label"))
     total = one.count()
     share = min(1.0, most / max(total, 1))
-    drawn = one.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < int(share * (1 << 20))).limit(2 * most)
-    return docs.select(id_col, text_col).join(F.broadcast(drawn), id_col)
+    drawn = one.where(F.shiftrightunsigned(F.xxhash64(id_col), 1) < min(int(share * 2**63), 2**63 - 1))
+    met = docs.select(id_col, text_col).join(F.broadcast(drawn), id_col)
+    return met.groupBy(id_col, "label").agg(F.max(F.coalesce(text_col, F.lit(""))).alias(text_col)).select(id_col, text_col, "label")
 
 
 def train(docs: DataFrame, labels: DataFrame, allowed: Column, label: str = "quality", most: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> Additive | None:
@@ -198,7 +200,7 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column, label: str = "qua
         x = features(texts)
         return {"x": pa.array(list(x), pa.list_(pa.float64())), "label": marks}
 
-    rows = map_columns(sample.select(text_col, F.col("label").cast("int")), run, "x array<double>, label int").limit(3 * most).toPandas()
+    rows = map_columns(sample.select(text_col, F.col("label").cast("int")), run, "x array<double>, label int").toPandas()
     if rows["label"].nunique() < 2:
         return None
     order = np.lexsort(np.vstack(rows["x"]).T)  # the order of rows, and so the model, doesn't hang on the order of tasks
