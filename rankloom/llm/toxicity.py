@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -104,19 +105,28 @@ def symbol(c: str) -> int:
     return ord(c) - 96 if "a" <= c <= "z" else 27
 
 
-def restore(token: str, model: np.ndarray, width: int = 64) -> str:
+def restore(token: str, model: np.ndarray) -> str:
     """The most probable letters behind a token: Viterbi over its lattice, with two symbols as the state.
 
-    The best path into each pair of last symbols is kept, which is exact for a trigram model;
-    there are at most ``width`` such pairs, as each place reads as few letters.
+    The best path into each pair of last symbols is kept, which is exact for a trigram model. Where
+    all paths meet in one state, what lies before is settled and let go, so memory follows the
+    longest uncertain stretch, not the token.
     """
     steps: list[list[tuple[int, str]]] = []  # for each state after each place: where it came from, and what was read
-    keys = {(0, 0): 0}
     scores = {(0, 0): 0.0}
+    out: list[str] = []
+
+    def settle(at: int) -> None:
+        read = []
+        for step in reversed(steps):
+            at, letters = step[at]
+            read.append(letters)
+        out.extend(reversed(read))
+        steps.clear()
+
     for readings in lattice(token):
         best: dict[tuple[int, int], tuple[float, int, str]] = {}
-        for (a, b), total in scores.items():
-            came = keys[a, b]
+        for came, ((a, b), total) in enumerate(scores.items()):
             for letters, chance in readings:
                 x, y, value = a, b, total + chance
                 for c in letters:
@@ -125,18 +135,13 @@ def restore(token: str, model: np.ndarray, width: int = 64) -> str:
                     x, y = y, s
                 if (x, y) not in best or value > best[x, y][0]:
                     best[x, y] = value, came, letters
-        kept = sorted(best.items(), key=lambda item: -item[1][0])[:width]
-        keys = {state: n for n, (state, _) in enumerate(kept)}
-        scores = {state: value for state, (value, _, _) in kept}
-        steps.append([(came, letters) for _, (_, came, letters) in kept])
-    if not steps:
-        return ""
-    last = max(scores, key=lambda s: scores[s] + model[s[0], s[1], 0])
-    at, out = keys[last], []
-    for step in reversed(steps):
-        at, letters = step[at]
-        out.append(letters)
-    return "".join(reversed(out))
+        scores = {state: value for state, (value, _, _) in best.items()}
+        steps.append([(came, letters) for _, came, letters in best.values()])
+        if len(scores) == 1:
+            settle(0)
+    states = [*scores]
+    settle(max(range(len(states)), key=lambda k: scores[states[k]] + model[states[k][0], states[k][1], 0]))
+    return "".join(out)
 
 
 def disguised(data: np.ndarray, text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, str]]:
@@ -349,7 +354,7 @@ def score(docs: DataFrame, model: np.ndarray, words: WordList, id_col: str = "do
     Null and empty texts get the score of texts without a telling word. Repeated rows and null
     ids stay rows of their own; other columns are ignored. An empty table gives no rows.
     """
-    key = model.tobytes()[:64]
+    key = sha256(model.tobytes()).digest()
 
     def run(ids: pa.Array, texts: pa.Array) -> dict:
         known = _restored.setdefault(key, {})
@@ -369,7 +374,7 @@ def flag(docs: DataFrame, model: np.ndarray, words: WordList, threshold: float,
     a column of that name, the last one is ``_predicted``. Null and empty texts are scored like
     others. An empty table gives no rows.
     """
-    key = model.tobytes()[:64]
+    key = sha256(model.tobytes()).digest()
 
     def run(texts: pa.Array) -> dict:
         known = _restored.setdefault(key, {})
