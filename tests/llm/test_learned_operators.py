@@ -454,3 +454,45 @@ def test_pipeline_of_odd_tables(spark, tmp_path):
         labels.write.parquet(str(tmp_path / name / "labels.parquet"))
         out = corpus_pipeline.run(spark, str(tmp_path / name))
         assert sorted(str(r["doc_id"]) for r in out.select("doc_id").distinct().collect()) == (["1", "2", "None"] if name == "some" else [])
+
+
+# --- against SQL and slow forms ---------------------------------------------------------------
+
+
+def test_host_path_and_rule_equal_sql(spark):
+    """What op3 tells besides the learned verdict is SQL, on all rows."""
+    import duckdb
+
+    path = "/root/testdata/sf0.01/pages.parquet"
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    fits = " ".join(f"WHEN (host = '{r.split('/')[0]}' OR ends_with(host, '.{r.split('/')[0]}')) AND starts_with(path, '/{r.partition('/')[2]}') THEN '{r}'" for r, _ in sorted(urls.RULES, key=lambda x: -len(x[0])))
+    told = " ".join(f"WHEN '{r}' THEN '{v}'" for r, v in urls.RULES)
+    sql = f"""WITH h AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{upper}', '{upper.lower()}') AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM '{path}'),
+    r AS (SELECT *, CASE {fits} ELSE NULL END AS rule FROM h) SELECT page_id, host, path, rule, CASE rule {told} ELSE NULL END FROM r"""
+    got = registry.op3_url_filter(spark, "/root/testdata/sf0.01").select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict"))).collect()
+    key = lambda row: tuple(map(str, row))
+    assert sorted(map(tuple, got), key=key) == sorted(duckdb.sql(sql).fetchall(), key=key)
+
+
+def test_no_url_tells_its_own_label(spark):
+    """A domain that was seen once has the rate of one that wasn't, in training as in scoring."""
+    rows = spark.createDataFrame([("http://a.com/1", "a.com", 1.0), ("http://b.com/1", "b.com", 0.0), ("http://b.com/1", "b.com", 0.0), ("http://c.com/1", "c.com", None), *((f"http://d.com/{k}", "d.com", 1.0) for k in range(40))], "url string, _domain string, _label double")
+    told = {(r["url"], r["domain_rate"], r["domain_seen"]) for r in urls._statistics(rows, F.col("_label").isNotNull(), "_domain", "domain").collect()}
+    assert {("http://a.com/1", 0.5, 0.0), ("http://b.com/1", 0.5, 0.0), ("http://c.com/1", 0.5, 0.0)} <= told
+    assert all(rate > 0.9 for url, rate, _ in told if "d.com" in url)
+
+
+def test_additive_scores_equal_a_row_by_row_sum():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 5))
+    y = (x[:, 0] * x[:, 1] + x[:, 2] > 0).astype(float)
+    model = quality.fit(x, y, rounds=20, pair_rounds=10)
+    slow = []
+    for row in x:
+        total = model.start
+        for cuts, table, value in zip(model.cuts, model.tables, row, strict=True):
+            total += table[sum(c <= value for c in cuts)]
+        for (a, b), table in zip(model.pairs, model.pair_tables, strict=True):
+            total += table[sum(c <= row[a] for c in model.coarse[a])][sum(c <= row[b] for c in model.coarse[b])]
+        slow.append(1 / (1 + np.exp(-total)))
+    assert np.allclose(model.score(x), slow) and len(model.pairs) > 0
