@@ -113,7 +113,7 @@ def sign_and_count(docs: DataFrame, words: int) -> DataFrame:
             for at in range(0, batch.num_rows, step):
                 ids, keys, texts = batch.slice(at, step).columns
                 owner, grams = shingle_sets(texts, words)
-                total += np.bincount((grams >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=size).astype(np.int32)
+                np.add.at(total, bucket_of(grams), np.int32(1))
                 sizes, marks = signatures(owner, grams, len(texts))
                 bits = sketches(owner, grams, len(texts))
                 columns = [ids, keys, pa.array(sizes.astype(np.int64)), pa.array(marks), *(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(len(SKETCH)))]
