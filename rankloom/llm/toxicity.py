@@ -343,11 +343,19 @@ def learn(docs: DataFrame, labels: DataFrame, allowed: Column, model: np.ndarray
     return WordList(hashes[order], np.array([*chosen.values()]).reshape(-1, 2)[order], rest)
 
 
-#: Restored tokens that a worker keeps at most; beyond, it begins anew.
-KEPT = 200_000
+#: Restored tokens that a worker keeps at most, of one model; beyond, it begins anew.
+KEPT = 50_000
 _restored: dict[bytes, dict[str, list[str]]] = {}
 
 
+def _kept(key: bytes) -> dict[str, list[str]]:
+    """What the worker has restored with the model of this key; what it restored with others goes."""
+    if key not in _restored or len(_restored[key]) > KEPT:
+        _restored.clear()
+        _restored[key] = {}
+    return _restored[key]
+
+
 def score(docs: DataFrame, model: np.ndarray, words: WordList, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Id, ``score`` and ``restored`` (what the decoder read behind disguised tokens) of every text.
 
@@ -357,10 +365,7 @@ def score(docs: DataFrame, model: np.ndarray, words: WordList, id_col: str = "do
     key = sha256(model.tobytes()).digest()
 
     def run(ids: pa.Array, texts: pa.Array) -> dict:
-        known = _restored.setdefault(key, {})
-        if len(known) > KEPT:
-            known.clear()
-        at, hashes, words_of, more = marks(texts, model, known)
+        at, hashes, words_of, more = marks(texts, model, _kept(key))
         return {"id": ids, "score": words.score(at, hashes, words_of), "restored": pa.array([more.get(k, []) for k in range(len(texts))], pa.list_(pa.string()))}
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -377,10 +382,7 @@ def flag(docs: DataFrame, model: np.ndarray, words: WordList, threshold: float,
     key = sha256(model.tobytes()).digest()
 
     def run(texts: pa.Array) -> dict:
-        known = _restored.setdefault(key, {})
-        if len(known) > KEPT:
-            known.clear()
-        at, hashes, words_of, _ = marks(texts, model, known)
+        at, hashes, words_of, _ = marks(texts, model, _kept(key))
         return {"predicted": (words.score(at, hashes, words_of) >= threshold).astype(np.int32)}
 
     return add_columns(docs, [text_col], run, "predicted int")
