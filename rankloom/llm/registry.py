@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import encoding, jaccard, media, neighbours, packing, pii, quality, secrets, toxicity, urls
+from . import encoding, improbable, jaccard, media, neighbours, packing, phrases, pii, quality, resampling, secrets, sql, toxicity, urls
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -71,5 +71,23 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_personal_data, op3_url_filter, op4_quality, op5_iso_media, op6_jaccard_join, op7_packing, op8_bpe, op9_toxicity, op10_nearest)}
-ORACLES: dict[str, str] = {}
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 best phrases of each language."""
+    return phrases.mine(table(spark, sf_dir, "documents"))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the documents, drawn towards the benchmark's distribution, among all with their weights."""
+    docs = table(spark, sf_dir, "documents")
+    gains = resampling.gains(resampling.bucket_counts(docs), resampling.bucket_counts(table(spark, sf_dir, "benchmark")))
+    return resampling.draw(resampling.weigh(docs, gains)).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every text and its edited text, and how like they are."""
+    docs = table(spark, sf_dir, "documents")
+    return improbable.compared(docs, improbable.rarity(docs))
+
+
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_personal_data, op3_url_filter, op4_quality, op5_iso_media, op6_jaccard_join, op7_packing, op8_bpe, op9_toxicity, op10_nearest, op11_phrases, op12_resampling, op13_fingerprints)}
+ORACLES: dict[str, str] = {"op11_phrases": sql.OP11_PHRASES, "op12_resampling": sql.OP12_RESAMPLING}
