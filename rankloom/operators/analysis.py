@@ -4,13 +4,20 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from rankloom.functions.text import text_of
+from rankloom.sources.calls import Ledger, Workers, ask
 
 #: Fixed value: intents of a question at most.
 MOST_INTENTS = 6
+#: The fields of replies, and how one is found in a reply whose JSON is broken.
+REWRITTEN, TOPIC, INTENTS = "rewritten_query", "topic_description", "intents"
 FIELD = r'"{0}"\s*:\s*"((?:\\.|[^"\\])*)"'
 
 
@@ -30,23 +37,23 @@ def read_rewrite(reply: str | None) -> tuple[str, str] | None:
     """(rewritten query, topic) of a reply, from its fields even if its JSON is broken; None if one is missing or blank."""
     data = json_of(reply)
     if data is None:
-        found = [re.search(FIELD.format(name), reply or "", re.DOTALL) for name in ("rewritten_query", "topic_description")]
+        found = [re.search(FIELD.format(name), reply or "", re.DOTALL) for name in (REWRITTEN, TOPIC)]
         if not all(found):
             return None
         try:
-            data = dict(zip(("rewritten_query", "topic_description"), (json.loads(f'"{m[1]}"', strict=False) for m in found), strict=True))
+            data = dict(zip((REWRITTEN, TOPIC), (json.loads(f'"{m[1]}"', strict=False) for m in found), strict=True))
         except ValueError:
             return None
     if not isinstance(data, dict):
         return None
-    both = tuple(str(data.get(k) or "").strip() for k in ("rewritten_query", "topic_description"))
+    both = tuple(str(data.get(k) or "").strip() for k in (REWRITTEN, TOPIC))
     return both if all(both) else None
 
 
 def read_intents(reply: str | None) -> list[str]:
     """Intents of a reply: white space collapsed, each once whatever its case, six at most."""
     data = json_of(reply)
-    found = data.get("intents") if isinstance(data, dict) else None
+    found = data.get(INTENTS) if isinstance(data, dict) else None
     texts = [" ".join(str(x or "").split()) for x in found] if isinstance(found, list) else []
     first: dict[str, str] = {}
     for text in filter(None, texts):
@@ -59,40 +66,35 @@ def same_question(kind: str, question: str) -> str:
     return json.dumps({"rewritten_query": question, "topic_description": question, "intents": [question]}, ensure_ascii=False)
 
 
-def analyse(questions: DataFrame, client: Callable[[str, str], str] = same_question, strict: bool = False) -> DataFrame:
+@F.pandas_udf(T.StructType([T.StructField("rewritten", T.StringType()), T.StructField("topic", T.StringType())]))
+def _rewrites(replies: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([read_rewrite(r) or (None, None) for r in replies], columns=["rewritten", "topic"])
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _intents(replies: pd.Series) -> pd.Series:
+    return pd.Series([read_intents(r) or None for r in replies], dtype=object)
+
+
+def analyse(questions: DataFrame, client: Callable[[str, str], str] = same_question, strict: bool = False, workers: Workers = Workers(), ledger: Ledger | None = None) -> DataFrame:
     """(qid, query, rewritten, topic, intents, error) of (qid, query).
 
     The client is asked for ``rewrite``, for ``intents`` and, if strict, once for ``repair``.
     Lenient: what can't be had is the question itself, without a topic and as the only intent, with
     the error beside it. Strict: a question whose replies can't be read has no row, so that a later
-    run asks it again.
+    run asks it again. With a ledger each reply is asked for once.
     """
-
-    def asked(kind: str, query: str, read: Callable):
-        found = read(client(kind, query))
-        if not found and strict and kind == "rewrite":
-            found = read(client("repair", query))
-        if not found:
-            raise ValueError(f"the reply to {kind} can't be read")
-        return found
-
-    def one(query: str) -> dict:
-        out, errors = {"rewritten": query, "topic": "", "intents": [query]}, []
-        try:
-            out["rewritten"], out["topic"] = asked("rewrite", query, read_rewrite)
-        except Exception as e:  # one question's failure must not fail the others
-            errors.append(f"{type(e).__name__}: {e}")
-        try:
-            out["intents"] = asked("intents", query, read_intents)
-        except Exception as e:
-            errors.append(f"{type(e).__name__}: {e}")
-        return out | {"error": "; ".join(errors)[:500] or None}
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            told = [one(q or "") for q in frame["query"]]
-            yield frame.assign(**{c: pd.Series([t[c] for t in told], index=frame.index, dtype=object) for c in ("rewritten", "topic", "intents", "error")})
-
-    kind = questions.schema["qid"].dataType.simpleString()
-    out = questions.select("qid", "query").mapInPandas(run, f"qid {kind}, query string, rewritten string, topic string, intents array<string>, error string")
+    rows = questions.select("qid", text_of(F.col("query")).alias("query"))
+    payload = lambda kind: F.to_json(F.array(F.lit(kind), F.col("query")))
+    call = lambda told: client(*json.loads(told))
+    rows = ask(rows, payload("rewrite"), call, "_rewrite", "_rewrite_error", workers=workers, ledger=ledger).withColumn("_r", _rewrites("_rewrite"))
+    if strict:
+        rows = ask(rows, payload("repair"), call, "_repair", "_repair_error", F.col("_r.rewritten").isNull() & F.col("_rewrite_error").isNull(), workers, ledger)
+        rows = rows.withColumn("_r", F.when(F.col("_r.rewritten").isNull(), _rewrites("_repair")).otherwise(F.col("_r"))).withColumn("_rewrite_error", F.coalesce("_rewrite_error", "_repair_error"))
+    rows = ask(rows, payload("intents"), call, "_intents", "_intents_error", workers=workers, ledger=ledger).withColumn("_i", _intents("_intents"))
+    unread = lambda kind: F.lit(f"ValueError: the reply to {kind} can't be read")
+    first = F.when(F.col("_r.rewritten").isNull(), F.coalesce("_rewrite_error", unread("rewrite")))
+    second = F.when(F.col("_i").isNull(), F.coalesce("_intents_error", unread("intents")))
+    error = F.substring(F.concat_ws("; ", first, second), 1, 500)
+    out = rows.select("qid", "query", F.coalesce("_r.rewritten", "query").alias("rewritten"), F.coalesce("_r.topic", F.lit("")).alias("topic"), F.coalesce("_i", F.array("query")).alias("intents"), F.when(error != "", error).alias("error"))
     return out.where("error is null") if strict else out

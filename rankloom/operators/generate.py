@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.functions.text import text_of
-from rankloom.operators.answers import ARTICLE, canon, check_answer, citation_pairs, explained
+from rankloom.operators.citations import fault
+from rankloom.sources.calls import Ledger, Workers, ask
 
 #: The articles that a canned answer names, how much of the first it quotes, and its texts.
 NAMED, QUOTED = 4, 300
@@ -43,60 +43,29 @@ def labels(articles: Column) -> Column:
     return F.transform(known, lambda a: F.concat_ws(" ", F.trim(a["number"]), F.when(F.trim(text_of(a["law_name"])) != "", F.trim(a["law_name"])), F.concat(F.lit("("), F.trim(a["law_id"]), F.lit(")"))))
 
 
-def needs_repair(answer: str | None, articles: list[dict], known: set[str] | None = None) -> tuple[bool, str]:
-    """Whether an answer must be made again, and why. Only empty answers and explicit pairs of article and law that the evidence neither holds nor explains are; ambiguous citations pass."""
-    if not (answer or "").strip():
-        return True, "answer is empty"
-    ok, detail = check_answer(answer, [(a["number"], a["law_id"]) for a in articles], known)
-    if ok:
-        return False, detail
-    allowed = {(m[1].lower(), canon(a["law_id"])) for a in articles if (m := ARTICLE.search(a["number"] or "")) and canon(a["law_id"])}
-    bad = citation_pairs(answer, allowed, {canon(x) for x in known or ()})[1] if allowed else set()
-    return any(not explained(pair, articles) for pair in bad), detail
-
-
-def answer(jobs: DataFrame, client: Callable[[str], str], strict: bool = False) -> DataFrame:
+def answer(jobs: DataFrame, client: Callable[[str], str], strict: bool = False, workers: Workers = Workers(), ledger: Ledger | None = None) -> DataFrame:
     """Answers to jobs (qid, signature, question, prompt, articles as ``FIELDS``, labels): qid, signature, answer, repaired, error.
 
     The client gets the prompt. An answer that must be made again is repaired once, with the same
     evidence, the draft, the fault and the citations that are allowed; an empty repair is an
     error. A question that fails has a null answer and its error; with ``strict`` it has no row,
-    so that a later run asks it again.
+    so that a later run asks it again. With a ledger, drafts and repairs are asked once and kept.
     """
-
-    def one(job: dict) -> tuple[str | None, bool, str | None]:
-        try:
-            articles = [dict(a) for a in job["articles"]]
-            text, repaired = (client(job["prompt"]) or "").strip(), False
-            wanted, detail = needs_repair(text, articles)
-            if wanted:
-                repaired = True
-                text = (client(json.dumps({"prompt": job["prompt"], "draft": text, "fault": detail, "allowed_citations": list(job["labels"])}, ensure_ascii=False)) or "").strip()
-                if not text:
-                    raise ValueError("the repair is empty")
-            return text, repaired, None
-        except Exception as e:  # one question's failure must not fail the others
-            return None, False, f"{type(e).__name__}: {e}"[:500]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            told = [one(job) for job in frame.to_dict("records")]
-            yield pd.DataFrame({"qid": frame["qid"], "signature": frame["signature"], "answer": [t[0] for t in told], "repaired": [t[1] for t in told], "error": [t[2] for t in told]}).astype({"answer": object, "error": object})
-
-    kind = jobs.schema["qid"].dataType.simpleString()
-    out = jobs.mapInPandas(run, f"qid {kind}, signature string, answer string, repaired boolean, error string")
+    drafts = ask(jobs, F.col("prompt"), client, "_draft", "_failed", workers=workers, ledger=ledger)
+    checked = drafts.withColumn("_draft", F.when(F.col("_failed").isNull(), F.trim(text_of(F.col("_draft"))))).withColumn("_fault", F.when(F.col("_failed").isNull(), fault(F.col("_draft"), F.col("articles"))))
+    repair = F.to_json(F.struct("prompt", F.col("_draft").alias("draft"), F.col("_fault").alias("fault"), F.col("labels").alias("allowed_citations")))
+    told = ask(checked, repair, client, "_again", "_failed_again", F.col("_fault").isNotNull(), workers, ledger)
+    again = F.trim(text_of(F.col("_again")))
+    error = F.coalesce("_failed", "_failed_again", F.when(F.col("_fault").isNotNull() & (again == ""), "ValueError: the repair is empty"))
+    text = F.when(error.isNull(), F.when(F.col("_fault").isNotNull(), again).otherwise(F.col("_draft")))
+    out = told.select("qid", "signature", text.alias("answer"), (error.isNull() & F.col("_fault").isNotNull()).alias("repaired"), error.alias("error"))
     return out.where("error is null") if strict else out
 
 
 def cached(jobs: DataFrame, cache: DataFrame) -> DataFrame:
     """Cached answers (qid, signature, answer, repaired) that stand for a job: made from the same things, not empty, and repaired or without a fault."""
     both = jobs.select("qid", "signature", "articles").join(cache, ["qid", "signature"]).where(F.trim(text_of(F.col("answer"))) != "")
-    fault = F.pandas_udf(_faults, "boolean")
-    return both.where(F.coalesce("repaired", F.lit(False)) | ~fault("answer", "articles")).select("qid", "signature", "answer", "repaired")
-
-
-def _faults(answers: pd.Series, articles: pd.Series) -> pd.Series:
-    return pd.Series([needs_repair(a, [dict(x) for x in found])[0] for a, found in zip(answers, articles, strict=True)])
+    return both.where(F.coalesce("repaired", F.lit(False)) | fault(F.col("answer"), F.col("articles")).isNull()).select("qid", "signature", "answer", "repaired")
 
 
 def parts(answer: Column) -> Column:
@@ -109,17 +78,13 @@ def parts(answer: Column) -> Column:
     return F.struct(conclusion.alias("conclusion"), F.when(conclusion == "", text).otherwise(rest).alias("analysis"), (conclusion != "").alias("has_conclusion"))
 
 
-def without_search(rows: DataFrame, client: Callable[[str], str]) -> DataFrame:
-    """Answers to questions (qid, question, route) that need no search, with empty references: small talk by the client, a fixed text for what is out of scope."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield frame.assign(answer=[client(q.strip()).strip() if r == "small_talk" else OUTSIDE for q, r in zip(frame["question"], frame["route"], strict=True)])
-
+def without_search(rows: DataFrame, client: Callable[[str], str], workers: Workers = Workers(), ledger: Ledger | None = None) -> DataFrame:
+    """Answers to questions (qid, question, route) that need no search, with empty references: small talk by the client, a fixed text for what is out of scope. A call that fails is an error of the query."""
     asked = rows.where(F.col("route").isin("small_talk", "out_of_scope")).select("qid", "question", "route")
+    told = ask(asked, F.trim("question"), client, "_reply", "_error", F.col("route") == "small_talk", workers, ledger)
+    text = F.when(F.col("route") == "out_of_scope", OUTSIDE).when(F.col("_error").isNotNull(), F.raise_error(F.col("_error"))).otherwise(F.trim(text_of(F.col("_reply"))))
     none = F.array().cast("array<string>")
-    kind = rows.schema["qid"].dataType.simpleString()
-    return asked.mapInPandas(run, f"qid {kind}, question string, route string, answer string").withColumns({"relevant_docs": none, "relevant_articles": none})
+    return told.select("qid", "question", "route", text.alias("answer"), none.alias("relevant_docs"), none.alias("relevant_articles"))
 
 
 def cards(answers: DataFrame, refs: DataFrame, articles: DataFrame, preview: int = 280) -> DataFrame:

@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rankloom.sources import calls
+
 CONFIDENCES = ("high", "medium", "low")
+#: The fields of a reply, the one that counts as well unless strict, and how keys are found in a broken reply: in so many characters behind a field's name.
+KEYS, OTHER_KEYS = "selected_article_keys", "selected_article_ids"
+NAMED, KEY, REACH = re.compile(r"selected_article_(?:keys|ids)"), re.compile(r"\bA\d+\b"), 300
 
 
 def _object(reply: str) -> dict | None:
@@ -35,13 +40,13 @@ def parse_selection(reply: str, known: list[str], strict: bool = False) -> tuple
     data = _object(reply)
     chosen = None
     if data is not None:
-        chosen = data.get("selected_article_keys")
+        chosen = data.get(KEYS)
         if chosen is None and not strict:
-            chosen = data.get("selected_article_ids")
+            chosen = data.get(OTHER_KEYS)
     if chosen is None and data is None and not strict:
-        m = re.search(r"selected_article_(?:keys|ids)", reply or "")
+        m = NAMED.search(reply or "")
         if m:
-            chosen = re.findall(r"\bA\d+\b", reply[m.end() : m.end() + 300])
+            chosen = KEY.findall(reply[m.end() : m.end() + REACH])
     if not isinstance(chosen, list):
         return None, "low"
     keys = list(dict.fromkeys(str(k).strip() for k in chosen))
@@ -51,10 +56,17 @@ def parse_selection(reply: str, known: list[str], strict: bool = False) -> tuple
     return keys, said if said in CONFIDENCES else "low"
 
 
-@F.pandas_udf(T.StructType([T.StructField("keys", T.ArrayType(T.StringType())), T.StructField("confidence", T.StringType())]))
-def parsed(replies: pd.Series, known: pd.Series) -> pd.DataFrame:
-    rows = [parse_selection(r, list(k)) for r, k in zip(replies, known, strict=True)]
-    return pd.DataFrame({"keys": [k for k, _ in rows], "confidence": [c for _, c in rows]})
+SELECTION = T.StructType([T.StructField("keys", T.ArrayType(T.StringType())), T.StructField("confidence", T.StringType())])
+
+
+def parsed(replies: Column, known: Column, strict: bool = False) -> Column:
+    """(keys, confidence) of replies, each with the keys that it may name."""
+
+    def read(texts: pd.Series, keys: pd.Series) -> pd.DataFrame:
+        rows = [parse_selection(r, list(k), strict) for r, k in zip(texts, keys, strict=True)]
+        return pd.DataFrame({"keys": [k for k, _ in rows], "confidence": [c for _, c in rows]})
+
+    return F.pandas_udf(read, SELECTION)(F.coalesce(replies, F.lit("")), known)
 
 
 def aliased(candidates: DataFrame, size: int = 6) -> DataFrame:
@@ -80,31 +92,23 @@ def first_keys(payload: str) -> str:
     return json.dumps({"selected_article_keys": keys, "confidence": "high" if keys else "low"})
 
 
-def ask(batches: DataFrame, client: Callable[[str], str] = first_keys) -> DataFrame:
+def ask(batches: DataFrame, client: Callable[[str], str] = first_keys, workers: calls.Workers = calls.Workers(), ledger: calls.Ledger | None = None) -> DataFrame:
     """A reply for each payload; the client is any picklable function. A call that fails gives a null reply and its error."""
+    return calls.ask(batches, F.col("payload"), client, workers=workers, ledger=ledger)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            replies, errors = [], []
-            for payload in frame["payload"]:
-                try:
-                    replies.append(client(payload))
-                    errors.append(None)
-                except Exception as e:  # one question's failure must not fail the others
-                    replies.append(None)
-                    errors.append(f"{type(e).__name__}: {e}"[:500])
-            yield frame.assign(reply=replies, error=errors)
-
-    return batches.mapInPandas(run, batches.schema.simpleString()[7:-1] + ", reply string, error string")
 
+def selected(answered: DataFrame, strict: bool = False) -> DataFrame:
+    """qid, selected (articles in order; null if no batch could be read), parse_failures, confidence.
 
-def selected(answered: DataFrame) -> DataFrame:
-    """qid, selected (articles in order; null if no batch could be read), parse_failures, confidence."""
-    told = answered.withColumn("_p", parsed(F.coalesce("reply", F.lit("")), F.col("keys")))
+    Strict: replies are read by the letter, and a question with a batch that can't be read has no
+    row, so that a later run asks it again.
+    """
+    told = answered.withColumn("_p", parsed(F.col("reply"), F.col("keys"), strict))
     chosen = F.filter(F.transform("_p.keys", lambda k: F.get(F.col("articles"), (F.array_position("keys", k) - 1).cast("int"))), lambda a: a.isNotNull())
     rows = told.select("qid", "batch", chosen.alias("chosen"), F.col("_p.keys").isNull().alias("failed"), F.col("_p.confidence").alias("confidence"))
     grouped = rows.groupBy("qid").agg(F.sort_array(F.collect_list(F.when(~F.col("failed"), F.struct("batch", "chosen")))).alias("parts"), F.sum(F.col("failed").cast("int")).alias("parse_failures"), merged_confidence(F.col("confidence"), F.col("failed")).alias("confidence"))
-    return grouped.select("qid", F.when(F.size("parts") > 0, F.array_distinct(F.flatten(F.transform("parts", lambda p: p["chosen"])))).alias("selected"), "parse_failures", "confidence")
+    out = grouped.select("qid", F.when(F.size("parts") > 0, F.array_distinct(F.flatten(F.transform("parts", lambda p: p["chosen"])))).alias("selected"), "parse_failures", "confidence")
+    return out.where("parse_failures = 0") if strict else out
 
 
 def merged_confidence(confidence: Column, failed: Column) -> Column:

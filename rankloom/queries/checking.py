@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankloom.functions import text as T
-from rankloom.operators import answers, bm25, fusion, rules, verify
+from rankloom.operators import answers, bm25, citations, fusion, rules, verify
 from rankloom.sources import tables
 
 from .common import INDEX_SQL, index_of, questions, questions_sql, table
@@ -92,12 +92,20 @@ def citation_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def citation_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers that cite the articles of their question, some with the wrong law: whether all citations are supported."""
-    rows = _candidates(spark, sf_dir).select("qid", "position", "doc_id", F.concat((F.col("doc_id") % 7).cast("string"), F.lit("/2020/QH")).alias("law"))
-    listed = rows.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("position", "doc_id", "law"))).alias("a"))
-    part = F.transform("a", lambda x: F.concat(F.lit("Theo Điều "), x["doc_id"].cast("string"), F.lit(" của Luật "), F.when(x["doc_id"] % 11 == 0, "9/2020/QH").otherwise(x["law"]), F.lit(".")))
-    checked = listed.select("qid", answers.citation_check(F.array_join(part, " "), F.transform("a", lambda x: F.concat(F.lit("Điều "), x["doc_id"].cast("string"))), F.transform("a", lambda x: x["law"])).alias("c"))
-    return checked.select("qid", "c.ok", "c.detail")
+    """Answers that cite the articles of their question in six ways, some of them wrong: whether all citations are supported."""
+    number, law = F.col("doc_id").cast("string"), F.concat((F.col("doc_id") % 7).cast("string"), F.lit("/2020/QH"))
+    ways = [
+        F.concat(F.lit("Theo Điều "), number, F.lit(" của Luật "), law, F.lit(".")),
+        F.concat(F.lit("Luật số "), law, F.lit(" (Điều "), number, F.lit(").")),
+        F.concat(F.lit("Theo Điều "), number, F.lit(" của Luật 9/2020/QH.")),
+        F.concat(F.lit("Theo điều "), number, F.lit(".")),
+        F.concat(F.lit("Xem Điều "), (F.col("doc_id") + 1_000_000).cast("string"), F.lit(";")),
+        F.concat(F.lit("Theo Điều "), number, F.lit(" " + "x" * 120 + " "), law, F.lit(".")),
+    ]
+    rows = _candidates(spark, sf_dir).select("qid", "position", F.get(F.array(*ways), (F.col("doc_id") % len(ways)).cast("int")).alias("part"), F.struct(F.concat(F.lit("Điều "), number).alias("number"), law.alias("law_id")).alias("article"))
+    listed = rows.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("position", "part", "article"))).alias("a"))
+    answer = F.array_join(F.transform("a", lambda x: x["part"]), " ")
+    return listed.select("qid", citations.check(answer, F.transform("a", lambda x: x["article"])).alias("c")).select("qid", "c.ok", "c.detail")
 
 
 def submission_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,6 +207,9 @@ g AS (SELECT *, min((reason <> '')::INTEGER) OVER (PARTITION BY qid) AS everythi
     "prompt_render": f"WITH {_CANDIDATES}, s AS (SELECT *, least(300, greatest(1, 1200 // count(*) OVER (PARTITION BY qid)))::INTEGER AS m FROM c), t AS (SELECT *, greatest(20, (m - 7) // 4) AS tail FROM s), b AS (SELECT qid, question, position, '[' || position || '] ' || article || chr(10) || CASE WHEN length(content) <= m THEN content ELSE rtrim(substr(content, 1, m - 7 - tail)) || ' [...] ' || ltrim(right(content, tail)) END AS block FROM t), p AS (SELECT qid, 'Question: ' || first(question) || chr(10) || chr(10) || string_agg(block, chr(10) || chr(10) ORDER BY position) AS prompt FROM b GROUP BY qid) SELECT qid, length(prompt) AS n_chars, md5(prompt) AS prompt_md5 FROM p",
     "batches_of_six": "WITH r AS (SELECT conv_id % 50 AS qid, conv_id, turn, row_number() OVER (PARTITION BY conv_id % 50 ORDER BY conv_id, turn) - 1 AS n FROM conversations) SELECT qid, conv_id, turn, (n // 6)::INTEGER AS batch, 'A' || (n % 6 + 1) AS key FROM r",
     "citation_mentions": "SELECT doc_id, array_to_string(list_distinct_keep(n), ',') AS numbers FROM x",
+    "citation_validate": f"""WITH {_CANDIDATES}, p AS (SELECT qid, doc_id::VARCHAR AS number, doc_id % 6 AS way, doc_id FROM c),
+w AS (SELECT qid, string_agg('Điều ' || number || ' (9/2020/QH)', ', ' ORDER BY number) FILTER (way = 2) AS outside, string_agg('Điều ' || (doc_id + 1000000), ', ' ORDER BY (doc_id + 1000000)::VARCHAR) FILTER (way = 4) AS bare, count(*) FILTER (way < 2) AS good FROM p GROUP BY qid)
+SELECT qid, outside IS NULL AND bare IS NULL AND good > 0 AS ok, CASE WHEN outside IS NOT NULL THEN '{citations.OUTSIDE}' || outside WHEN bare IS NOT NULL THEN '{citations.NUMBER_OUTSIDE}' || bare WHEN good = 0 THEN '{citations.NOTHING_SUPPORTED}' ELSE 'ok' END AS detail FROM w""",
     "submission_validate": """WITH r AS (SELECT CASE WHEN doc_id % 50 = 0 THEN 'x' WHEN doc_id % 40 = 1 THEN '7' ELSE doc_id::VARCHAR END AS id, CASE WHEN doc_id % 30 = 2 THEN NULL ELSE lang END AS question, doc_id FROM documents), p AS (SELECT *, count(*) OVER (PARTITION BY id) AS n FROM r)
 SELECT id, 'missing field' AS problem FROM p WHERE question IS NULL UNION ALL SELECT id, 'id is not an integer' FROM p WHERE id = 'x' UNION ALL SELECT id, 'id is repeated' FROM p WHERE n > 1 UNION ALL SELECT id, 'bad document reference' FROM p WHERE doc_id % 20 = 4 UNION ALL SELECT id, 'bad article reference' FROM p WHERE doc_id % 35 = 5 UNION ALL SELECT id, 'answer cites no article' FROM p WHERE doc_id % 25 = 3""",
     "referential_check": "SELECT doc_id, 'no document' AS problem FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents) UNION ALL SELECT doc_id, 'no label' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",

@@ -24,12 +24,20 @@ TRANSIENT = re.compile(r"\b(?:429|500|502|503|504)\b|RESOURCE_EXHAUSTED|UNAVAILA
 EXPIRED = re.compile(r"\b401\b|UNAUTHENTICATED")
 
 
+def described(error: Exception) -> str:
+    """An error's kind, status and message."""
+    return f"{type(error).__name__} {getattr(error, 'status_code', '') or getattr(error, 'code', '')} {error}"
+
+
+def has_expired(error: Exception) -> bool:
+    return bool(EXPIRED.search(described(error)))
+
+
 def may_retry(error: Exception, can_refresh: bool = False) -> bool:
     """Whether a call that failed so may succeed later; an expired login only if it can be refreshed."""
-    text = f"{type(error).__name__} {getattr(error, 'status_code', '') or getattr(error, 'code', '')} {error}"
-    if EXPIRED.search(text):
+    if has_expired(error):
         return can_refresh
-    return isinstance(error, ConnectionError | TimeoutError) or bool(TRANSIENT.search(text))
+    return isinstance(error, ConnectionError | TimeoutError) or bool(TRANSIENT.search(described(error)))
 
 
 @dataclass(frozen=True)
@@ -50,7 +58,7 @@ class Retrying:
             except Exception as e:
                 if k + 1 == self.attempts or not may_retry(e, self.refresh is not None):
                     raise
-                if EXPIRED.search(f"{getattr(e, 'status_code', '')} {e}") and self.refresh:
+                if has_expired(e) and self.refresh:
                     self.refresh()
                 self.sleep(min(self.longest, self.base * 2**k))
         raise RuntimeError("no attempt was allowed")
