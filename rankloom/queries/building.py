@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rankloom.functions import text as T
 from rankloom.operators import corpus
-from rankloom.sources import jsonl
+from rankloom.sources import jsonl, tables
 
 from .common import COLLAPSE, table
 
@@ -44,6 +44,7 @@ def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Words that mark sections of documents, as article markers do in statutes: the n-th line of a document is its article (7 n) mod 5 + n.
 def _numbered(docs: DataFrame) -> DataFrame:
+    docs = tables.spread(docs.select("doc_id", "text"))
     lines = F.split(T.text_of(F.col("text")), "\n")
     number = lambda i: ((i * 7) % 5 + i).cast("string")
     return docs.select("doc_id", F.array_join(F.transform(lines, lambda x, i: F.concat(F.lit("Điều "), number(i + 1), F.lit(". "), x, F.lit(" 1. "), F.substring(x, 1, 40))), " ").alias("text"))

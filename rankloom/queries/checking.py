@@ -135,8 +135,9 @@ def semi_join_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def anti_join_todo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers without an order."""
-    return table(spark, sf_dir, "customer").select("c_custkey").join(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    """Customers without an order of the highest priority."""
+    urgent = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, sf_dir, "customer").select("c_custkey").join(urgent, "c_custkey", "left_anti")
 
 
 def lookup_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,7 +216,7 @@ SELECT id, 'missing field' AS problem FROM p WHERE question IS NULL UNION ALL SE
     "referential_check": "SELECT doc_id, 'no document' AS problem FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents) UNION ALL SELECT doc_id, 'no label' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "id_set_equal": "SELECT 'orders_lines' AS pair, (SELECT count(*) FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)) AS only_left, (SELECT count(DISTINCT l_orderkey) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)) AS only_right, 0::BIGINT AS repeated UNION ALL SELECT 'vectors_documents', (SELECT count(*) FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents)), (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)), 0",
     "semi_join_keep": "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')",
-    "anti_join_todo": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "anti_join_todo": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')",
     "lookup_join": "SELECT s_suppkey, n_name, r_name FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey",
     "settings_grid": "SELECT q AS most_quantity, d AS least_discount, count(*) AS n, round(sum(l_extendedprice), 2) AS value FROM lineitem JOIN (SELECT unnest([10.0, 25.0, 40.0])::DOUBLE AS q) ON l_quantity <= q JOIN (SELECT unnest([0.02, 0.06])::DOUBLE AS d) ON l_discount >= d GROUP BY q, d",
     "route_turns": "SELECT conv_id, turn, CASE WHEN n < 5 THEN 'out_of_scope' WHEN n < 15 THEN 'small_talk' ELSE 'legal' END AS route FROM (SELECT *, len(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}_]+'), lambda x: length(x) > 1)) AS n FROM conversations WHERE role = 'user')",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rankloom.functions.text import collapse
 from rankloom.operators import bm25, dense, fusion
+from rankloom.sources.durable import durable
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,9 +35,8 @@ def intent_rows(rows: DataFrame) -> DataFrame:
 
 
 def index_of(spark: SparkSession, sf_dir: str) -> bm25.Index:
-    """An index of the words of all questions, whose postings are kept for the searches of one query."""
-    index = bm25.build(table(spark, sf_dir, "documents"), only=bm25.words_of(questions(spark, sf_dir)))
-    return bm25.Index(index.postings.persist(), index.terms, index.stats)
+    """An index of the words of all questions."""
+    return bm25.build(table(spark, sf_dir, "documents"), only=bm25.words_of(questions(spark, sf_dir)))
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,20 +57,26 @@ def hybrid_by_intent(index: bm25.Index, dense_rows: DataFrame, asked: DataFrame,
 
 
 #: Intent i of question q has the stored vector q + i in place of an embedding; its topic has that of number q + 1.
-def intent_hits(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
-    """The best k documents of each intent, by BM25 and vectors: qid, intent_index, doc_id, score, rank. Kept, as queries use it several times."""
+def intent_hits(spark: SparkSession, sf_dir: str, k: int = 10, index: bm25.Index | None = None) -> DataFrame:
+    """The best k documents of each intent, by BM25 and vectors: qid, intent_index, doc_id, score, rank. Written, as queries use it several times."""
     asked = intent_rows(questions(spark, sf_dir))
     found = dense_hits(spark, sf_dir, asked.select((F.col("qid") * 10 + F.col("intent_index")).alias("qid"), (F.col("qid") + F.col("intent_index")).alias("vec_id")), 50)
     by_intent = found.select(F.floor(F.col("qid") / 10).cast("long").alias("qid"), (F.col("qid") % 10).cast("int").alias("intent_index"), "doc_id", "score", "rank")
-    return hybrid_by_intent(index_of(spark, sf_dir), by_intent, asked, 50, k).persist()
+    return durable(hybrid_by_intent(index or index_of(spark, sf_dir), by_intent, asked, 50, k))
 
 
-def question_hits(spark: SparkSession, sf_dir: str, k: int = 60) -> DataFrame:
-    """The best k documents of each question, by its words, its vector, and its topic's vector where the topic (the first sentence) differs. Kept."""
+def question_hits(spark: SparkSession, sf_dir: str, k: int = 60, index: bm25.Index | None = None) -> DataFrame:
+    """The best k documents of each question, by its words, its vector, and its topic's vector where the topic (the first sentence) differs. Written."""
     asked = intents_of(questions(spark, sf_dir))
     topics = asked.where(F.element_at("intents", 1) != collapse(F.col("query"))).select("qid", (F.col("qid") + 1).alias("vec_id"))
-    lists = [bm25.search(index_of(spark, sf_dir), asked, 50), dense_hits(spark, sf_dir, asked.select("qid", F.col("qid").alias("vec_id")), 50), dense_hits(spark, sf_dir, topics, 50)]
-    return fusion.rrf(lists, k).persist()
+    lists = [bm25.search(index or index_of(spark, sf_dir), asked, 50), dense_hits(spark, sf_dir, asked.select("qid", F.col("qid").alias("vec_id")), 50), dense_hits(spark, sf_dir, topics, 50)]
+    return durable(fusion.rrf(lists, k))
+
+
+def both_hits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """``question_hits`` and ``intent_hits`` by one index: an intent has no words but its question's."""
+    index = index_of(spark, sf_dir)
+    return question_hits(spark, sf_dir, index=index), intent_hits(spark, sf_dir, index=index)
 
 
 def counted(spark: SparkSession, sf_dir: str) -> DataFrame:

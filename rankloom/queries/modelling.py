@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.operators import collective, generate, rerank
-from rankloom.sources import artifacts, clients, jsonl
+from rankloom.sources import artifacts, calls, clients, jsonl
+from rankloom.sources.durable import durable, shared_folder
 
 from .common import COLLAPSE, table
 
@@ -30,12 +34,12 @@ def rerank_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten documents of one source and number class as the pool of each question."""
-    docs = table(spark, sf_dir, "documents").where("doc_id % 8 = 0").select("doc_id", (F.col("doc_id") / 8).cast("long").alias("n"), "source", "text")
-    return docs.select((F.col("n") / 10).cast("long").alias("qid"), (F.col("n") % 10).cast("int").alias("position"), "doc_id", "source", "text")
+    """Ten neighbouring documents as the pool of each question."""
+    n = F.col("doc_id")
+    return table(spark, sf_dir, "documents").select(F.floor(n / 10).cast("long").alias("qid"), (n % 10).cast("int").alias("position"), "doc_id", "source", "text")
 
 
-_POOL = "pool AS (SELECT n // 10 AS qid, (n % 10)::INTEGER AS position, doc_id, source, text FROM (SELECT doc_id, doc_id // 8 AS n, source, text FROM documents WHERE doc_id % 8 = 0))"
+_POOL = "pool AS (SELECT doc_id // 10 AS qid, (doc_id % 10)::INTEGER AS position, doc_id, source, text FROM documents)"
 
 
 def rerank_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,8 +58,8 @@ def rerank_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pair_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The client that stands in for a cross-encoder on first words of neighbouring documents, eight pairs a call."""
-    words = lambda c: F.regexp_replace(F.lower(F.substring(c, 1, 60)), r"[^a-z0-9 ]+", " ")
+    """The client that stands in for a cross-encoder on neighbouring documents, eight pairs a call."""
+    words = lambda c: F.regexp_replace(F.lower(c), r"[^a-z0-9 ]+", " ")
     pool = _pool(spark, sf_dir)
     pairs = pool.select("qid", "position", words(F.col("text")).alias("text")).join(pool.where("position = 0").select("qid", words(F.col("text")).alias("query")), "qid")
     return clients.pair_scores(pairs, F.col("query"), F.col("text"), size=8).select("qid", "position", F.round("score", 9).alias("score"))
@@ -75,10 +79,37 @@ def canned_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def answer_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many groups share their signature with another one when only the first law counts."""
-    jobs = _jobs(spark, sf_dir).select("qid", F.get("articles", F.lit(0))["law_id"].alias("law"))
-    signed = jobs.select("law", generate.signature({"b": 1, "a": 2}, F.lit("q"), F.array("law"), F.array().cast(generate.FIELDS)).alias("signature"))
-    return signed.groupBy("law").agg(F.count("*").alias("n"), F.count_distinct("signature").alias("signatures"))
+    """How many signatures the groups of each first law have, where groups share questions, references and articles."""
+    first = F.get("articles", F.lit(0))
+    seen = F.struct(first["law_id"].alias("law_id"), first["law_type"].alias("law_type"), first["law_name"].alias("law_name"), F.lit("").alias("number"), F.lit(None).cast("string").alias("title"), F.lit("").alias("content"))
+    jobs = _jobs(spark, sf_dir).select(first["law_id"].alias("law"), F.concat(F.lit("câu "), (F.col("qid") % 3).cast("string")).alias("question"), F.transform("articles", lambda a: a["law_id"]).alias("refs"), F.array(seen).alias("articles"))
+    signed = jobs.select("law", generate.signature({"b": 1, "a": 2}, F.col("question"), F.col("refs"), F.col("articles")).alias("signature"), generate.signature({"a": 2, "b": 1}, F.col("question"), F.col("refs"), F.col("articles")).alias("same"), generate.signature({"a": 2, "b": 2}, F.col("question"), F.col("refs"), F.col("articles")).alias("other"))
+    return signed.groupBy("law").agg(F.count("*").alias("n"), F.count_distinct("signature").alias("signatures"), F.sum((F.col("signature") == F.col("same")).cast("long")).alias("same"), F.sum((F.col("signature") == F.col("other")).cast("long")).alias("other"))
+
+
+class _Failing:
+    """A client that fails at some turns the first time they are asked."""
+
+    def __init__(self, fails: bool) -> None:
+        self.fails = fails
+
+    def __call__(self, payload: str) -> str:
+        conversation, turn, text = json.loads(payload)
+        if self.fails and turn % 5 == 4:
+            raise ConnectionError("connection reset")
+        return f"{conversation}: {text[:20]}"
+
+
+def model_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies to all user turns from a ledger that two runs have filled: the first one asked even conversations and failed at some turns, the second one was given all."""
+    turns = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    payload = F.concat(F.lit("["), F.col("conv_id"), F.lit(","), F.col("turn"), F.lit(","), F.substring(F.to_json(F.array("text")), 2, 1 << 30))
+    ledger = calls.Ledger(f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}", "turns", chunk=100)
+    runs = calls.Workers(threads=4)
+    calls.ask(turns.where("conv_id % 2 = 0"), payload, _Failing(True), workers=runs, ledger=ledger)
+    before = durable(ledger.finished(spark).withColumn("run", F.lit(1)))
+    told = calls.ask(turns, payload, _Failing(False), workers=runs, ledger=ledger)
+    return told.withColumn("digest", ledger.digest(payload)).join(before, "digest", "left").select("conv_id", "turn", "reply", F.coalesce("run", F.lit(2)).alias("run"))
 
 
 def _cited(n: Column, law: Column) -> Column:
@@ -162,7 +193,7 @@ def collective_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collective.select_together(rows).select("qid", "selected", "path", "failed")
 
 
-QUERIES = {f.__name__: f for f in (rerank_texts, rerank_prompts, rerank_replies, pair_scoring, canned_answers, answer_signatures, cached_answers, answer_parts, title_map, reference_join, hydrate_candidates, artifact_hits, point_lookup, todo_questions, collective_selection)}
+QUERIES = {f.__name__: f for f in (rerank_texts, rerank_prompts, rerank_replies, pair_scoring, canned_answers, answer_signatures, model_ledger, cached_answers, answer_parts, title_map, reference_join, hydrate_candidates, artifact_hits, point_lookup, todo_questions, collective_selection)}
 
 _OF = "{0}.number || ', ' || {0}.law_type || ' ' || {0}.law_name"
 _PART = r"trim(regexp_replace(substr(text, {0}, 30), '[\s*-]+', ' ', 'g'))"
@@ -170,12 +201,13 @@ ORACLES = {
     "rerank_texts": f"WITH {_ARTICLES} SELECT doc_id, md5({COLLAPSE.format('law_type || chr(32) || law_name')} || chr(10) || {COLLAPSE.format('number')} || '. ' || {COLLAPSE.format('title')} || chr(10) || substr({COLLAPSE.format('content')}, 1, 1800)) AS long_md5, md5(coalesce(title, '') || ' ' || substr(coalesce(content, ''), 1, 1000)) AS short_md5 FROM articles",
     "rerank_prompts": f"WITH {_POOL} SELECT qid, count(*)::INTEGER AS n, md5('Câu hỏi: q' || qid || chr(10) || chr(10) || 'Danh sách điều luật cần chấm điểm:' || chr(10) || string_agg('[' || i || '] Văn bản: ' || coalesce(source, '') || chr(10) || 'Điều: ' || doc_id || ' — ' || substr(coalesce(text, ''), 1, 20) || chr(10) || substr(coalesce(text, ''), 1, 400), chr(10) ORDER BY position)) AS prompt_md5 FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY position) - 1 AS i FROM pool) GROUP BY qid",
     "rerank_replies": f"WITH {_POOL}, s AS (SELECT *, count(*) OVER (PARTITION BY qid) AS n FROM pool), t AS (SELECT qid, doc_id, CASE WHEN qid % 6 = 5 THEN n - position WHEN position = 2 THEN 1.5 WHEN (position + qid) % 5 = 4 THEN 0 ELSE (position * 7 + qid) % 11 END::DOUBLE AS score FROM s) SELECT *, rank_in_pool <= 3 AS in_final FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank_in_pool FROM t)",
-    "pair_scoring": f"WITH {_POOL}, w AS (SELECT qid, position, list_distinct(list_filter(string_split(regexp_replace(lower(substr(coalesce(text, ''), 1, 60)), '[^a-z0-9 ]+', ' ', 'g'), ' '), lambda x: x <> '')) AS t FROM pool) SELECT w.qid, w.position, round(CASE WHEN len(q.t) = 0 THEN 0.0 ELSE len(list_intersect(q.t, w.t))::DOUBLE / len(q.t) END, 9) AS score FROM w JOIN w q ON q.qid = w.qid AND q.position = 0",
+    "pair_scoring": f"WITH {_POOL}, w AS (SELECT qid, position, list_distinct(list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9 ]+', ' ', 'g'), ' '), lambda x: x <> '')) AS t FROM pool) SELECT w.qid, w.position, round(CASE WHEN len(q.t) = 0 THEN 0.0 ELSE len(list_intersect(q.t, w.t))::DOUBLE / len(q.t) END, 9) AS score FROM w JOIN w q ON q.qid = w.qid AND q.position = 0",
     "canned_answers": f"""WITH {_ARTICLES}, a AS (SELECT *, doc_id // 5 AS qid, row_number() OVER (PARTITION BY doc_id // 5 ORDER BY doc_id) AS k FROM articles),
 h AS (SELECT qid, 'Căn cứ ' || {_OF.format('a')} || ', ' || CASE WHEN coalesce(title, '') = '' THEN 'quy định như sau' ELSE lower(title) END || ':' || chr(10) || trim(substr(coalesce(content, ''), 1, 300), ' ') AS head FROM a WHERE k = 1),
 m AS (SELECT qid, string_agg(chr(10) || 'Ngoài ra, theo ' || {_OF.format('a')} || ': ' || coalesce(title, '') || '.', '' ORDER BY k) FILTER (k BETWEEN 2 AND 4 AND number <> '') AS more, coalesce(string_agg(trim(number) || ' ' || trim(law_name) || ' (' || law_id || ')', ' | ' ORDER BY k) FILTER (number <> ''), '') AS labels FROM a GROUP BY qid)
 SELECT qid, md5(head || chr(10) || coalesce(more, '') || chr(10) || chr(10) || 'Hết.') AS answer_md5, labels FROM h JOIN m USING (qid)""",
-    "answer_signatures": f"WITH {_ARTICLES}, f AS (SELECT law_id AS law, row_number() OVER (PARTITION BY doc_id // 5 ORDER BY doc_id) AS k FROM articles) SELECT law, count(*) AS n, 1::BIGINT AS signatures FROM f WHERE k = 1 GROUP BY law",
+    "answer_signatures": f"WITH {_ARTICLES}, g AS (SELECT doc_id // 5 AS qid, list(law_id ORDER BY doc_id) AS refs, first(law_id ORDER BY doc_id) AS law, first(law_name ORDER BY doc_id) AS name FROM articles GROUP BY 1) SELECT law, count(*) AS n, count(DISTINCT (qid % 3, refs, name)) AS signatures, count(*) AS same, 0::BIGINT AS other FROM g GROUP BY law",
+    "model_ledger": "SELECT conv_id, turn, conv_id || ': ' || substr(coalesce(text, ''), 1, 20) AS reply, CASE WHEN conv_id % 2 = 0 AND turn % 5 <> 4 THEN 1 ELSE 2 END::INTEGER AS run FROM conversations WHERE role = 'user'",
     "cached_answers": "SELECT doc_id AS qid, doc_id % 4 = 0 AS repaired FROM documents WHERE doc_id % 5 <> 0 AND doc_id % 7 <> 0 AND (doc_id % 4 = 0 OR doc_id % 3 <> 0)",
     "answer_parts": f"SELECT doc_id, CASE WHEN doc_id % 3 < 2 THEN {_PART.format(1)} ELSE '' END AS conclusion, doc_id % 3 < 2 AND {_PART.format(1)} <> '' AS has_conclusion FROM documents",
     "title_map": rf"WITH r AS (SELECT lower(p_brand) AS c, trim(regexp_replace('a  ' || p_name, '\s+', ' ', 'g')) AS title, 0 AS tier, p_partkey FROM part WHERE p_size % 10 = 0 UNION ALL SELECT lower(p_brand), trim(regexp_replace('b ' || p_type, '\s+', ' ', 'g')), 1, p_partkey FROM part WHERE p_size % 3 = 0), f AS (SELECT c, title FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY tier, p_partkey DESC) AS n FROM r) WHERE n = 1) SELECT p_partkey, p_brand AS code, upper(substr(coalesce(title, {COLLAPSE.format('p_name')}), 1, 1)) || substr(coalesce(title, {COLLAPSE.format('p_name')}), 2) AS name FROM part LEFT JOIN f ON c = lower(trim(p_brand))",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rankloom.operators import features, fusion, rules
 
-from .common import GLOBAL_SQL, HITS_SQL, INDEX_SQL, counted, intent_hits, intent_rows, question_hits, questions, table
+from .common import GLOBAL_SQL, HITS_SQL, INDEX_SQL, both_hits, counted, intent_hits, intent_rows, questions, table
 
 
 def _pool(fused: DataFrame, hits: DataFrame) -> DataFrame:
@@ -17,7 +17,7 @@ def _pool(fused: DataFrame, hits: DataFrame) -> DataFrame:
 
 def keep_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of the question's list, then those of its intents, each once."""
-    return _pool(question_hits(spark, sf_dir), intent_hits(spark, sf_dir))
+    return _pool(*both_hits(spark, sf_dir))
 
 
 def _reranked(spark: SparkSession, sf_dir: str, k: int, fused: DataFrame, hits: DataFrame) -> DataFrame:
@@ -28,32 +28,31 @@ def _reranked(spark: SparkSession, sf_dir: str, k: int, fused: DataFrame, hits:
 
 
 def mock_rerank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _reranked(spark, sf_dir, 10, question_hits(spark, sf_dir), intent_hits(spark, sf_dir))
+    return _reranked(spark, sf_dir, 10, *both_hits(spark, sf_dir))
 
 
-def _scored(spark: SparkSession, sf_dir: str, fused: DataFrame) -> DataFrame:
-    hits = intent_hits(spark, sf_dir)
+def _scored(spark: SparkSession, sf_dir: str, fused: DataFrame, hits: DataFrame) -> DataFrame:
     return features.aggregate(_reranked(spark, sf_dir, 50, fused, hits), fused, hits, counted(spark, sf_dir), 10)
 
 
 def feature_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scored(spark, sf_dir, question_hits(spark, sf_dir)).drop("num_intents")
+    return _scored(spark, sf_dir, *both_hits(spark, sf_dir)).drop("num_intents")
 
 
 def select_with_pins_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The two best hits of the question are pinned where they were scored."""
-    fused = question_hits(spark, sf_dir)
+    fused, hits = both_hits(spark, sf_dir)
     pins = fused.where("rank <= 2").select("qid", "doc_id", F.col("rank").alias("pin"))
-    return features.select(_scored(spark, sf_dir, fused), pins).select("qid", "doc_id", "score", "output_rank", "selected")
+    return features.select(_scored(spark, sf_dir, fused, hits), pins).select("qid", "doc_id", "score", "output_rank", "selected")
 
 
 def sweep_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     variants = spark.createDataFrame([(f"top{t}_cap{c}", t, c) for t in (3, 5, 10) for c in (5, 10)], "variant string, top_each int, cap int")
-    return features.sweep(_scored(spark, sf_dir, question_hits(spark, sf_dir)), variants).groupBy("variant", "qid").agg(F.count("*").alias("n"), F.round(F.sum("score"), 6).alias("total"))
+    return features.sweep(_scored(spark, sf_dir, *both_hits(spark, sf_dir)), variants).groupBy("variant", "qid").agg(F.count("*").alias("n"), F.round(F.sum("score"), 6).alias("total"))
 
 
 def tiered_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fused, hits = question_hits(spark, sf_dir), intent_hits(spark, sf_dir)
+    fused, hits = both_hits(spark, sf_dir)
     return fusion.tiered_union(fused, _reranked(spark, sf_dir, 5, fused, hits), hits, counted(spark, sf_dir))
 
 
@@ -67,8 +66,8 @@ def round_robin_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def coverage_rescue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best documents of each question, with intents that none of them covers rescued."""
-    final = fusion.collect_ordered(question_hits(spark, sf_dir).where("rank <= 5"), ["qid"], "doc_id", "rank", "final")
-    hits = intent_hits(spark, sf_dir)
+    wide, hits = both_hits(spark, sf_dir)
+    final = fusion.collect_ordered(wide.where("rank <= 5"), ["qid"], "doc_id", "rank", "final")
     lists = fusion.collect_ordered(hits, ["qid", "intent_index"], "doc_id", "rank", "ranking").groupBy("qid").agg(F.transform(F.sort_array(F.collect_list(F.struct("intent_index", "ranking"))), lambda x: x["ranking"]).alias("intents"))
     survivors = hits.where("doc_id % 3 <> 0").groupBy("qid").agg(F.collect_set("doc_id").alias("survivors"))
     joined = final.join(lists, "qid").join(survivors, "qid", "left").withColumn("survivors", F.coalesce("survivors", F.array().cast("array<bigint>")))
@@ -90,8 +89,9 @@ def array_set_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def order_by_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A question's intent hits in the order of its own list; those it lacks last."""
-    items = intent_hits(spark, sf_dir).select("qid", "doc_id").distinct()
-    return fusion.by_reference(items, question_hits(spark, sf_dir).select("qid", "doc_id", F.col("rank").alias("position")), ["qid"], "doc_id")
+    wide, hits = both_hits(spark, sf_dir)
+    items = hits.select("qid", "doc_id").distinct()
+    return fusion.by_reference(items, wide.select("qid", "doc_id", F.col("rank").alias("position")), ["qid"], "doc_id")
 
 
 QUERIES = {f.__name__: f for f in (keep_pool, mock_rerank_topk, feature_aggregate, select_with_pins_cap, sweep_caps, tiered_union, inferred_intent_topm, round_robin_union, coverage_rescue, ordered_distinct, array_set_ops, order_by_reference)}

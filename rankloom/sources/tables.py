@@ -66,3 +66,13 @@ def same_ids(pairs: dict[str, tuple[DataFrame, DataFrame]]) -> DataFrame:
         counts = left.groupBy("id").agg(F.count("*").alias("a")).join(right.groupBy("id").agg(F.count("*").alias("b")), "id", "full_outer")
         out.append(counts.agg(F.lit(name).alias("pair"), F.count_if(F.col("b").isNull()).alias("only_left"), F.count_if(F.col("a").isNull()).alias("only_right"), F.count_if((F.coalesce("a", F.lit(0)) > 1) | (F.coalesce("b", F.lit(0)) > 1)).alias("repeated")))
     return reduce(DataFrame.unionByName, out)
+
+
+def spread(rows: DataFrame, small: int = 256 << 20) -> DataFrame:
+    """``rows`` dealt to all cores if they are a small input by the plan's estimate of its bytes; larger inputs stay where they are.
+
+    A small file is often one row group, which one task reads and works on alone. Large inputs have
+    row groups enough, and would only be shuffled for nothing.
+    """
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism) if size < small else rows
