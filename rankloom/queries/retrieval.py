@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.functions import text as T
-from rankloom.operators import bm25, dense, fusion
+from rankloom.operators import bm25, dense, fusion, impact
 from rankloom.operators.features import rank_by_score
 
 from .common import GLOBAL_SQL, HITS_SQL, INDEX_SQL, INTENTS_SQL, TOKENS, VECTORS_SQL, dense_hits, dense_sql, fuse_sql, index_of, intent_hits, intents_of, question_hits, questions, questions_sql, table, vectors
@@ -29,6 +29,11 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25.search(index_of(spark, sf_dir), questions(spark, sf_dir), 10)
 
 
+def impact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from impact-ordered blocks, of which only those are read that can matter."""
+    return impact.search(impact.blocks(index_of(spark, sf_dir), size=64), questions(spark, sf_dir), 10).hits
+
+
 def _dense(distance: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = vectors(spark, sf_dir)
@@ -139,7 +144,7 @@ def retrieval_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gold.join(found, "qid").select("qid", F.size(F.array_intersect("found", "gold")).alias("n_found"), F.round(fusion.recall(F.col("found"), F.col("gold")), 6).alias("recall"))
 
 
-QUERIES = {f.__name__: f for f in (tokenize_stats, bm25_index_terms, bm25_corpus_stats, bm25_topk, l2_normalize, vector_validate, rrf_fuse, hybrid_topk, hybrid_fallback, payload_resolve, intents_sanitized, intent_topk, intent_union_article, intent_union_chunk, prefix_topk_exports, coverage_probe, lowest_n, percentile_linear, retrieval_recall)}
+QUERIES = {f.__name__: f for f in (tokenize_stats, bm25_index_terms, bm25_corpus_stats, bm25_topk, impact_topk, l2_normalize, vector_validate, rrf_fuse, hybrid_topk, hybrid_fallback, payload_resolve, intents_sanitized, intent_topk, intent_union_article, intent_union_chunk, prefix_topk_exports, coverage_probe, lowest_n, percentile_linear, retrieval_recall)}
 QUERIES |= {f"dense_topk_{d}": _dense(d) for d in ("cosine", "dot", "euclid")}
 
 _DENSE = dense_sql("dense", "(SELECT item_id AS qid, item_id AS vec_id FROM benchmark)", "qid", 50)
@@ -150,6 +155,7 @@ ORACLES = {
     "bm25_index_terms": f"WITH {INDEX_SQL} SELECT term, df, round(ln((n - df + 0.5) / (df + 0.5) + 1), 9) AS idf FROM terms CROSS JOIN stats",
     "bm25_corpus_stats": f"WITH {INDEX_SQL} SELECT n, round(avgdl, 6) AS avgdl FROM stats",
     "bm25_topk": f"WITH {INDEX_SQL}, {questions_sql('lex', 10)} SELECT * FROM lex",
+    "impact_topk": f"WITH {INDEX_SQL}, {questions_sql('lex', 10)} SELECT * FROM lex",
     "dense_topk_cosine": _dense_sql("list_cosine_similarity(q.e, x.e)"),
     "dense_topk_dot": _dense_sql("list_inner_product(q.e, x.e)"),
     "dense_topk_euclid": _dense_sql("-list_distance(q.e, x.e)"),
