@@ -263,7 +263,7 @@ def test_discovered_identifiers_are_seeds_and_marked_everywhere(spark, monkeypat
     found = {r["doc_id"]: [texts[r["doc_id"]][s["start"] : s["end"]] for s in r["spans"] if s["kind"] == pii.BASE] for r in pii.find(docs).collect()}
     assert [found[k] for k in range(9, 16)] == [["staff-0a"], ["staff-1a"], ["staff-2a"], ["staff-9z"], ["staff-9z"], ["staff-1a"], []]
     for most in (200_000, -1):
-        monkeypatch.setattr(pii, "BROADCAST_PATTERNS", most)
+        monkeypatch.setattr(pii, "SENT", most)
         masked = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
         assert (masked[13], masked[14], masked[15]) == ("somewhere else stands [CONTEXT] alone", "and [CONTEXT] here", texts[15])
 
