@@ -35,6 +35,11 @@ def read_questions(spark: SparkSession, path: str, expected: int | None = None)
     return rows
 
 
+def in_order(questions: DataFrame) -> DataFrame:
+    """Questions with ``position``, their place in the file that they were read from (one file, which one task reads from its beginning)."""
+    return questions.withColumn("position", F.monotonically_increasing_id())
+
+
 def read_question(spark: SparkSession, path: str) -> DataFrame:
     """(id, question) of a JSON object, or of a list of exactly one; raises for anything else and for an empty question."""
     return read_questions(spark, path, 1)
