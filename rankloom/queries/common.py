@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rankloom.functions.text import collapse
 from rankloom.operators import bm25, dense, fusion
+from rankloom.operators.analysis import MOST_INTENTS, intents_of
 from rankloom.sources.durable import durable
 
 
@@ -18,18 +19,6 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
 
 
-#: An intent is a sentence of a question; as many as this at most.
-MOST_INTENTS = 6
-
-
-def intents_of(rows: DataFrame) -> DataFrame:
-    """(qid, query) with ``intents``: sentences, white space collapsed, each once whatever its case, six at most; the question itself if there is none."""
-    parts = F.filter(F.transform(F.split("query", r"[.!?]+\s+"), lambda x: F.regexp_replace(collapse(x), r"[.!?]+$", "")), lambda x: x != "")
-    first = F.filter(parts, lambda x, i: F.array_position(F.transform(parts, lambda y: F.lower(y)), F.lower(x)) == i + 1)
-    limited = F.slice(first, 1, MOST_INTENTS)
-    return rows.withColumn("intents", F.when(F.size(limited) > 0, limited).otherwise(F.array(collapse(F.col("query")))))
-
-
 def intent_rows(rows: DataFrame) -> DataFrame:
     return intents_of(rows).select("qid", F.posexplode("intents").alias("intent_index", "query"))
 

@@ -7,11 +7,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rankloom.operators import cells
 from rankloom.operators.segments import GrowingIndex
 from rankloom.sources.durable import shared_folder
 from rankloom.sources.vectors import VectorStore
 
-from .common import TOKENS, table
+from .common import TOKENS, table, vectors
+from .retrieval import ORACLES as RETRIEVAL
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -51,8 +53,23 @@ def vector_store_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read().select("id", "hash", F.round(F.get("v", F.lit(0)), 6).alias("first"))
 
 
-QUERIES = {f.__name__: f for f in (growing_index_terms, growing_index_documents, vector_store_rows)}
+def cells_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of each hundredth vector, from the 26 nearest of 32 cells; the vectors are spread evenly, so near ones lie in many cells."""
+    rows = vectors(spark, sf_dir)
+    index = cells.build(rows, _folder(spark, "cells"), 32)
+    return cells.search(index, rows.where("id % 100 = 0").select(F.col("id").alias("qid"), "v"), 10, 26).hits
+
+
+def cells_exhausted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from all cells, which is exact."""
+    rows = vectors(spark, sf_dir)
+    index = cells.build(rows, _folder(spark, "cells"), 32)
+    return cells.search(index, rows.where("id % 100 = 0").select(F.col("id").alias("qid"), "v"), 10, 32).hits
+
+
+QUERIES = {f.__name__: f for f in (growing_index_terms, growing_index_documents, vector_store_rows, cells_topk, cells_exhausted)}
 ORACLES = {
+    "cells_exhausted": RETRIEVAL["dense_topk_cosine"],
     "growing_index_terms": f"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN concat_ws(' ', lang, source) ELSE text END AS text FROM documents WHERE doc_id % 10 <> 5 OR doc_id % 3 = 2),
 w AS (SELECT doc_id, {TOKENS.format("text")} AS w FROM d), t AS (SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(w) AS term FROM w) GROUP BY term)
 SELECT term, df, round(ln(((SELECT count(*) FROM d) - df + 0.5) / (df + 0.5) + 1), 9) AS idf FROM t""",
