@@ -99,6 +99,11 @@ def build(vectors: DataFrame, path: str, cells: int, distance: str = "cosine", s
     return Cells(spark, path, centres, distance)
 
 
+def nearest_cells(index: Cells, x: np.ndarray, probes: int) -> np.ndarray:
+    """The ``probes`` nearest cells of each vector, nearest first."""
+    return np.argsort(-_affinity(_near(x, index.distance), index.centres, index.distance), axis=1, kind="stable")[:, :probes].astype(np.int32)
+
+
 @dataclass
 class Found:
     """hits (qid, id, score, rank), and the share of all vectors that the mean query met."""
@@ -119,7 +124,7 @@ def search(index: Cells, queries: DataFrame, k: int, probes: int, digits: int =
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                near = np.argsort(-_affinity(_near(_matrix(batch.column(1), dim), distance), centres, distance), axis=1, kind="stable")[:, :probes].astype(np.int32)
+                near = nearest_cells(Cells(None, "", centres, distance), _matrix(batch.column(1), dim), probes)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.tolist(), pa.list_(pa.int32()))], names=["qid", "v", "cells"])
 
     routed = durable(asked.mapInArrow(probe, "qid long, v array<double>, cells array<int>").select("qid", "v", F.explode("cells").alias("cell")))

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.operators import collective, generate, rerank
+from rankloom.operators import collective, generate, linking, rerank
 from rankloom.sources import artifacts, calls, clients, jsonl
 from rankloom.sources.durable import durable, shared_folder
 
@@ -87,6 +87,17 @@ def answer_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signed.groupBy("law").agg(F.count("*").alias("n"), F.count_distinct("signature").alias("signatures"), F.sum((F.col("signature") == F.col("same")).cast("long")).alias("same"), F.sum((F.col("signature") == F.col("other")).cast("long")).alias("other"))
 
 
+def linked_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of answers that cite each document among five of one number each or two, by law, by name or by number alone."""
+    d = F.col("doc_id")
+    article = lambda law, name, number: F.struct(law.alias("law_id"), F.lit(name).alias("law_name"), F.concat(F.lit("Điều "), number.cast("string")).alias("number"))
+    law = F.concat((d % 7).cast("string"), F.lit("/2020/QH"))
+    articles = F.array(article(F.lit("1/1999/X"), "Quản lý thuế chung", d), article(law, "Doanh nghiệp mới nhất", d), article(law, "Khác", d + 1))
+    way = F.when(d % 4 == 0, F.concat(F.lit("- **Kết luận** theo Điều "), d, F.lit(" số "), law, F.lit(" là đúng"))).when(d % 4 == 1, F.concat(F.lit("Điều "), d, F.lit(" về doanh nghiệp mới nhất"))).when(d % 4 == 2, F.concat(F.lit("## Điều "), d)).otherwise(F.concat(F.lit("xem khoản 2 Điều "), d, F.lit(" và Điều "), d + 1, F.lit(" và Điều "), d + 2))
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(linking.blocks(way, articles)).alias("line", "s"))
+    return lines.select("doc_id", F.array_join(F.transform("s", lambda x: x["kind"]), ",").alias("kinds"), F.array_join(F.transform("s", lambda x: x["text"]), "|").alias("texts"), F.array_join(F.transform(F.filter("s", lambda x: x["article"].isNotNull()), lambda x: x["article"].cast("string")), ",").alias("articles"))
+
+
 class _Failing:
     """A client that fails at some turns the first time they are asked."""
 
@@ -193,7 +204,7 @@ def collective_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collective.select_together(rows).select("qid", "selected", "path", "failed")
 
 
-QUERIES = {f.__name__: f for f in (rerank_texts, rerank_prompts, rerank_replies, pair_scoring, canned_answers, answer_signatures, model_ledger, cached_answers, answer_parts, title_map, reference_join, hydrate_candidates, artifact_hits, point_lookup, todo_questions, collective_selection)}
+QUERIES = {f.__name__: f for f in (rerank_texts, rerank_prompts, rerank_replies, pair_scoring, canned_answers, answer_signatures, linked_answers, model_ledger, cached_answers, answer_parts, title_map, reference_join, hydrate_candidates, artifact_hits, point_lookup, todo_questions, collective_selection)}
 
 _OF = "{0}.number || ', ' || {0}.law_type || ' ' || {0}.law_name"
 _PART = r"trim(regexp_replace(substr(text, {0}, 30), '[\s*-]+', ' ', 'g'))"
@@ -207,6 +218,9 @@ h AS (SELECT qid, 'Căn cứ ' || {_OF.format('a')} || ', ' || CASE WHEN coalesc
 m AS (SELECT qid, string_agg(chr(10) || 'Ngoài ra, theo ' || {_OF.format('a')} || ': ' || coalesce(title, '') || '.', '' ORDER BY k) FILTER (k BETWEEN 2 AND 4 AND number <> '') AS more, coalesce(string_agg(trim(number) || ' ' || trim(law_name) || ' (' || law_id || ')', ' | ' ORDER BY k) FILTER (number <> ''), '') AS labels FROM a GROUP BY qid)
 SELECT qid, md5(head || chr(10) || coalesce(more, '') || chr(10) || chr(10) || 'Hết.') AS answer_md5, labels FROM h JOIN m USING (qid)""",
     "answer_signatures": f"WITH {_ARTICLES}, g AS (SELECT doc_id // 5 AS qid, list(law_id ORDER BY doc_id) AS refs, first(law_id ORDER BY doc_id) AS law, first(law_name ORDER BY doc_id) AS name FROM articles GROUP BY 1) SELECT law, count(*) AS n, count(DISTINCT (qid % 3, refs, name)) AS signatures, count(*) AS same, 0::BIGINT AS other FROM g GROUP BY law",
+    "linked_answers": """SELECT doc_id, ['bullet,bold,text,citation,text', 'citation,text', 'heading', 'text,citation,text,citation,text,text'][doc_id % 4 + 1] AS kinds,
+CASE doc_id % 4 WHEN 0 THEN '• |Kết luận| theo |Điều ' || doc_id || '| số ' || doc_id % 7 || '/2020/QH là đúng' WHEN 1 THEN 'Điều ' || doc_id || '| về doanh nghiệp mới nhất' WHEN 2 THEN 'Điều ' || doc_id ELSE 'xem |khoản 2 Điều ' || doc_id || '| và |Điều ' || doc_id + 1 || '| và |Điều ' || doc_id + 2 END AS texts,
+['2', '2', '', '1,3'][doc_id % 4 + 1] AS articles FROM documents""",
     "model_ledger": "SELECT conv_id, turn, conv_id || ': ' || substr(coalesce(text, ''), 1, 20) AS reply, CASE WHEN conv_id % 2 = 0 AND turn % 5 <> 4 THEN 1 ELSE 2 END::INTEGER AS run FROM conversations WHERE role = 'user'",
     "cached_answers": "SELECT doc_id AS qid, doc_id % 4 = 0 AS repaired FROM documents WHERE doc_id % 5 <> 0 AND doc_id % 7 <> 0 AND (doc_id % 4 = 0 OR doc_id % 3 <> 0)",
     "answer_parts": f"SELECT doc_id, CASE WHEN doc_id % 3 < 2 THEN {_PART.format(1)} ELSE '' END AS conclusion, doc_id % 3 < 2 AND {_PART.format(1)} <> '' AS has_conclusion FROM documents",
