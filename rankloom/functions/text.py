@@ -96,8 +96,13 @@ def law_of(ref: Column) -> Column:
     return F.trim(F.regexp_replace(F.substring_index(ref, "|", 1), "^'+", ""))
 
 
-def article_ref(law_id: Column, law_type: Column, law_name: Column, number: Column) -> Column:
-    return F.concat_ws("|", law_id, F.concat_ws(" ", law_type, law_name), number)
+def document_ref(law_id: Column, law_type: Column, law_name: Column, coded: bool = False) -> Column:
+    """A law's reference; ``coded`` has its id in the name as well, behind the type."""
+    return F.concat_ws("|", law_id, F.concat_ws(" ", law_type, *([law_id] if coded else []), law_name))
+
+
+def article_ref(law_id: Column, law_type: Column, law_name: Column, number: Column, coded: bool = False) -> Column:
+    return F.concat_ws("|", document_ref(law_id, law_type, law_name, coded), number)
 
 
 # --- ids, fingerprints and texts for models ---------------------------------------------------

@@ -127,3 +127,10 @@ def fault(answer: Column, articles: Column, known: Column | None = None) -> Colu
     told = check(answer, articles, known)
     unexplained = F.exists(told["outside"], lambda p: ~explained(p, articles))
     return F.when((F.trim(text_of(answer)) == "") | unexplained, told["detail"])
+
+
+def pairs_told(detail: Column) -> Column:
+    """The pairs (number, law) that a check's detail names, read back from it."""
+    form = r"Điều (\S+) \(([^()]*)\)"
+    one = lambda k: F.regexp_extract_all(text_of(detail), F.lit(form), F.lit(k))
+    return F.zip_with(one(1), one(2), lambda n, w: F.struct(n.alias("number"), w.alias("law")))

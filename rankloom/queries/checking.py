@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rankloom.functions import maps
 from rankloom.functions import text as T
 from rankloom.operators import answers, bm25, citations, fusion, rules, verify
+from rankloom.plans import checks
 from rankloom.sources import tables
 
 from .common import INDEX_SQL, index_of, questions, questions_sql, table
@@ -124,6 +126,34 @@ def referential_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.join(docs, "doc_id", "left_anti").withColumn("problem", F.lit("no document")).unionByName(docs.join(labels, "doc_id", "left_anti").withColumn("problem", F.lit("no label")))
 
 
+def stage_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problems of a stage's rows made from documents, with ids left out, added and repeated, empty fields and unknown references."""
+    docs, d = table(spark, sf_dir, "documents"), F.col("doc_id")
+    rows = docs.where("doc_id % 17 <> 3").select((F.when(d % 19 == 4, -d - 1).otherwise(d)).alias("id"), F.when(d % 23 == 5, "").otherwise(F.col("lang")).alias("answer"), F.array(F.concat(F.lit("a"), (d % 40).cast("string"))).alias("relevant_articles"))
+    rows = rows.unionByName(rows.where("id % 29 = 6"))
+    known = docs.select(F.concat(F.lit("a"), (d % 37).cast("string")).alias("article")).distinct()
+    return checks.stage_problems(rows, docs.select(d.alias("id")), ["answer", "relevant_articles"], known)
+
+
+def stores_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of documents, postings and vectors that don't belong together; vectors are those of the same numbers."""
+    d = F.col("doc_id")
+    docs = table(spark, sf_dir, "documents").select(d, F.concat(F.lit("h"), (d % 5).cast("string")).alias("hash"))
+    stored = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.concat(F.lit("h"), F.when(F.col("vec_id") % 11 == 0, 9).otherwise(F.col("vec_id") % 5).cast("string")).alias("hash"), F.lit("b").alias("backend"), F.when(F.col("label") == 0, "old").otherwise("m").alias("model"))
+    postings = table(spark, sf_dir, "labels").select(F.when(d % 13 == 0, -d - 1).otherwise(d).alias("doc_id"))
+    return checks.consistency(docs, postings, stored, "b", "m")
+
+
+def map_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maps of customers merged: the right one wins, defaults fill up."""
+    key = F.col("c_custkey")
+    left = F.create_map(F.lit("segment"), F.col("c_mktsegment"), F.lit("nation"), F.col("c_nationkey").cast("string"))
+    right = F.when(key % 3 == 0, F.create_map(F.lit("nation"), F.lit(None).cast("string"), F.lit("new"), key.cast("string"))).when(key % 3 == 1, F.create_map(F.lit("nation"), F.lit("x")))
+    both = maps.with_defaults(maps.merged(left, right), F.create_map(F.lit("new"), F.lit("none"), F.lit("more"), F.lit("yes")))
+    told = F.array_join(F.sort_array(F.transform(F.map_entries(both), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("null"))))), ",")
+    return table(spark, sf_dir, "customer").select("c_custkey", told.alias("merged"))
+
+
 def id_set_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether pairs of tables hold the same ids, without repeats."""
     return tables.same_ids({"orders_lines": (table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")), table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id")).distinct()), "vectors_documents": (table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id")), table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")))})
@@ -177,7 +207,7 @@ def reference_codecs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", T.doc_of(F.col("ref")).alias("doc"), T.doc_before_last(F.col("ref")).alias("before_last"), T.doc_or_empty(F.col("ref")).alias("or_empty"), key["law_id"].alias("law_id"), key["number"].alias("number"))
 
 
-QUERIES = {f.__name__: f for f in (class_drop, never_empty_fallback, never_empty_guard, role_rules, reason_counts, confidence_merge, fair_share_budget, prompt_render, batches_of_six, stage_selection, citation_mentions, citation_validate, submission_validate, referential_check, id_set_equal, semi_join_keep, anti_join_todo, lookup_join, settings_grid, route_turns, default_assembly, reference_codecs)}
+QUERIES = {f.__name__: f for f in (class_drop, never_empty_fallback, never_empty_guard, role_rules, reason_counts, confidence_merge, fair_share_budget, prompt_render, batches_of_six, stage_selection, citation_mentions, citation_validate, submission_validate, stage_checked, stores_consistent, map_merge, referential_check, id_set_equal, semi_join_keep, anti_join_todo, lookup_join, settings_grid, route_turns, default_assembly, reference_codecs)}
 
 
 def _list(values: list[str]) -> str:
@@ -213,6 +243,13 @@ w AS (SELECT qid, string_agg('Điều ' || number || ' (9/2020/QH)', ', ' ORDER
 SELECT qid, outside IS NULL AND bare IS NULL AND good > 0 AS ok, CASE WHEN outside IS NOT NULL THEN '{citations.OUTSIDE}' || outside WHEN bare IS NOT NULL THEN '{citations.NUMBER_OUTSIDE}' || bare WHEN good = 0 THEN '{citations.NOTHING_SUPPORTED}' ELSE 'ok' END AS detail FROM w""",
     "submission_validate": """WITH r AS (SELECT CASE WHEN doc_id % 50 = 0 THEN 'x' WHEN doc_id % 40 = 1 THEN '7' ELSE doc_id::VARCHAR END AS id, CASE WHEN doc_id % 30 = 2 THEN NULL ELSE lang END AS question, doc_id FROM documents), p AS (SELECT *, count(*) OVER (PARTITION BY id) AS n FROM r)
 SELECT id, 'missing field' AS problem FROM p WHERE question IS NULL UNION ALL SELECT id, 'id is not an integer' FROM p WHERE id = 'x' UNION ALL SELECT id, 'id is repeated' FROM p WHERE n > 1 UNION ALL SELECT id, 'bad document reference' FROM p WHERE doc_id % 20 = 4 UNION ALL SELECT id, 'bad article reference' FROM p WHERE doc_id % 35 = 5 UNION ALL SELECT id, 'answer cites no article' FROM p WHERE doc_id % 25 = 3""",
+    "stage_checked": """WITH b AS (SELECT CASE WHEN doc_id % 19 = 4 THEN -doc_id - 1 ELSE doc_id END AS id, CASE WHEN doc_id % 23 = 5 THEN '' ELSE lang END AS answer, 'a' || doc_id % 40 AS article FROM documents WHERE doc_id % 17 <> 3), r AS (SELECT * FROM b UNION ALL SELECT * FROM b WHERE id % 29 = 6), k AS (SELECT DISTINCT 'a' || doc_id % 37 AS article FROM documents)
+SELECT doc_id::VARCHAR AS id, 'is missing' AS problem FROM documents WHERE doc_id NOT IN (SELECT id FROM r) UNION ALL SELECT DISTINCT id::VARCHAR, 'wasn''t expected' FROM r WHERE id NOT IN (SELECT doc_id FROM documents) UNION ALL SELECT id::VARCHAR, 'is repeated' FROM r GROUP BY id HAVING count(*) > 1
+UNION ALL SELECT id::VARCHAR, 'has no answer' FROM r WHERE coalesce(answer, '') = '' UNION ALL SELECT DISTINCT id::VARCHAR, 'names the unknown ' || article FROM r WHERE article NOT IN (SELECT article FROM k)""",
+    "stores_consistent": """WITH d AS (SELECT doc_id AS id, 'h' || doc_id % 5 AS hash FROM documents), v AS (SELECT vec_id AS id, 'h' || CASE WHEN vec_id % 11 = 0 THEN 9 ELSE vec_id % 5 END AS hash, CASE WHEN label = 0 THEN 'old' ELSE 'm' END AS model FROM embeddings), p AS (SELECT DISTINCT CASE WHEN doc_id % 13 = 0 THEN -doc_id - 1 ELSE doc_id END AS id FROM labels)
+SELECT 'documents share an id or have none' AS problem, (SELECT count(*) FROM (SELECT count(*) OVER (PARTITION BY id) AS n FROM d) WHERE n > 1) AS n UNION ALL SELECT 'indexed documents are unknown', (SELECT count(*) FROM p WHERE id NOT IN (SELECT id FROM d)) UNION ALL SELECT 'documents have no vector', (SELECT count(*) FROM d WHERE id NOT IN (SELECT id FROM v)) UNION ALL SELECT 'vectors are of unknown documents', (SELECT count(*) FROM v WHERE id NOT IN (SELECT id FROM d))
+UNION ALL SELECT 'vectors are of another text', (SELECT count(*) FROM d JOIN v USING (id) WHERE d.hash <> v.hash) UNION ALL SELECT 'vectors are of another model', (SELECT count(*) FROM v WHERE model <> 'm')""",
+    "map_merge": "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'more=yes,nation=null,new=' || c_custkey WHEN 1 THEN 'more=yes,nation=x,new=none' ELSE 'more=yes,nation=' || c_nationkey || ',new=none' END || ',segment=' || c_mktsegment AS merged FROM customer",
     "referential_check": "SELECT doc_id, 'no document' AS problem FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents) UNION ALL SELECT doc_id, 'no label' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "id_set_equal": "SELECT 'orders_lines' AS pair, (SELECT count(*) FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)) AS only_left, (SELECT count(DISTINCT l_orderkey) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)) AS only_right, 0::BIGINT AS repeated UNION ALL SELECT 'vectors_documents', (SELECT count(*) FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents)), (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)), 0",
     "semi_join_keep": "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')",

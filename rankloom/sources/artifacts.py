@@ -84,10 +84,11 @@ def write_corpus(articles: DataFrame, path: str) -> None:
     articles.write.mode("overwrite").json(path)
 
 
-def report(counts: dict[str, DataFrame]) -> str:
-    """A provenance report in markdown from small tables of counts, a section each."""
+def report(counts: dict[str, DataFrame], most: int = 1000) -> str:
+    """A provenance report in markdown from tables of counts, a section each; a section of more than ``most`` rows says how many more there are."""
     out = []
     for title, table in counts.items():
-        rows = table.limit(1000).collect()
-        out += [f"## {title}", "", "| " + " | ".join(table.columns) + " |", "|" + " --- |" * len(table.columns), *("| " + " | ".join(str(v) for v in r) + " |" for r in rows), ""]
+        rows = table.limit(most).collect()
+        more = table.count() - len(rows) if len(rows) == most else 0
+        out += [f"## {title}", "", "| " + " | ".join(table.columns) + " |", "|" + " --- |" * len(table.columns), *("| " + " | ".join(str(v) for v in r) + " |" for r in rows), *([f"and {more} more"] if more else []), ""]
     return "\n".join(out)

@@ -44,23 +44,13 @@ def write_results(rows: DataFrame, folder: str, position: str | None = None) ->
     parts = f"{folder}/.parts-{uuid.uuid4().hex}"
     line = F.to_json(F.struct(*FIELDS), {"ignoreNullFields": "false"})
     ordered = rows.repartitionByRange(F.col(position).asc_nulls_last(), F.col("id")).sortWithinPartitions(F.col(position).asc_nulls_last(), "id")
-    ordered.select(F.concat(F.lit(","), line).alias("value")).write.text(parts)
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     hadoop, path = jvm.org.apache.hadoop, lambda name: jvm.org.apache.hadoop.fs.Path(name)
     fs = path(folder).getFileSystem(conf)
     copy = jvm.org.apache.hadoop.io.IOUtils.copyBytes
     try:
-        written = sorted((x.getPath().getName() for x in fs.listStatus(path(parts)) if x.getPath().getName().startswith("part-") and x.getLen()))
         whole = path(f"{parts}/results.json")
-        out = fs.create(whole, True)
-        out.write(bytearray(b"["))
-        for k, part in enumerate(written):
-            stream = fs.open(path(f"{parts}/{part}"))
-            stream.seek(0 if k else 1)  # every row has a comma before it but the first
-            copy(stream, out, conf, False)
-            stream.close()
-        out.write(bytearray(b"]\n"))
-        out.close()
+        _join(ordered.select(line.alias("value")), f"{parts}/lines", whole, b"[", b"]\n")
         packed = path(f"{parts}/results.zip")
         archive = jvm.java.util.zip.ZipOutputStream(fs.create(packed, True))
         archive.putNextEntry(jvm.java.util.zip.ZipEntry("results.json"))
@@ -79,6 +69,44 @@ def write_results(rows: DataFrame, folder: str, position: str | None = None) ->
     return f"{folder}/results.zip"
 
 
+def _join(lines: DataFrame, parts: str, whole, head: bytes, tail: bytes) -> None:
+    """Lines (value), in the order of their partitions, as one file: the head, the lines with a comma before each but the first, the tail."""
+    spark = lines.sparkSession
+    lines.select(F.concat(F.lit(","), "value")).write.text(parts)
+    conf = spark._jsc.hadoopConfiguration()
+    where = spark._jvm.org.apache.hadoop.fs.Path(parts)
+    fs = where.getFileSystem(conf)
+    written = sorted(x.getPath().getName() for x in fs.listStatus(where) if x.getPath().getName().startswith("part-") and x.getLen())
+    out = fs.create(whole, True)
+    out.write(bytearray(head))
+    for k, part in enumerate(written):
+        stream = fs.open(spark._jvm.org.apache.hadoop.fs.Path(f"{parts}/{part}"))
+        stream.seek(0 if k else 1)  # every row has a comma before it but the first
+        spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, out, conf, False)
+        stream.close()
+    out.write(bytearray(tail))
+    out.close()
+
+
+def write_corpus_object(articles: DataFrame, path: str, version: str = "2.0") -> int:
+    """The corpus as one JSON file, an object of ``version``, ``total_articles`` and ``articles``, in the order of the partitions; how many there are. Executors write the articles, the file system joins them."""
+    spark, parts = articles.sparkSession, f"{path}.parts-{uuid.uuid4().hex}"
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    target = hadoop.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    n = articles.count()
+    try:
+        whole = hadoop.Path(f"{parts}/whole")
+        head = f'{{"version":{json.dumps(version)},"total_articles":{n},"articles":['
+        _join(articles.select(F.to_json(F.struct(*articles.columns), {"ignoreNullFields": "false"}).alias("value")), f"{parts}/lines", whole, head.encode(), b"]}\n")
+        over = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+        over[0] = hadoop.Options.Rename.OVERWRITE
+        hadoop.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(whole), fs.makeQualified(target), over)
+    finally:
+        fs.delete(hadoop.Path(parts), True)
+    return n
+
+
 def rows_of_zip(path: str) -> Iterator[dict]:
     """The rows of a zip, one at a time; the file may lie wherever Arrow can read. Raises ``ValueError`` for what isn't a list of rows, each on a line of its own."""
     fs, name = _place(path)

@@ -84,6 +84,27 @@ class Folder:
         fs, path = self._of(name)
         fs.delete(path, True)
 
+    def backup_once(self, name: str, backup: str) -> bool:
+        """Copy a file or folder, unless there is such a backup already; whether it was copied. A copy that isn't whole isn't there: it is made under another name first."""
+        fs, source = self._of(name)
+        _, target = self._of(backup)
+        if fs.exists(target) or not fs.exists(source):
+            return False
+        _, part = self._of(f"{backup}.part")
+        fs.delete(part, True)
+        self.spark._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, source, fs, part, False, self.spark._jsc.hadoopConfiguration())
+        return bool(fs.rename(part, target))
+
+    def set_aside(self, name: str) -> str | None:
+        """Give what is there another name, with the first number that is free, so that a fresh run begins without it; the new name."""
+        fs, source = self._of(name)
+        if not fs.exists(source):
+            return None
+        taken = set(self.names(name.rsplit("/", 1)[0] if "/" in name else ""))
+        k = next(k for k in range(1, len(taken) + 2) if f"{name.rsplit('/', 1)[-1]}.{k}" not in taken)
+        _, target = self._of(f"{name}.{k}")
+        return f"{name}.{k}" if fs.rename(source, target) else None
+
     # --- versions -----------------------------------------------------------------------------
 
     def versions(self) -> list[int]:
