@@ -201,12 +201,13 @@ def collective_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("doc_id")
     docs = table(spark, sf_dir, "documents").withColumn("qid", F.floor(d / 12)).where((d % 12) <= F.col("qid") % 12)
     rows = docs.select("qid", (d % 12).cast("int").alias("position"), F.concat(F.lit("which text is of "), F.col("source"), F.lit(" or "), F.col("lang")).alias("question"), F.lit("Luật").alias("law_type"), F.col("source").alias("law_name"), d.cast("string").alias("article"), F.col("text").alias("content"))
-    return collective.select_together(rows).select("qid", "selected", "path", "failed")
+    return collective.select_together(rows).select("qid", F.array_join("selected", ",").alias("selected"), "path", "failed")
 
 
 QUERIES = {f.__name__: f for f in (rerank_texts, rerank_prompts, rerank_replies, pair_scoring, canned_answers, answer_signatures, linked_answers, model_ledger, cached_answers, answer_parts, title_map, reference_join, hydrate_candidates, artifact_hits, point_lookup, todo_questions, collective_selection)}
 
 _OF = "{0}.number || ', ' || {0}.law_type || ' ' || {0}.law_name"
+_LONG = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]{{4,}}')"
 _PART = r"trim(regexp_replace(substr(text, {0}, 30), '[\s*-]+', ' ', 'g'))"
 ORACLES = {
     "rerank_texts": f"WITH {_ARTICLES} SELECT doc_id, md5({COLLAPSE.format('law_type || chr(32) || law_name')} || chr(10) || {COLLAPSE.format('number')} || '. ' || {COLLAPSE.format('title')} || chr(10) || substr({COLLAPSE.format('content')}, 1, 1800)) AS long_md5, md5(coalesce(title, '') || ' ' || substr(coalesce(content, ''), 1, 1000)) AS short_md5 FROM articles",
@@ -228,6 +229,13 @@ CASE doc_id % 4 WHEN 0 THEN '• |Kết luận| theo |Điều ' || doc_id || '|
     "reference_join": "WITH k AS (SELECT p_brand, p_type, max(p_partkey) AS p_partkey FROM part GROUP BY ALL) SELECT l_orderkey, k.p_partkey FROM lineitem JOIN part p ON p.p_partkey = l_partkey JOIN k ON k.p_brand = p.p_brand AND k.p_type = p.p_type WHERE l_linenumber = 1",
     "hydrate_candidates": f"WITH r AS (SELECT doc_id % 50 AS qid, CASE WHEN doc_id % 6 = 0 THEN -doc_id - 1 ELSE doc_id END AS article FROM labels) SELECT qid, article, CASE WHEN d.doc_id IS NULL THEN 'missing' ELSE md5(substr({COLLAPSE.format('text')}, 1, 100)) END AS content_md5 FROM r LEFT JOIN documents d ON d.doc_id = article",
     "artifact_hits": "WITH l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS k FROM lineitem) SELECT l_orderkey AS id, 'law ' || l_partkey % 9 || '|name|' || l_partkey AS article, CASE WHEN l_suppkey % 2 = 0 THEN 'own doc' ELSE 'law ' || l_partkey % 9 || '|name' END AS doc, CASE WHEN l_linenumber % 2 = 1 THEN l_linenumber WHEN l_linenumber <> 6 THEN l_linenumber + 10 ELSE 1000000000 END::BIGINT AS intent_rank, CASE WHEN l_quantity <= 25 THEN l_quantity WHEN l_quantity < 40 THEN l_quantity / 2 ELSE 0.0 END AS score FROM l WHERE l_linenumber <> 4 AND (l_orderkey % 3 = 0 OR k <= 2)",
+    "collective_selection": rf"""WITH c AS (SELECT doc_id // 12 AS qid, doc_id % 12 AS position, doc_id::VARCHAR AS article, 'which text is of ' || source || ' or ' || lang AS question, substr(coalesce(text, ''), 1, 1800) AS content FROM documents WHERE doc_id % 12 <= (doc_id // 12) % 12),
+n AS (SELECT *, count(*) OVER (PARTITION BY qid) AS n, (row_number() OVER (PARTITION BY qid ORDER BY position) - 1) // 6 AS b FROM c),
+q AS (SELECT *, max(question) OVER (PARTITION BY qid, CASE WHEN n > 8 THEN b END) AS asked FROM n),
+h AS (SELECT *, len(list_intersect({_LONG.format('asked')}, {_LONG.format('content')})) > 0 AS hit FROM q),
+r AS (SELECT *, max(question) FILTER (hit) OVER (PARTITION BY qid) AS again FROM h),
+s AS (SELECT *, hit AND (n <= 8 OR len(list_intersect({_LONG.format('again')}, {_LONG.format('content')})) > 0) AS kept FROM r)
+SELECT qid, CASE WHEN n < 2 THEN string_agg(article, ',' ORDER BY position) ELSE coalesce(string_agg(article, ',' ORDER BY position) FILTER (kept), arg_min(article, position)) END AS selected, CASE WHEN n < 2 THEN 'skipped' WHEN n <= 8 THEN 'direct' ELSE 'rounds' END AS path, n > 8 AND NOT bool_or(hit) AS failed FROM s GROUP BY qid, n""",
     "point_lookup": "SELECT vec_id AS id, label FROM embeddings WHERE vec_id IN (SELECT doc_id FROM labels)",
     "todo_questions": "SELECT conv_id, turn FROM conversations c WHERE role = 'user' AND NOT EXISTS (SELECT 1 FROM conversations n WHERE n.conv_id = c.conv_id AND n.turn = c.turn + 1)",
 }
