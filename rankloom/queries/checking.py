@@ -11,7 +11,7 @@ from rankloom.operators import answers, bm25, citations, fusion, rules, verify
 from rankloom.plans import checks
 from rankloom.sources import tables
 
-from .common import INDEX_SQL, index_of, questions, questions_sql, table
+from .common import INDEX_SQL, LONG_WORDS, index_of, questions, questions_sql, table
 
 #: Titles, questions and laws that documents take in turn, so that rules meet every role.
 TITLES = ["Hình thức xử phạt", "Mức phạt tiền", "Thẩm quyền xử phạt", "Cưỡng chế nợ thuế", "Vi phạm quy định về hồ sơ", "Điều kiện đăng ký", "Biện pháp khắc phục hậu quả", "Phạm vi điều chỉnh", "Xử phạt hành vi gian lận", "Nguyên tắc xử phạt", "XỬ PHẠT đối với tổ chức"]
@@ -238,6 +238,11 @@ g AS (SELECT *, min((reason <> '')::INTEGER) OVER (PARTITION BY qid) AS everythi
     "prompt_render": f"WITH {_CANDIDATES}, s AS (SELECT *, least(300, greatest(1, 1200 // count(*) OVER (PARTITION BY qid)))::INTEGER AS m FROM c), t AS (SELECT *, greatest(20, (m - 7) // 4) AS tail FROM s), b AS (SELECT qid, question, position, '[' || position || '] ' || article || chr(10) || CASE WHEN length(content) <= m THEN content ELSE rtrim(substr(content, 1, m - 7 - tail)) || ' [...] ' || ltrim(right(content, tail)) END AS block FROM t), p AS (SELECT qid, 'Question: ' || first(question) || chr(10) || chr(10) || string_agg(block, chr(10) || chr(10) ORDER BY position) AS prompt FROM b GROUP BY qid) SELECT qid, length(prompt) AS n_chars, md5(prompt) AS prompt_md5 FROM p",
     "batches_of_six": "WITH r AS (SELECT conv_id % 50 AS qid, conv_id, turn, row_number() OVER (PARTITION BY conv_id % 50 ORDER BY conv_id, turn) - 1 AS n FROM conversations) SELECT qid, conv_id, turn, (n // 6)::INTEGER AS batch, 'A' || (n % 6 + 1) AS key FROM r",
     "citation_mentions": "SELECT doc_id, array_to_string(list_distinct_keep(n), ',') AS numbers FROM x",
+    "stage_selection": f"""WITH {_CANDIDATES}, q AS (SELECT *, substr(first(content) OVER (PARTITION BY qid ORDER BY position), 1, 60) AS asked FROM c),
+h AS (SELECT *, len(list_intersect({LONG_WORDS.format('asked')}, {LONG_WORDS.format('substr(content, 1, 1800)')})) > 0 AS hit FROM q),
+l AS (SELECT qid, list(article ORDER BY position) AS a, coalesce(list(article ORDER BY position) FILTER (hit), []) AS s FROM h GROUP BY qid),
+f AS (SELECT qid, a, s, CASE len(s) WHEN 0 THEN a[1:3] WHEN 1 THEN CASE WHEN s[1] = a[1] THEN s ELSE [s[1], a[1]] END ELSE s END AS filled FROM l)
+SELECT qid, array_to_string(filled, ';') AS selected, CASE WHEN len(s) > 0 THEN 'high' ELSE 'low' END AS confidence, array_to_string(list_filter(a, lambda x: list_contains(filled, x)), ';') AS final FROM f""",
     "citation_validate": f"""WITH {_CANDIDATES}, p AS (SELECT qid, doc_id::VARCHAR AS number, doc_id % 6 AS way, doc_id FROM c),
 w AS (SELECT qid, string_agg('Điều ' || number || ' (9/2020/QH)', ', ' ORDER BY number) FILTER (way = 2) AS outside, string_agg('Điều ' || (doc_id + 1000000), ', ' ORDER BY (doc_id + 1000000)::VARCHAR) FILTER (way = 4) AS bare, count(*) FILTER (way < 2) AS good FROM p GROUP BY qid)
 SELECT qid, outside IS NULL AND bare IS NULL AND good > 0 AS ok, CASE WHEN outside IS NOT NULL THEN '{citations.OUTSIDE}' || outside WHEN bare IS NOT NULL THEN '{citations.NUMBER_OUTSIDE}' || bare WHEN good = 0 THEN '{citations.NOTHING_SUPPORTED}' ELSE 'ok' END AS detail FROM w""",

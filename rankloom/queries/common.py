@@ -73,6 +73,8 @@ def counted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TOKENS = r"list_filter(regexp_split_to_array(lower(nfc_normalize(coalesce({0}, ''))), '[^\p{{L}}\p{{N}}_]+'), lambda x: length(x) > 1)"
+#: Words of four letters or more, as the clients that stand in for models see them.
+LONG_WORDS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]{{4,}}')"
 COLLAPSE = r"trim(regexp_replace(coalesce({0}, ''), '\s+', ' ', 'g'))"
 
 INDEX_SQL = f"""

@@ -12,7 +12,7 @@ from rankloom.operators import collective, generate, linking, rerank
 from rankloom.sources import artifacts, calls, clients, jsonl
 from rankloom.sources.durable import durable, shared_folder
 
-from .common import COLLAPSE, table
+from .common import COLLAPSE, LONG_WORDS, table
 
 
 def _articles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,7 +207,6 @@ def collective_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (rerank_texts, rerank_prompts, rerank_replies, pair_scoring, canned_answers, answer_signatures, linked_answers, model_ledger, cached_answers, answer_parts, title_map, reference_join, hydrate_candidates, artifact_hits, point_lookup, todo_questions, collective_selection)}
 
 _OF = "{0}.number || ', ' || {0}.law_type || ' ' || {0}.law_name"
-_LONG = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]{{4,}}')"
 _PART = r"trim(regexp_replace(substr(text, {0}, 30), '[\s*-]+', ' ', 'g'))"
 ORACLES = {
     "rerank_texts": f"WITH {_ARTICLES} SELECT doc_id, md5({COLLAPSE.format('law_type || chr(32) || law_name')} || chr(10) || {COLLAPSE.format('number')} || '. ' || {COLLAPSE.format('title')} || chr(10) || substr({COLLAPSE.format('content')}, 1, 1800)) AS long_md5, md5(coalesce(title, '') || ' ' || substr(coalesce(content, ''), 1, 1000)) AS short_md5 FROM articles",
@@ -232,9 +231,9 @@ CASE doc_id % 4 WHEN 0 THEN '• |Kết luận| theo |Điều ' || doc_id || '|
     "collective_selection": rf"""WITH c AS (SELECT doc_id // 12 AS qid, doc_id % 12 AS position, doc_id::VARCHAR AS article, 'which text is of ' || source || ' or ' || lang AS question, substr(coalesce(text, ''), 1, 1800) AS content FROM documents WHERE doc_id % 12 <= (doc_id // 12) % 12),
 n AS (SELECT *, count(*) OVER (PARTITION BY qid) AS n, (row_number() OVER (PARTITION BY qid ORDER BY position) - 1) // 6 AS b FROM c),
 q AS (SELECT *, max(question) OVER (PARTITION BY qid, CASE WHEN n > 8 THEN b END) AS asked FROM n),
-h AS (SELECT *, len(list_intersect({_LONG.format('asked')}, {_LONG.format('content')})) > 0 AS hit FROM q),
+h AS (SELECT *, len(list_intersect({LONG_WORDS.format('asked')}, {LONG_WORDS.format('content')})) > 0 AS hit FROM q),
 r AS (SELECT *, max(question) FILTER (hit) OVER (PARTITION BY qid) AS again FROM h),
-s AS (SELECT *, hit AND (n <= 8 OR len(list_intersect({_LONG.format('again')}, {_LONG.format('content')})) > 0) AS kept FROM r)
+s AS (SELECT *, hit AND (n <= 8 OR len(list_intersect({LONG_WORDS.format('again')}, {LONG_WORDS.format('content')})) > 0) AS kept FROM r)
 SELECT qid, CASE WHEN n < 2 THEN string_agg(article, ',' ORDER BY position) ELSE coalesce(string_agg(article, ',' ORDER BY position) FILTER (kept), arg_min(article, position)) END AS selected, CASE WHEN n < 2 THEN 'skipped' WHEN n <= 8 THEN 'direct' ELSE 'rounds' END AS path, n > 8 AND NOT bool_or(hit) AS failed FROM s GROUP BY qid, n""",
     "point_lookup": "SELECT vec_id AS id, label FROM embeddings WHERE vec_id IN (SELECT doc_id FROM labels)",
     "todo_questions": "SELECT conv_id, turn FROM conversations c WHERE role = 'user' AND NOT EXISTS (SELECT 1 FROM conversations n WHERE n.conv_id = c.conv_id AND n.turn = c.turn + 1)",
