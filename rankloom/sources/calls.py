@@ -104,7 +104,7 @@ def in_flight(pool: ThreadPoolExecutor, call: Callable, items: Iterable, window:
         yield done, future.result()
 
 
-def _place(path: str) -> tuple[pa.fs.FileSystem, str]:
+def file_system(path: str) -> tuple[pa.fs.FileSystem, str]:
     """The file system of a path, as executors reach it without Spark: local or mounted, HDFS, or an object store."""
     whole = f"file://{path[5:]}" if path.startswith("file:/") and not path.startswith("file://") else path
     return pa.fs.FileSystem.from_uri(whole)
@@ -155,7 +155,7 @@ class Ledger:
         New files are whole before old ones go. Where this ends half-way, rows are there twice, which
         ``replies`` doesn't mind.
         """
-        fs, root = _place(self.path)
+        fs, root = file_system(self.path)
         old = [x.path for x in fs.get_file_info(pa.fs.FileSelector(root)) if x.is_file]
         self.rows(spark).coalesce(files).write.mode("append").parquet(self.path)
         for path in old:
@@ -166,7 +166,7 @@ class Ledger:
 
         def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             context = TaskContext.get()
-            fs, root = _place(self.path)
+            fs, root = file_system(self.path)
             fs.create_dir(root, recursive=True)
             own = f"{run}-{context.partitionId()}-"
             known: set[str] = set()

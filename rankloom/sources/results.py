@@ -10,7 +10,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankloom.sources.calls import _place
+from rankloom.sources.calls import file_system
 
 FIELDS = ("id", "question", "answer", "relevant_docs", "relevant_articles")
 
@@ -109,7 +109,7 @@ def write_corpus_object(articles: DataFrame, path: str, version: str = "2.0") ->
 
 def rows_of_zip(path: str) -> Iterator[dict]:
     """The rows of a zip, one at a time; the file may lie wherever Arrow can read. Raises ``ValueError`` for what isn't a list of rows, each on a line of its own."""
-    fs, name = _place(path)
+    fs, name = file_system(path)
     with fs.open_input_file(name) as f, zipfile.ZipFile(f) as z, z.open("results.json") as lines:
         closed = False
         for k, line in enumerate(lines):
@@ -128,7 +128,7 @@ def rows_of_zip(path: str) -> Iterator[dict]:
 
 def zip_problems(path: str, expected: Iterable | None = None) -> list[str]:
     """What is wrong with a zip: other entries, rows that aren't whole, fields that are missing or null, and, with the ``expected`` ids in order, rows out of place. Rows are read one at a time."""
-    fs, name = _place(path)
+    fs, name = file_system(path)
     with fs.open_input_file(name) as f, zipfile.ZipFile(f) as z:
         if z.namelist() != ["results.json"]:
             return [f"unexpected entries {z.namelist()}"]
