@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import re
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -376,3 +380,38 @@ def test_flags_of_clashing_names(spark):
     docs = spark.createDataFrame([(1, "text", 7), (None, None, 8), (1, "text", 7)], "doc_id long, text string, predicted int")
     out = quality.flag(docs, None, 0.3)
     assert out.columns == ["doc_id", "text", "predicted", "_predicted"] and sorted(r["predicted"] for r in out.collect()) == [7, 7, 8]
+
+
+# --- memory and storage -----------------------------------------------------------------------
+
+HOLDS = """
+import random, re
+import pyarrow as pa
+from pathlib import Path
+from rankloom.llm import arrow, packing
+from rankloom.llm.registry import WORD_VOCABULARY
+
+def own():
+    return sum(map(int, re.findall(r"\\nPss_Anon:\\s+(\\d+)", Path("/proc/self/smaps_rollup").read_text()))) / 1024
+
+class Frame:
+    def mapInArrow(self, run, schema):
+        return run
+
+rng = random.Random(1)
+words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(50_000)]
+texts = pa.array([" ".join(rng.choices(words, k=300)) for _ in range(8_000)])
+run = arrow.map_columns(Frame(), lambda x: {"n": packing.batch_ids(x, WORD_VOCABULARY)[1]}, "n long", at_once=16 << 20)
+for _ in run(iter([pa.record_batch([texts], names=["text"])])):
+    pass
+before = own()
+arrow.release() if hasattr(arrow, "release") else (pa.default_memory_pool().release_unused(), __import__("ctypes").CDLL(None).malloc_trim(0))
+print(before - own())
+"""
+
+
+@pytest.mark.skipif(not sys.platform.startswith("linux"), reason="memory is read from /proc")
+def test_a_task_leaves_no_free_memory_with_its_worker():
+    root = Path(__file__).resolve().parents[2]
+    said = subprocess.run([sys.executable, "-c", HOLDS], cwd=root, env={**os.environ, "PYTHONPATH": str(root)}, capture_output=True, text=True, check=True)
+    assert float(said.stdout) < 30
