@@ -20,16 +20,16 @@ exact in that no link is lost.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrow import map_columns, ragged, utf8_bytes
+from .arrow import map_columns, ragged, releasing, utf8_bytes
 from .components import components
-from .shared import durable, fresh
+from .shared import durable, fresh, scratch
 from .words import mix, word_hashes, word_spans
 
 #: Buckets of the counts that order n-grams; their ranks are broadcast, 2 bytes each.
@@ -122,7 +122,7 @@ def sign_and_count(docs: DataFrame, words: int) -> DataFrame:
         packed = [zlib.compress(total[b * BLOCK : (b + 1) * BLOCK].astype("<i4").tobytes(), 1) for b in blocks]
         yield pa.record_batch([*(pa.nulls(len(blocks), pa.int64()) for _ in names), pa.array(blocks, pa.int32()), pa.array(packed, pa.binary())], names=[*names, "block", "counts"])
 
-    return docs.mapInArrow(run, ", ".join(f"{c} long" for c in names) + ", block int, counts binary")
+    return docs.mapInArrow(releasing(run), ", ".join(f"{c} long" for c in names) + ", block int, counts binary")
 
 
 def merged(parts: DataFrame, kind: str, length: int, merge: np.ufunc) -> DataFrame:
@@ -190,7 +190,7 @@ def row_filter(ids: DataFrame) -> np.ndarray:
         yield pa.record_batch({"block": pa.array(some.astype(np.int32)), "counts": pa.array([zlib.compress(parts[k].tobytes(), 1) for k in some], pa.binary())})
 
     out = np.zeros(whole, np.uint8)
-    for row in merged(ids.mapInArrow(run, "block int, counts binary"), "u1", PART, np.bitwise_or).toLocalIterator():
+    for row in merged(ids.mapInArrow(releasing(run), "block int, counts binary"), "u1", PART, np.bitwise_or).toLocalIterator():
         out[row["block"] * PART : (row["block"] + 1) * PART] = np.frombuffer(zlib.decompress(row["counts"]), np.uint8)
     return out
 
@@ -249,8 +249,14 @@ def measure(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, per
 
 def _linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Per row of (id, key, text): id, key, n, and the node that names its component."""
-    both = durable(sign_and_count(docs, words))
-    signed, ranks = both.where("block is null").select("id", "key", "n", "node", *SKETCH), bucket_ranks(both)
+    with scratch(docs.sparkSession, "links") as (keep, drop):
+        return _linked_in(keep, drop, docs, words, percent)
+
+
+def _linked_in(keep: Callable[[DataFrame], DataFrame], drop: Callable[[DataFrame], None], docs: DataFrame, words: int, percent: int) -> DataFrame:
+    both = keep(sign_and_count(docs, words))
+    told = both.where("block is null")
+    signed, ranks = durable(told.select("id", "key", "n", "node")), bucket_ranks(both)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()  # of equal texts, a task tells one
@@ -277,11 +283,12 @@ def _linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
     # A prefix n-gram matters only if two nodes have it. Both sides of the join need all columns, so
     # they read one shuffle; a semi-join would be pushed below it.
-    held = docs.select("text").mapInArrow(prefixes, "gram long, node long, n int, place int").repartition("gram")
+    held = docs.select("text").mapInArrow(releasing(prefixes), "gram long, node long, n int, place int").repartition("gram")
     shared = held.groupBy("gram").agg(F.max("node").alias("high"), F.min("node").alias("low"), F.max("n").alias("n"), F.max("place").alias("place")).where("high <> low and n > 0 and place > 0").select("gram")
-    rows = durable(held.join(shared, "gram").select("gram", "node", "n", "place").distinct())
-    nodes = signed.where("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.min("n").alias("n"), *(F.min(c).alias(c) for c in SKETCH))
-    nodes = durable(nodes.join(rows.select("node").distinct(), "node", "left_semi"))
+    rows = keep(held.join(shared, "gram").select("gram", "node", "n", "place").distinct())
+    nodes = told.where("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.min("n").alias("n"), *(F.min(c).alias(c) for c in SKETCH))
+    nodes = keep(nodes.join(rows.select("node").distinct(), "node", "left_semi"))
+    drop(both)
 
     # The first n-gram that linked sets share has room behind it for all that they must share.
     def room(a: str, b: str, n_a: str, n_b: str) -> Column:
@@ -309,14 +316,16 @@ def _linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
         """Rows whose n-gram different components share, with their roots."""
         named = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).repartition("gram")
         mixed = named.groupBy("gram").agg(F.max("root").alias("high"), F.min("root").alias("low"), *(F.max(c).alias(f"most_{c}") for c in ("node", "n", "place")))
-        return durable(named.join(mixed.where("high <> low and most_node is not null and most_n > 0 and most_place > 0").select("gram"), "gram"))
+        return keep(named.join(mixed.where("high <> low and most_node is not null and most_n > 0 and most_place > 0").select("gram"), "gram"))
 
     roots = components(measure(stars(), docs, nodes, words, percent, ranks))
     tied = lambda roots: roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
 
     # What the stars left open. The smaller set needs only its indexing prefix here; that is asked
     # of the pair, not of the side, so both sides read one shuffle.
-    named = rooted(roots).drop("n").join(nodes.select("node", "n", *SKETCH), "node").repartition("gram")
+    open_rows = rooted(roots)
+    drop(rows)
+    named = open_rows.drop("n").join(nodes.select("node", "n", *SKETCH), "node").repartition("gram")
     left, right = (named.toDF(*(f"{c}_{x}" for c in named.columns)) for x in "ab")
     smaller = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("node_a") < F.col("node_b")))
     indexed = (F.col("n_a") - F.col("place_a") + 1) * (100 + percent) >= percent * (F.col("n_a") + F.least("n_a", "n_b"))

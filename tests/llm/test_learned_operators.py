@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -385,6 +386,19 @@ def test_words_that_polynomials_confuse():
     assert owner.tolist() == [0, 1, 2] and grams[0] != grams[1] and grams[0] == grams[2]
 
 
+def test_little_of_a_join_stays_on_the_shared_disk(spark):
+    """Texts that share passages, none of them linked: their prefixes' n-grams are kept compressed, and go at the end."""
+    rng = random.Random(6)
+    passages = [" ".join(f"w{rng.randrange(9999)}" for _ in range(12)) for _ in range(400)]
+    docs = [(i, " ".join(rng.choice(passages) for _ in range(12))) for i in range(3000)]
+    shared = Path(jaccard.durable(spark.range(1)).sparkSession.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    size = lambda: sum(p.stat().st_size for p in shared.rglob("*") if p.is_file())
+    before = size()
+    assert jaccard.link(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), 3, 90).count() == len(docs)
+    assert size() - before < 0.35 * sum(len(t) for _, t in docs)
+    assert not list(shared.glob("links-*"))
+
+
 def test_a_large_group_of_near_copies_makes_few_pairs(spark, monkeypatch):
     """Pairs measured stay in proportion to the texts, and components equal those of all pairs."""
     rng = random.Random(5)
