@@ -21,22 +21,25 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .arrow import ragged, utf8_bytes
-from .shared import durable, shared_folder
-from .words import LOWER
+from .arrow import ragged, releasing, utf8_bytes
+from .shared import durable, scratch, shared_folder
+from .words import LOWER, mix
 
 #: Words that a shard holds before it is closed (a text isn't split), and shards of a task.
 SHARD_WORDS = 2 << 20
 SHARDS_A_TASK = 1 << 12
 DEPTH = 5
+#: Turns in which pairs of words, by far the most candidates, are counted, so that only one turn's part lies on the disks at a time.
+TURNS = 4
 PIECE_END = np.zeros(256, bool)
 PIECE_END[[*b".,;:!?\n\x0b\x0c\r"]] = True
 GAP = PIECE_END.copy()
@@ -160,15 +163,15 @@ def _shards(docs: DataFrame, size: int) -> DataFrame:
             yield close(lang, shard, parts)
             shard += 1
 
-    return docs.mapInArrow(run, "shard int, lang string, words array<string>, counts array<int>, begins array<int>, n_words long, forward binary, backward binary")
+    return docs.mapInArrow(releasing(run), "shard int, lang string, words array<string>, counts array<int>, begins array<int>, n_words long, forward binary, backward binary")
 
 
 #: Of phrases of a length: place (shard and begin of the interval in the forward transform), begin in the backward one, occurrences in the shard.
 FOUND = "first long, last long, place long, back int, n int"
 
 
-def _next(index: DataFrame, frequent: DataFrame, rightward: bool) -> DataFrame:
-    """Phrases one word longer than the frequent ones: first and last (the phrases that they begin and end with), place, back, n."""
+def _next(index: DataFrame, frequent: DataFrame, rightward: bool, turn: int = 0, turns: int = 1) -> DataFrame:
+    """Phrases one word longer than the frequent ones: first and last (the phrases that they begin and end with), place, back, n. Of several turns, each gives those whose first and last hash to it."""
 
     def run(key: tuple, shard: pa.Table, given: pa.Table) -> pa.Table:
         if not shard.num_rows or not given.num_rows:
@@ -180,6 +183,8 @@ def _next(index: DataFrame, frequent: DataFrame, rightward: bool) -> DataFrame:
         front, back = (x["other"], x["at"]) if rightward else (x["at"], x["other"])
         first, last = (x["grown"], x["met"]) if rightward else (x["met"], x["grown"])
         place = np.int64(key[0].as_py()) << np.int64(32) | front
+        now = mix(mix(first.view(np.uint64)) + last.view(np.uint64)) % np.uint64(turns) == turn
+        first, last, place, back, x["n"] = first[now], last[now], place[now], back[now], x["n"][now]
         return pa.table({"first": first, "last": last, "place": place, "back": back.astype(np.int32), "n": x["n"].astype(np.int32)})
 
     stored = index.select("shard", F.col("backward" if rightward else "forward").alias("index"))
@@ -212,19 +217,22 @@ def mine(docs: DataFrame, least: int = 100, most: int = 2_000, longest: int = DE
     wanted = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).cast("string").alias("text"))
     buckets = min(max(1, wanted.rdd.getNumPartitions()), 20_000)
     _shards(wanted, shard_words).write.option("path", folder).option("compression", "zstd").bucketBy(buckets, "shard").saveAsTable(name)
-    try:
+    with dropped(spark, name, folder), scratch(spark, "levels") as (keep, drop):
         index = spark.table(name)
         sums = durable(index.groupBy("lang").agg(F.sum("n_words").alias("all_words")))
         one = index.select("lang", "shard", F.explode(F.arrays_zip("words", "counts", "begins")).alias("x"))
         place = F.shiftleft(F.col("shard").cast("long"), 32) + F.col("x.begins")
         found = one.select("lang", F.col("x.words").alias("word"), place.alias("place"), F.col("x.begins").alias("back"), F.col("x.counts").alias("n"))
-        level = durable(_frequent(found, ["lang", "word"], least))
+        level = keep(_frequent(found, ["lang", "word"], least))
         own = F.col("phrase") == F.col("place")
-        known = level.where(own).select("phrase", "lang", F.array("word").alias("words"), "f", F.array().cast("array<long>").alias("heads"), F.array().cast("array<long>").alias("tails"))
+        known = keep(level.where(own).select("phrase", "lang", F.array("word").alias("words"), "f", F.array().cast("array<long>").alias("heads"), F.array().cast("array<long>").alias("tails")))
         out = []
         for length in range(2, longest + 1):
-            level = durable(_frequent(_next(index, level, rightward=length % 2 == 0), ["first", "last"], least))
-            longer = durable(_told(level.where(own), known))
+            turns = TURNS if length == 2 else 1
+            shorter = level
+            level = keep(*(_frequent(_next(index, shorter, length % 2 == 0, turn, turns), ["first", "last"], least) for turn in range(turns)))
+            drop(shorter)
+            longer = keep(_told(level.where(own), known))
             if length > 2:
                 out.append(_open(known, longer))
             known = longer
@@ -233,11 +241,18 @@ def mine(docs: DataFrame, least: int = 100, most: int = 2_000, longest: int = DE
         for more in out[1:]:
             phrases = phrases.unionByName(more)
         phrases = durable(phrases.drop("first", "last"))
+    return _ranked_phrases(phrases.join(F.broadcast(sums), "lang"), most)  # one row a language
+
+
+@contextmanager
+def dropped(spark: SparkSession, table: str, folder: str) -> Iterator[None]:
+    """At the end the table goes, and the folder of its files."""
+    try:
+        yield
     finally:
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    return _ranked_phrases(phrases.join(F.broadcast(sums), "lang"), most)  # one row a language
 
 
 def _told(found: DataFrame, shorter: DataFrame) -> DataFrame:

@@ -43,8 +43,8 @@ def _collect(spark: SparkSession) -> None:
 
 
 @contextmanager
-def scratch(spark: SparkSession, name: str) -> Iterator[tuple[Callable[[DataFrame], DataFrame], Callable[[DataFrame], None]]]:
-    """(keep, drop): ``keep`` is like ``durable``, but as compressed Parquet, a third of a checkpoint's bytes or less; ``drop`` removes what was kept. At the end all that is left goes.
+def scratch(spark: SparkSession, name: str) -> Iterator[tuple[Callable[..., DataFrame], Callable[[DataFrame], None]]]:
+    """(keep, drop): ``keep`` is like ``durable``, but as compressed Parquet, and the rows of several tables, made one after the other, become one; ``drop`` removes what was kept. At the end all that is left goes.
 
     For large tables that only the jobs within need; what is returned unevaluated must not read them.
     """
@@ -54,11 +54,12 @@ def scratch(spark: SparkSession, name: str) -> Iterator[tuple[Callable[[DataFram
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
-    def keep(df: DataFrame) -> DataFrame:
+    def keep(*parts: DataFrame) -> DataFrame:
         place = f"{folder}/{len(places)}"
-        df.write.option("compression", "zstd").parquet(place)
-        _collect(spark)
-        out = spark.read.schema(df.schema).parquet(place)
+        for df in parts:
+            df.write.mode("append").option("compression", "zstd").parquet(place)
+            _collect(spark)
+        out = spark.read.schema(parts[0].schema).parquet(place)
         places[id(out)] = out, place
         return out
 

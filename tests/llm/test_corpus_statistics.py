@@ -39,6 +39,16 @@ def test_query_equals_sql(spark, sf_dir, name):
 # --- phrases ----------------------------------------------------------------------------------
 
 
+def test_levels_of_phrases_are_no_checkpoints(spark, monkeypatch):
+    """Places of phrases are kept compressed, pairs of words in turns, and nothing of it stays."""
+    docs = frame(spark, [(i, "one two three four. five six", "en") for i in range(8)])
+    made, keep = [], phrases.durable
+    monkeypatch.setattr(phrases, "durable", lambda df: made.append(df.columns) or keep(df))
+    found = sorted((r["phrase"], r["a"]) for r in phrases.mine(docs, least=8).collect())
+    assert found == [("five six", 8), ("one two three four", 8)]
+    assert made and not any("place" in columns for columns in made)
+
+
 def counted(rows, least):
     """(lang, phrase): (a, l, r, n, score), by the definition."""
     counts, sizes = collections.Counter(), collections.Counter()
