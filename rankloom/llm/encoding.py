@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from . import bpe
 from .arrow import map_columns
+from .characters import find
 
 #: Fixed value: the pattern that splits text before the merges.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -63,7 +64,7 @@ def encode_texts(texts: list[str], path: str) -> list[bytes]:
         while at < len(texts) and size < AT_ONCE:
             text = texts[at]
             parts = split_special(text, model.special)
-            pieces.append(PATTERN.findall(text) if len(parts) == 1 and text not in special else [p for part in parts for p in ([part] if part in special else PATTERN.findall(part))])
+            pieces.append(find(PATTERN, text) if len(parts) == 1 and text not in special else [p for part in parts for p in ([part] if part in special else find(PATTERN, part))])
             size += len(text)
             at += 1
         known = cache.learn(set().union(*pieces) - special.keys(), model) | special if any(t in p for p in pieces for t in special) else cache.learn(set().union(*pieces), model)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import unicodedata
-
 import numpy as np
 import pyarrow as pa
 import regex
@@ -12,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import bpe
 from .arrow import map_columns, utf8_bytes
+from .characters import find, lowered
 from .words import distinct, word_hashes, word_spans
 
 #: The pre-tokenizer's pattern of the word vocabulary, and the id that ends a document.
@@ -20,12 +19,8 @@ END_ID = 2
 
 
 def pre_tokenize(words: str) -> list[str]:
-    """Pieces of words with a line feed after each; the line feeds stay as pieces.
-
-    Lower-casing is by character, so a capital sigma is small sigma wherever it stands.
-    """
-    words = unicodedata.normalize("NFC", words).replace("\N{GREEK CAPITAL LETTER SIGMA}", "\N{GREEK SMALL LETTER SIGMA}")
-    return PIECES.findall(words.lower())
+    """Pieces of words with a line feed after each; the line feeds stay as pieces."""
+    return find(PIECES, lowered(words))
 
 
 def word_pieces(words: list[bytes], special: dict[str, int]) -> list[str]:

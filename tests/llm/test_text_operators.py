@@ -160,6 +160,17 @@ def test_any_text_is_encoded_as_by_the_libraries(texts):
         assert [int.from_bytes(got[k : k + 4], "little") for k in range(0, len(got), 4)] == whole.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("texts", [
+    [":\U0003d000", "a\U0003d000b", "7\U00011de0", "x\u0558y", "\u1c89\ua7cb", "\U00010d50\U00010d51", "it's\U0003d000's", " \U0003d000 \U00016ea0"],
+    ["a\u0899\u0301", "a\u0316\u1abf", "e\u0301 E\u0301", "\u1e9e\u0130\u03a3", "\x1c\x1da\x85b\u2028c\u180ed"],
+])
+def test_characters_of_other_unicode_versions_are_encoded_as_by_the_libraries(texts):
+    words, whole = Tokenizer.from_file(WORDS), Tokenizer.from_file(BYTES)
+    for text in texts:
+        assert packing.batch_ids(pa.array([text]), WORDS)[0].tolist() == words.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(encoding.encode_texts([text], BYTES)[0], "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
 def test_pieces_of_documents(spark):
     library = Tokenizer.from_file(WORDS)
     docs = frame(spark, [*ODD, "wort " * 9000])
