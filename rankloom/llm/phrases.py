@@ -39,7 +39,9 @@ SHARD_WORDS = 2 << 20
 SHARDS_A_TASK = 1 << 12
 DEPTH = 5
 #: Turns in which pairs of words, by far the most candidates, are counted, so that only one turn's part lies on the disks at a time.
-TURNS = 4
+TURNS = 8
+#: Bytes of input, by the plan's estimate, that a task makes shards of: enough to fill shards of several languages.
+TASK_BYTES = 64 << 20
 PIECE_END = np.zeros(256, bool)
 PIECE_END[[*b".,;:!?\n\x0b\x0c\r"]] = True
 GAP = PIECE_END.copy()
@@ -79,20 +81,38 @@ def _transform(row: np.ndarray) -> np.ndarray:
     moved = lambda x, by: np.concatenate([x[by:], np.zeros(min(by, len(x)), np.int64)])
     two = _ranked(first * (first.max(initial=0) + 1) + moved(first, 1))
     four = _ranked(two * (two.max(initial=0) + 1) + moved(two, 2))
-    order = np.argsort(four * (first.max(initial=0) + 1) + moved(first, 4))
+    order = _sorted(four * (first.max(initial=0) + 1) + moved(first, 4))[0]
     return row[order - 1]
 
 
+def _sorted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, keys in that order), on ties by place; sorting keys with their places in the low bits is quicker than ``argsort``."""
+    bits = np.int64(len(keys)).item().bit_length()
+    if int(keys.max(initial=0)) >> (63 - bits):
+        order = np.argsort(keys, kind="stable")
+        return order, keys[order]
+    both = np.sort(keys << bits | np.arange(len(keys)))
+    return both & ((1 << bits) - 1), both >> bits
+
+
 def _ranked(keys: np.ndarray) -> np.ndarray:
-    order = np.argsort(keys)
-    ordered = keys[order]
+    order, ordered = _sorted(keys)
     out = np.empty(len(keys), np.int64)
     out[order] = np.cumsum(np.r_[False, ordered[1:] != ordered[:-1]])
     return out
 
 
-def extend(transform: np.ndarray, lo: np.ndarray, other: np.ndarray, n: np.ndarray, phrase: np.ndarray) -> dict[str, np.ndarray]:
-    """All extensions of the given phrases by the words that ``transform`` has in their intervals ``lo`` to ``lo + n``.
+def planes(row: np.ndarray) -> bytes:
+    """Whole numbers of 32 bits as all their lowest bytes, then all second ones and so on, which compresses better."""
+    return np.ascontiguousarray(row.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def from_planes(data: pa.Buffer) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<i4").ravel()
+
+
+def extend(transform: np.ndarray, lo: np.ndarray, other: np.ndarray, n: np.ndarray, phrase: np.ndarray, turn: int = 0, turns: int = 1) -> dict[str, np.ndarray]:
+    """All extensions of the given phrases by the words that ``transform`` has in their intervals ``lo`` to ``lo + n``; of several turns, each extends the phrases that hash to it.
 
     Gives, by extension: ``at``, the interval's begin in this transform; ``other``, in the other
     one; ``n``; ``grown``, the phrase extended; ``met``, the given phrase that the extension has at
@@ -103,10 +123,12 @@ def extend(transform: np.ndarray, lo: np.ndarray, other: np.ndarray, n: np.ndarr
     lo, other, n, phrase = lo[order], other[order], n[order], phrase[order]
     size = np.int64(len(transform))
     top = np.int64(transform.max(initial=0)) + 1
-    keys, counts = np.unique(np.repeat(np.arange(len(lo)), n) * top + transform[ragged(lo, n)], return_counts=True)
+    now = np.flatnonzero(mix(phrase.astype(np.int64).view(np.uint64)) % np.uint64(turns) == turn)
+    keys, counts = np.unique(np.repeat(np.arange(len(now)), n[now]) * top + transform[ragged(lo[now], n[now])], return_counts=True)
     which, word = keys // top, keys % top
     smaller = np.cumsum(counts) - counts
-    smaller -= (np.cumsum(n) - n)[which]
+    smaller -= (np.cumsum(n[now]) - n[now])[which]
+    which = now[which]
     # Occurrences of each word in order of place: how many precede an interval is a search in them.
     steps = np.sort(transform.astype(np.int64) * size + np.arange(size))
     at = np.searchsorted(steps, word * size + lo[which])
@@ -128,17 +150,22 @@ def _shards(docs: DataFrame, size: int) -> DataFrame:
             at += len(words)
         row = np.concatenate([*rows, np.zeros(1, np.int32)]).astype(np.int32)
         counts = np.bincount(row, minlength=len(every.dictionary) + 1)
+        # Frequent words get small numbers, which compress better.
+        order = np.argsort(-counts[1:], kind="stable")
+        number = np.zeros(len(counts), np.int32)
+        number[1 + order] = np.arange(1, len(counts))
+        row, counts = number[row], counts[np.r_[0, 1 + order]]
         forward, backward = transforms(row)
         return pa.RecordBatch.from_pydict(
             {
                 "shard": pa.array([shard], pa.int32()),
                 "lang": [lang],
-                "words": pa.array([every.dictionary.to_pylist()], pa.list_(pa.string())),
+                "words": pa.array([every.dictionary.take(pa.array(order)).to_pylist()], pa.list_(pa.string())),
                 "counts": pa.array([counts[1:]], pa.list_(pa.int32())),
                 "begins": pa.array([np.cumsum(counts)[:-1]], pa.list_(pa.int32())),
                 "n_words": pa.array([len(row) - counts[0]], pa.int64()),
-                "forward": pa.array([forward.tobytes()], pa.binary()),
-                "backward": pa.array([backward.tobytes()], pa.binary()),
+                "forward": pa.array([planes(forward)], pa.binary()),
+                "backward": pa.array([planes(backward)], pa.binary()),
             }
         )
 
@@ -171,20 +198,18 @@ FOUND = "first long, last long, place long, back int, n int"
 
 
 def _next(index: DataFrame, frequent: DataFrame, rightward: bool, turn: int = 0, turns: int = 1) -> DataFrame:
-    """Phrases one word longer than the frequent ones: first and last (the phrases that they begin and end with), place, back, n. Of several turns, each gives those whose first and last hash to it."""
+    """Phrases one word longer than the frequent ones: first and last (the phrases that they begin and end with), place, back, n. Of several turns, each gives the extensions of the phrases that hash to it."""
 
     def run(key: tuple, shard: pa.Table, given: pa.Table) -> pa.Table:
         if not shard.num_rows or not given.num_rows:
             return pa.table({c: pa.array([], t) for c, t in (("first", pa.int64()), ("last", pa.int64()), ("place", pa.int64()), ("back", pa.int32()), ("n", pa.int32()))})
-        transform = np.frombuffer(shard["index"][0].as_buffer(), np.int32)
+        transform = from_planes(shard["index"][0].as_buffer())
         front, back, n, phrase = (given[c].to_numpy() for c in ("front", "back", "n", "phrase"))
         here, there = (back, front) if rightward else (front, back)
-        x = extend(transform, here.astype(np.int64), there.astype(np.int64), n.astype(np.int64), phrase)
+        x = extend(transform, here.astype(np.int64), there.astype(np.int64), n.astype(np.int64), phrase, turn, turns)
         front, back = (x["other"], x["at"]) if rightward else (x["at"], x["other"])
         first, last = (x["grown"], x["met"]) if rightward else (x["met"], x["grown"])
         place = np.int64(key[0].as_py()) << np.int64(32) | front
-        now = mix(mix(first.view(np.uint64)) + last.view(np.uint64)) % np.uint64(turns) == turn
-        first, last, place, back, x["n"] = first[now], last[now], place[now], back[now], x["n"][now]
         return pa.table({"first": first, "last": last, "place": place, "back": back.astype(np.int32), "n": x["n"].astype(np.int32)})
 
     stored = index.select("shard", F.col("backward" if rightward else "forward").alias("index"))
@@ -215,7 +240,9 @@ def mine(docs: DataFrame, least: int = 100, most: int = 2_000, longest: int = DE
     spark = docs.sparkSession
     name, folder = f"phrases_{uuid.uuid4().hex}", f"{shared_folder(spark)}/phrases-{uuid.uuid4().hex}"
     wanted = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).cast("string").alias("text"))
-    buckets = min(max(1, wanted.rdd.getNumPartitions()), 20_000)
+    size = int(str(wanted._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    buckets = max(1, min(wanted.rdd.getNumPartitions(), max(2 * spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES)), 20_000))
+    wanted = wanted.coalesce(buckets)
     _shards(wanted, shard_words).write.option("path", folder).option("compression", "zstd").bucketBy(buckets, "shard").saveAsTable(name)
     with dropped(spark, name, folder), scratch(spark, "levels") as (keep, drop):
         index = spark.table(name)

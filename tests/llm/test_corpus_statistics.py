@@ -49,6 +49,25 @@ def test_levels_of_phrases_are_no_checkpoints(spark, monkeypatch):
     assert made and not any("place" in columns for columns in made)
 
 
+def test_small_partitions_fill_shards_together(spark, sf_dir, monkeypatch):
+    """Shards hold more words the fewer tasks make them, and so fewer pairs are shuffled."""
+    made, shards = [], phrases._shards
+    monkeypatch.setattr(phrases, "_shards", lambda docs, size: made.append(docs.rdd.getNumPartitions()) or shards(docs, size))
+    phrases.mine(registry.table(spark, sf_dir, "documents").repartition(64), least=200).collect()
+    assert made == [min(64, 2 * spark.sparkContext.defaultParallelism)]
+
+
+def test_turns_share_out_the_extensions():
+    row = np.r_[0, np.random.default_rng(5).integers(0, 9, 400), 0].astype(np.int32)
+    forward, backward = (phrases.from_planes(pa.py_buffer(phrases.planes(x))) for x in phrases.transforms(row))
+    counts = np.bincount(row)
+    begins, phrase = np.cumsum(counts)[:-1], np.arange(8) + (5 << 32)
+    whole = phrases.extend(backward, begins, begins, counts[1:], phrase)
+    parts = [phrases.extend(backward, begins, begins, counts[1:], phrase, turn, 3) for turn in range(3)]
+    assert all(0 < len(p["n"]) < len(whole["n"]) for p in parts)
+    assert sorted(zip(*(np.concatenate([p[c] for p in parts]).tolist() for c in whole), strict=True)) == sorted(zip(*(x.tolist() for x in whole.values()), strict=True))
+
+
 def counted(rows, least):
     """(lang, phrase): (a, l, r, n, score), by the definition."""
     counts, sizes = collections.Counter(), collections.Counter()
