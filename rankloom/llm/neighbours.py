@@ -53,7 +53,7 @@ def unit(q: np.ndarray) -> np.ndarray:
 
 def steps(hashes: int) -> np.ndarray:
     """All perturbations: each hash one down, as it is, or one up."""
-    return np.array([*product((-1, 0, 1), repeat=hashes)], np.int8).reshape(-1, hashes)
+    return np.array([*product((-1, 0, 1), repeat=hashes)], np.int8).reshape(3**hashes, hashes)
 
 
 _erf = np.vectorize(erf, otypes=[float])
@@ -81,6 +81,35 @@ def visiting_order(logs: np.ndarray, moves: np.ndarray, success: float) -> tuple
     return order, np.minimum((seen < success * seen[:, -1:]).sum(1) + 1, len(moves))
 
 
+def least_chances(logs: np.ndarray, success: float, leading: int, together: int = 128) -> tuple[np.ndarray, np.ndarray]:
+    """(log chance of the least likely bucket that each query visits, whether it visits any bucket of each perturbation of the ``leading`` hashes): as ``visiting_order`` tells, without the order."""
+    front, rest = steps(leading), steps(logs.shape[1] - leading)
+    least, any_of = np.zeros(len(logs)), np.zeros((len(logs), len(front)), bool)
+    for low in range(0, len(logs), together):
+        some = logs[low : low + together]
+        lead, tail = (sum((some[:, at + h, :][:, m[:, h] + 1] for h in range(m.shape[1])), np.zeros((len(some), len(m)))) for at, m in ((0, front), (leading, rest)))
+        total = (lead[:, :, None] + tail[:, None, :]).reshape(len(some), -1)
+        total.sort(axis=1)
+        total = total[:, ::-1]
+        seen = np.cumsum(np.exp(total), axis=1)
+        visits = np.minimum((seen < success * seen[:, -1:]).sum(1) + 1, total.shape[1])
+        # Sums in another order may differ in the last digits; a bucket that is just as likely may be visited besides.
+        least[low : low + together] = cut = total[np.arange(len(some)), visits - 1] - 1e-9
+        any_of[low : low + together] = lead + tail.max(axis=1, keepdims=True) >= cut[:, None]
+    return least, any_of
+
+
+def visited_buckets(own: np.ndarray, logs: np.ndarray, least: np.ndarray, floors: np.ndarray) -> np.ndarray:
+    """Which of the buckets with these coordinates each query visits: those at most one off in each hash, and at least so likely."""
+    total = np.zeros((len(own), len(floors)))
+    for h in range(floors.shape[1]):
+        names, which = np.unique(floors[:, h], return_inverse=True)
+        step = names[None, :] - own[:, h, None]
+        chance = np.where(np.abs(step) <= 1, np.take_along_axis(logs[:, h], np.clip(step, -1, 1) + 1, 1), -np.inf)
+        total += chance[:, which.ravel()]
+    return total >= least[:, None]
+
+
 def codes(buckets: np.ndarray) -> np.ndarray:
     """One number for each row of bucket coordinates; rows of no coordinates have one number."""
     out = np.zeros(len(buckets), np.uint64)
@@ -89,29 +118,25 @@ def codes(buckets: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def search_cell(q_ids: np.ndarray, q: np.ndarray, whole: bool, ids: np.ndarray, x: np.ndarray, table: int, k: int, largest: float, hashing: Hashing, together: int = 128) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, id, inner product) of the best k of the vectors of one cell that lie in the buckets which each query visits, or in all of them if ``whole``."""
+def search_cell(q_ids: np.ndarray, q: np.ndarray, bounds: np.ndarray | None, ids: np.ndarray, x: np.ndarray, table: int, k: int, largest: float, hashing: Hashing, together: int = 128) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query id, id, inner product) of the best k of the vectors of one cell that lie in the buckets which each query visits, those of a log chance of ``bounds`` at least, or in all of them if there are none."""
     a, b = hashing.projections(q.shape[1] + 1)
-    a, b, moves = a[table], b[table], steps(hashing.hashes)
+    a, b = a[table], b[table]
     place = np.floor((lift(x, largest) @ a.T + b) / hashing.width).astype(np.int64)
     floors, member = np.unique(place, axis=0, return_inverse=True)
-    bucket, member = codes(floors), member.ravel()
-    by_code = np.argsort(bucket)
+    order = np.argsort(member.ravel(), kind="stable")
+    ids, x, counts = ids[order], x[order], np.bincount(member.ravel())  # vectors of a bucket lie side by side
     out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
     for low in range(0, len(q), together):
         qs, own_id = q[low : low + together], q_ids[low : low + together]
-        own, logs = chances(unit(qs) @ a.T + b, hashing)
-        order, n = visiting_order(logs, moves, hashing.success)
-        visited = np.full((len(qs), len(floors)), whole)
-        for i in range(0 if whole else len(qs)):
-            wanted = codes(own[i] + moves[order[i, : n[i]]])
-            at = np.minimum(np.searchsorted(bucket, wanted, sorter=by_code), len(bucket) - 1)
-            hit = by_code[at]
-            visited[i, hit[bucket[hit] == wanted]] = True
-        some = np.flatnonzero(visited.any(0)[member])
+        visited = np.ones((len(qs), len(floors)), bool)
+        if bounds is not None:
+            visited = visited_buckets(*chances(unit(qs) @ a.T + b, hashing), bounds[low : low + together], floors)
+        met = visited.any(0)
+        some = np.flatnonzero(np.repeat(met, counts))
         if not len(some):
             continue
-        scores = np.where(visited[:, member[some]], qs @ x[some].T, -np.inf)
+        scores = np.where(np.repeat(visited[:, met], counts[met], axis=1), qs @ x[some].T, -np.inf)
         scores[own_id[:, None] == ids[some][None, :]] = -np.inf
         # All that may be among the best k, rounding aside; then exact sums decide, with ties to the smaller id.
         kth = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else np.full(len(qs), -np.inf)
@@ -162,47 +187,47 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     queries = rows.where(is_query)
     leading = hashing.cell_hashes(n)
     a, b = hashing.projections(dim + 1)
-    moves = steps(hashing.hashes)
+    front = steps(leading)
 
-    def cells_of_vectors(ids: np.ndarray, x: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(table, row, cell) of all rows, by table."""
+    def cells_of_vectors(ids: np.ndarray, x: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(table, row, cell, zeros) of all rows, by table."""
         lifted = lift(x, largest)
         for t in range(hashing.tables):
-            yield t, np.arange(len(x)), codes(np.floor((lifted @ a[t, :leading].T + b[t, :leading]) / hashing.width))
+            yield t, np.arange(len(x)), codes(np.floor((lifted @ a[t, :leading].T + b[t, :leading]) / hashing.width)), np.zeros(len(x))
 
-    def cells_of_queries(ids: np.ndarray, q: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(table, row, cell) of the cells with buckets that a query visits, each once."""
+    def cells_of_queries(ids: np.ndarray, q: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(table, row, cell, log chance of the row's least likely visited bucket) of the cells with buckets that a query visits, each once."""
         for t in range(hashing.tables):
             own, logs = chances(unit(q) @ a[t].T + b[t], hashing)
-            order, visits = visiting_order(logs, moves, hashing.success)
-            row = np.repeat(np.arange(len(q)), visits)
-            moved = moves[order[np.arange(order.shape[1]) < visits[:, None]]]
-            both = np.unique(np.column_stack([row, codes(own[row][:, :leading] + moved[:, :leading])]), axis=0)
-            yield t, both[:, 0], both[:, 1]
+            bounds, goes = least_chances(logs, hashing.success, leading)
+            row, move = np.nonzero(goes)
+            both = np.unique(np.column_stack([row, codes(own[row][:, :leading] + front[move])]), axis=0)
+            yield t, both[:, 0], both[:, 1], bounds[both[:, 0]]
 
     def counts(df: DataFrame, cells) -> dict[tuple[int, int], int]:
         """Rows of each cell: at most some four for each leading hash and table, whatever the number of rows."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for ids, x in _rows(batches, dim, 256):
-                for t, _, cell in cells(ids, x):
+                for t, _, cell, _ in cells(ids, x):
                     names, times = np.unique(cell, return_counts=True)
                     yield pa.record_batch({"table": pa.array(np.full(len(names), t, np.int32)), "cell": pa.array(names), "n": pa.array(times.astype(np.int64))})
 
         return {(r["table"], r["cell"]): r["n"] for r in df.mapInArrow(run, "table int, cell long, n long").groupBy("table", "cell").agg(F.sum("n").alias("n")).toLocalIterator()}
 
     def dealt(df: DataFrame, cells, own_parts: dict, other_parts: dict, whole: bool) -> DataFrame:
-        """Rows (table, cell, part, q_part, id, v): each row in one part of its own kind, and in every part of the other kind."""
+        """Rows (table, cell, part, q_part, id, bound, v): each row in one part of its own kind, and in every part of the other kind."""
         vectors = cells is cells_of_vectors
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for ids, x in _rows(batches, dim, 256):
-                for t, row, cell in cells(ids, x):
+                for t, row, cell, bound in cells(ids, x):
                     if whole and t:
                         continue
                     if whole and not vectors:
                         every = np.array([c for u, c in other_parts if u == 0], np.int64)
                         row, cell = np.repeat(np.arange(len(ids)), len(every)), np.tile(every, len(ids))
+                        bound = np.zeros(len(row))
                     names, which = np.unique(cell, return_inverse=True)
                     mine = np.array([own_parts.get((t, c), 1) for c in names.tolist()], np.int64)[which.ravel()]
                     others = np.array([other_parts.get((t, c), 0) for c in names.tolist()], np.int64)[which.ravel()]
@@ -212,9 +237,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
                     part, q_part = (own[take], other) if vectors else (other, own[take])
                     body = pa.array(x[row[take]].ravel())
                     lists = pa.ListArray.from_arrays(pa.array(np.arange(len(take) + 1, dtype=np.int32) * dim), body)
-                    yield pa.record_batch({"table": pa.array(np.full(len(take), t, np.int32)), "cell": pa.array(cell[take]), "part": pa.array(part), "q_part": pa.array(q_part), "id": pa.array(ids[row[take]]), "v": lists})
+                    yield pa.record_batch({"table": pa.array(np.full(len(take), t, np.int32)), "cell": pa.array(cell[take]), "part": pa.array(part), "q_part": pa.array(q_part), "id": pa.array(ids[row[take]]), "bound": pa.array(bound[take]), "v": lists})
 
-        return df.mapInArrow(run, "table int, cell long, part int, q_part int, id long, v array<double>")
+        return df.mapInArrow(run, "table int, cell long, part int, q_part int, id long, bound double, v array<double>")
 
     def matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         return table["id"].to_numpy(), table["v"].combine_chunks().flatten().to_numpy().reshape(-1, dim)
@@ -233,7 +258,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
             found = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
             if left.num_rows and right.num_rows:
                 q_ids, q = matrix(left)
-                found = search_cell(q_ids, q, whole, *matrix(right), key[0].as_py(), k, largest, hashing)
+                found = search_cell(q_ids, q, None if whole else left["bound"].to_numpy(), *matrix(right), key[0].as_py(), k, largest, hashing)
             return pa.table(dict(zip(("query_id", "vec_id", "score"), found, strict=True)))
 
         keys = ["table", "cell", "part", "q_part"]

@@ -215,6 +215,22 @@ def test_buckets_are_visited_in_the_order_of_their_success():
     assert moves[order[0, 1]].tolist() == [-1, 0, 0, 0] or moves[order[0, 1]].tolist() == [0, 0, 1, 0]
 
 
+@pytest.mark.parametrize("leading", [0, 2, 8])
+def test_visited_buckets_are_those_of_the_order(leading):
+    """Buckets are told by one bound a query, without listing the perturbations of each query in each cell."""
+    hashing, rng = neighbours.Hashing(), np.random.default_rng(2)
+    own, logs = neighbours.chances(rng.normal(0, 2, (40, 8)), hashing)
+    moves, front = neighbours.steps(8), neighbours.steps(leading)
+    order, visits = neighbours.visiting_order(logs, moves, hashing.success)
+    bounds, goes = neighbours.least_chances(logs, hashing.success, leading, together=7)
+    for i in range(40):
+        wanted = moves[order[i, : visits[i]]]
+        floors = np.vstack([own[i] + moves, own[i] + 2])
+        got = neighbours.visited_buckets(own[i : i + 1], logs[i : i + 1], bounds[i : i + 1], floors)[0]
+        assert not got[-1] and {*map(tuple, moves[got[:-1]])} == {*map(tuple, wanted)}
+        assert {*map(tuple, front[goes[i]])} == {*map(tuple, wanted[:, :leading])}
+
+
 def test_clustered_vectors_need_few_buckets(spark):
     """Where vectors lie in groups, queries meet little else than their own group."""
     rng = np.random.default_rng(3)
