@@ -11,10 +11,12 @@ from __future__ import annotations
 
 import heapq
 import json
+from collections.abc import Callable
 
 import numpy as np
 
 from .arrow import ragged
+from .words import distinct
 
 
 def byte_characters() -> list[str]:
@@ -145,6 +147,20 @@ class KnownWords:
         self.ids, self.counts = gather(ids, counts, order)
         self.hashes, self.checks = hashes[order], checks[order]
 
+    def encoded(self, hashes: np.ndarray, checks: np.ndarray, encode: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words in turn, number of ids of each). ``encode`` does the same for words by their numbers; should two words ever share a hash, it encodes them all."""
+        found, some, which = distinct(hashes)
+        new = self.missing(found)
+        if self.full(int(new.sum())):
+            self.clear()
+            new[:] = True
+        if new.any():
+            self.learn(found[new], checks[some[new]], *encode(some[new]))
+        at = np.searchsorted(self.hashes, found)[which]
+        if (self.checks[at] == checks).all():
+            return gather(self.ids, self.counts, at)
+        return encode(np.arange(len(hashes)))
+
     def full(self, more: int) -> bool:
         return len(self.hashes) + more > self.most
 

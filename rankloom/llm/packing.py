@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from . import bpe
 from .arrow import map_columns, utf8_bytes
 from .characters import find, lowered
-from .words import distinct, word_hashes, word_spans
+from .words import word_hashes, word_spans
 
 #: The pre-tokenizer's pattern of the word vocabulary, and the id that ends a document.
 PIECES = regex.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
@@ -69,21 +69,12 @@ def batch_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
         marks = np.cumsum(np.r_[0, data == ord("<")])
         has = marks[ends] > marks[starts]
         hashes[has], checks[has] = (word_hashes(data, starts[has], ends[has], lower=False, salt=k) for k in (0, 1))
-    found, some, which = distinct(hashes)
-    new = known.missing(found)
-    if known.full(int(new.sum())):
-        known.clear()
-        new[:] = True
-    raw = data.tobytes() if new.any() else b""
-    words_at = lambda k: [raw[a:b] for a, b in zip(starts[k].tolist(), ends[k].tolist(), strict=True)]
-    if new.any():
-        known.learn(found[new], checks[some[new]], *encode_words(words_at(some[new]), encoder))
-    at = np.searchsorted(known.hashes, found)[which]
-    if (known.checks[at] == checks).all():
-        out, lengths = bpe.gather(known.ids, known.counts, at)
-    else:
+
+    def encoded(some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         raw = data.tobytes()
-        out, lengths = encode_words(words_at(np.arange(len(starts))), encoder)
+        return encode_words([raw[a:b] for a, b in zip(starts[some].tolist(), ends[some].tolist(), strict=True)], encoder)
+
+    out, lengths = known.encoded(hashes, checks, encoded)
     return out, np.bincount(text, weights=lengths, minlength=len(texts)).astype(np.int64)
 
 

@@ -15,6 +15,7 @@ import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -171,6 +172,22 @@ def test_characters_of_other_unicode_versions_are_encoded_as_by_the_libraries(te
         assert np.frombuffer(encoding.encode_texts([text], BYTES)[0], "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
+def test_pieces_of_a_batch_are_matches_of_the_pattern():
+    """Pieces come from runs of classes of all texts at once, without a match of a pattern for each."""
+    pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+    rng = np.random.default_rng(9)
+    parts = ["'", "'", " ", " ", "\n", "\u00a0", "\u3000", "s", "t", "re", "ve", "m", "ll", "d", "r", "S", "\u00e9", "\u65e5", "7", "\u0664", ".", "\U0001f44d", "\u0301", "<|endoftext|>", "<|"]
+    texts = ["".join(rng.choice(parts, n)) for n in rng.integers(0, 30, 4000)] + ["<|endo", "ftext|>", None, "", "'", "'s", "'re", "'r"]
+    want = [p for t in texts for part in regex.split(r"(<\|endoftext\|>)", t or "") for p in ([part] if part == "<|endoftext|>" else pattern.findall(part))]
+    data, offsets = encoding.utf8_bytes(pa.array(texts, pa.string()))
+    starts, ends, special = encoding.pieces(data, offsets, [b"<|endoftext|>"])
+    assert [data.tobytes()[a:b].decode() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)] == want
+    assert ((special == 0) == (np.array(want) == "<|endoftext|>")).all()
+    library = Tokenizer.from_file(BYTES)
+    for text, got in zip(texts[::10], encoding.encode_texts(texts[::10], BYTES), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == library.encode(text or "", add_special_tokens=False).ids
+
+
 def test_pieces_of_documents(spark):
     library = Tokenizer.from_file(WORDS)
     docs = frame(spark, [*ODD, "wort " * 9000])
