@@ -103,12 +103,16 @@ def _ranked(keys: np.ndarray) -> np.ndarray:
 
 
 def planes(row: np.ndarray) -> bytes:
-    """Whole numbers of 32 bits as all their lowest bytes, then all second ones and so on, which compresses better."""
-    return np.ascontiguousarray(row.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes()
+    """Whole numbers as all their lowest bytes, then all second ones and so on, which compresses better; before them a byte that tells how many planes there are."""
+    width = max(1, -(-int(row.max(initial=0)).bit_length() // 8))
+    return bytes([width]) + np.ascontiguousarray(row.astype("<i4").view(np.uint8).reshape(-1, 4)[:, :width].T).tobytes()
 
 
 def from_planes(data: pa.Buffer) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<i4").ravel()
+    data = np.frombuffer(data, np.uint8)
+    out = np.zeros(((len(data) - 1) // int(data[0]), 4), np.uint8)
+    out[:, : data[0]] = data[1:].reshape(int(data[0]), -1).T
+    return out.view("<i4").ravel()
 
 
 def extend(transform: np.ndarray, lo: np.ndarray, other: np.ndarray, n: np.ndarray, phrase: np.ndarray, turn: int = 0, turns: int = 1) -> dict[str, np.ndarray]:
@@ -241,7 +245,7 @@ def mine(docs: DataFrame, least: int = 100, most: int = 2_000, longest: int = DE
     name, folder = f"phrases_{uuid.uuid4().hex}", f"{shared_folder(spark)}/phrases-{uuid.uuid4().hex}"
     wanted = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).cast("string").alias("text"))
     size = int(str(wanted._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    buckets = max(1, min(wanted.rdd.getNumPartitions(), max(2 * spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES)), 20_000))
+    buckets = max(1, min(wanted.rdd.getNumPartitions(), max(3 * spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES)), 20_000))
     wanted = wanted.coalesce(buckets)
     _shards(wanted, shard_words).write.option("path", folder).option("compression", "zstd").bucketBy(buckets, "shard").saveAsTable(name)
     with dropped(spark, name, folder), scratch(spark, "levels") as (keep, drop):

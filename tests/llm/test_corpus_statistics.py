@@ -54,12 +54,14 @@ def test_small_partitions_fill_shards_together(spark, sf_dir, monkeypatch):
     made, shards = [], phrases._shards
     monkeypatch.setattr(phrases, "_shards", lambda docs, size: made.append(docs.rdd.getNumPartitions()) or shards(docs, size))
     phrases.mine(registry.table(spark, sf_dir, "documents").repartition(64), least=200).collect()
-    assert made == [min(64, 2 * spark.sparkContext.defaultParallelism)]
+    assert made == [min(64, 3 * spark.sparkContext.defaultParallelism)]
 
 
 def test_turns_share_out_the_extensions():
     row = np.r_[0, np.random.default_rng(5).integers(0, 9, 400), 0].astype(np.int32)
     forward, backward = (phrases.from_planes(pa.py_buffer(phrases.planes(x))) for x in phrases.transforms(row))
+    wide = np.array([0, 255, 256, 70_000, 1 << 24], np.int32)
+    assert all((phrases.from_planes(pa.py_buffer(phrases.planes(wide[:k]))) == wide[:k]).all() for k in range(1, 6))
     counts = np.bincount(row)
     begins, phrase = np.cumsum(counts)[:-1], np.arange(8) + (5 << 32)
     whole = phrases.extend(backward, begins, begins, counts[1:], phrase)
