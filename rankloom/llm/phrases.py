@@ -40,6 +40,8 @@ SHARDS_A_TASK = 1 << 12
 DEPTH = 5
 #: Turns in which pairs of words, by far the most candidates, are counted, so that only one turn's part lies on the disks at a time.
 TURNS = 8
+#: Turns in which single words are counted.
+WORD_TURNS = 4
 #: Bytes of input, by the plan's estimate, that a task makes shards of: enough to fill shards of several languages.
 TASK_BYTES = 64 << 20
 PIECE_END = np.zeros(256, bool)
@@ -254,7 +256,8 @@ def mine(docs: DataFrame, least: int = 100, most: int = 2_000, longest: int = DE
         one = index.select("lang", "shard", F.explode(F.arrays_zip("words", "counts", "begins")).alias("x"))
         place = F.shiftleft(F.col("shard").cast("long"), 32) + F.col("x.begins")
         found = one.select("lang", F.col("x.words").alias("word"), place.alias("place"), F.col("x.begins").alias("back"), F.col("x.counts").alias("n"))
-        level = keep(_frequent(found, ["lang", "word"], least))
+        words = _frequent(found, ["lang", "word"], least)
+        level = keep(*(words.where(F.pmod(F.xxhash64("word"), F.lit(WORD_TURNS)) == turn) for turn in range(WORD_TURNS)))
         own = F.col("phrase") == F.col("place")
         known = keep(level.where(own).select("phrase", "lang", F.array("word").alias("words"), "f", F.array().cast("array<long>").alias("heads"), F.array().cast("array<long>").alias("tails")))
         out = []
