@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rankloom.operators import bm25
 from rankloom.plans import snapshots
 
-from .common import GLOBAL_SQL, HITS_SQL, INDEX_SQL, both_hits, index_of, intent_hits, questions, questions_sql, table
+from .common import GLOBAL_SQL, HITS_SQL, INDEX_SQL, both_hits, intent_hits, lexical_hits, question_hits, questions, questions_sql, table
 
 
 def _article(doc_id):
@@ -33,9 +33,9 @@ def phase_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def runs_compared(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best of each question by words and vectors against those by words alone."""
-    wide, _ = both_hits(spark, sf_dir)
-    lexical = bm25.search(index_of(spark, sf_dir), questions(spark, sf_dir), 10)
-    return snapshots.compared_runs(wide.where("rank <= 10"), lexical, ["qid"], "doc_id")
+    lexical = lexical_hits(spark, sf_dir)
+    wide = question_hits(spark, sf_dir, lexical=lexical)
+    return snapshots.compared_runs(wide.where("rank <= 10"), lexical.where("rank <= 10"), ["qid"], "doc_id")
 
 
 def coverage_compared(spark: SparkSession, sf_dir: str) -> DataFrame:
